@@ -54,12 +54,19 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_bpe": bpe_ids,
     "op2_secrets": secrets,
     "op3_lines": lines,
     "op5_urls": urls,
     "op7_language": language,
+    "op8_minhash": near_dups,
 }
 
 LINES_SQL = """
