@@ -60,6 +60,12 @@ def near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def near_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": bpe_ids,
     "op2_secrets": secrets,
@@ -67,6 +73,7 @@ QUERIES = {
     "op5_urls": urls,
     "op7_language": language,
     "op8_minhash": near_dups,
+    "op9_vectors": near_vecs,
 }
 
 LINES_SQL = """
