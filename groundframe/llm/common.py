@@ -98,3 +98,20 @@ def components(edges: DataFrame) -> DataFrame:
         last, state = state, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def unique_key(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    """`df` with `key`: a non-null long, the same for rows that agree in id and text, and ordered like the ids.
+
+    The id itself where ids are unique and not null (found by a count over ids alone). Otherwise ids are ranked
+    with their texts' hashes (null ids last) by a global sort and numbered through.
+    """
+    ids = df.select(F.col(id_col).cast("long").alias("i"))
+    odd = ids.groupBy("i").count().where("count > 1 or i is null").limit(1)
+    if odd.isEmpty():
+        return df.withColumn(key, F.col(id_col).cast("long"))
+    tag, i, t = fresh(df, "key_tag", "key_i", "key_t")
+    both = df.select(F.col(id_col).cast("long").alias(i), F.xxhash64(text_col).alias(t)).distinct()
+    ranked = cut(both.repartitionByRange(F.col(i).asc_nulls_last(), F.col(t)).sortWithinPartitions(F.col(i).asc_nulls_last(), t).withColumn(key, F.monotonically_increasing_id()))
+    out = df.withColumn(tag, F.xxhash64(text_col)).join(ranked, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.col(tag) == F.col(t)))
+    return out.drop(tag, i, t)

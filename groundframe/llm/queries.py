@@ -66,6 +66,13 @@ def near_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import dedup_substrings
+
+    out = dedup_substrings(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", _sha("kept").alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_bpe": bpe_ids,
     "op2_secrets": secrets,
@@ -74,6 +81,7 @@ QUERIES = {
     "op7_language": language,
     "op8_minhash": near_dups,
     "op9_vectors": near_vecs,
+    "op10_suffix": substrings,
 }
 
 LINES_SQL = """
