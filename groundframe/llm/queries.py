@@ -40,6 +40,15 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", _sha("text").alias("kept_sha256"))
 
 
+def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it leaks."""
+    from .decontam import find_leaks
+
+    out = find_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    out = out.select("doc_id", F.explode("leaks").alias("leak"))
+    return out.select("doc_id", F.col("leak.item").alias("item_id"), "leak.distance", F.col("leak.start").alias("start_word"), F.col("leak.end").alias("end_word"))
+
+
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import judge_urls
 
@@ -77,6 +86,7 @@ QUERIES = {
     "op1_bpe": bpe_ids,
     "op2_secrets": secrets,
     "op3_lines": lines,
+    "op4_leaks": leaks,
     "op5_urls": urls,
     "op7_language": language,
     "op8_minhash": near_dups,
