@@ -55,6 +55,17 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each passage of 50 words or more that is like one of an earlier document."""
+    from .passages import near_passages
+
+    out = near_passages(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("other").alias("other_doc_id"),
+        F.col("other_start").alias("other_start_word"), F.col("other_end").alias("other_end_word"), "similarity",
+    )
+
+
 def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit_language, held_out, identify
 
@@ -88,6 +99,7 @@ QUERIES = {
     "op3_lines": lines,
     "op4_leaks": leaks,
     "op5_urls": urls,
+    "op6_passages": passages,
     "op7_language": language,
     "op8_minhash": near_dups,
     "op9_vectors": near_vecs,
