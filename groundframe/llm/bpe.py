@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -48,7 +49,7 @@ class _Cache(dict):
         own = self.ranks.get(b)
         ids = struct.pack("<I", own) if own is not None else np.array(self.merge(b), "<u4").tobytes()
         if len(b) <= 64:
-            if len(self) >= 500_000:
+            if len(self) >= 150_000:
                 self.clear()
             self[piece] = ids
         return ids
@@ -59,6 +60,13 @@ def _cache(data: bytes) -> _Cache:
     return _Cache(_ranks(data))
 
 
+def _slices(batches: Iterator[pd.Series], rows: int = 500) -> Iterator[pd.Series]:
+    """Batches in slices, so that what is made from one is handed on before the next."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.iloc[i : i + rows]
+
+
 class Bpe:
     """Encoder and decoder over one rank file, whose bytes (fixed in size) are broadcast to the executors."""
 
@@ -69,9 +77,10 @@ class Bpe:
         data, pattern = self.data, self.pattern
 
         @F.pandas_udf("binary")
-        def encode(texts: pd.Series) -> pd.Series:
+        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             find, ids = regex.compile(pattern).findall, _cache(data.value)
-            return pd.Series([None if t is None else b"".join(map(ids.__getitem__, find(t))) for t in texts], dtype=object)
+            for texts in _slices(batches):
+                yield pd.Series([None if t is None else b"".join(map(ids.__getitem__, find(t))) for t in texts], dtype=object)
 
         return encode(text)
 
@@ -154,8 +163,9 @@ class Bpe:
         data = self.data
 
         @F.pandas_udf("binary")
-        def decode(packed: pd.Series) -> pd.Series:
+        def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             tokens = _tokens(data.value)
-            return pd.Series([None if p is None else b"".join(map(tokens.__getitem__, np.frombuffer(p, "<u4").tolist())) for p in packed], dtype=object)
+            for packed in _slices(batches):
+                yield pd.Series([None if p is None else b"".join(map(tokens.__getitem__, np.frombuffer(p, "<u4").tolist())) for p in packed], dtype=object)
 
         return decode(ids)

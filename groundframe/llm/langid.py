@@ -16,6 +16,7 @@ from .common import fresh
 WINDOW, DIM, WIDTHS, FILTERS = 256, 4, (3, 4, 5), 8
 #: Labelled documents of each language that the network is trained on, at most; windows of each, at most; passes.
 TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS = 600, 6, 6
+LEAST_STEPS = 300
 UNKNOWN = "und"
 
 
@@ -78,7 +79,7 @@ def train(picked: list[np.ndarray], langs: list[str], *, epochs: int = EPOCHS, s
     weights = ["emb", "conv", "bias", "dense", "out"]
     m1, m2, t = {w: np.zeros_like(getattr(m, w)) for w in weights}, {w: np.zeros_like(getattr(m, w)) for w in weights}, 0
     each = 1 / np.bincount(y, minlength=len(labels))  # classes weigh alike
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * 64 // max(1, len(x))))):  # small samples get more passes
         order = rng.permutation(len(x))
         for i in range(0, len(x), 64):
             b, yb = x[order[i : i + 64]], y[order[i : i + 64]]
@@ -113,12 +114,16 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_DOCS) -> ByteCnn | None:
     """A network trained on at most `per_lang` labelled documents of each language that are not held out.
 
-    Those with the smallest hash of their id are taken: a ranking over ids alone picks them (ranks are cut
-    before the shuffle), then a second scan fetches their texts. This sample's bound is the number of
+    Those with the smallest hash of their id are taken: a ranking over ids alone picks them, then a second scan
+    fetches their texts. This sample's bound is the number of
     languages times `per_lang`. Rows with a null id, text or language, or without a letter, are not learnt from.
     """
     ids = docs.where(~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"))
-    w = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
+    # a language's rows are first thinned by hash to about four times what is wanted, so that no ranking sees many
+    n = F.broadcast(ids.groupBy("l").count())  # one row a language, as the network has
+    share = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / (1 << 30)
+    ids = ids.join(n, "l").where(share * F.col("count") <= 4 * per_lang)
+    w = Window.partitionBy("l").orderBy(share, "i")
     ids = ids.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_lang).select("i").distinct()
     taken = docs.join(F.broadcast(ids), F.col(id_col) == F.col("i"), "left_semi").where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
 

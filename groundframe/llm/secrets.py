@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Kinds in their listed order; the last two are the entropy method's.
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -25,10 +27,6 @@ ALLOW = (
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _none() -> Column:
-    return F.array().cast(SPANS)
-
-
 def _span(start: Column, kind: Column, end: Column) -> Column:
     return F.struct(start.alias("start"), kind.alias("kind"), end.alias("end"))
 
@@ -119,10 +117,11 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(_base(text, ASSIGN, 0, 2, 6), _base(text, ACCESS, 1), _base(text, HEX, 2))
-    more = F.filter(F.coalesce(F.col("secrets_b"), _none()), lambda x: ~F.exists(F.col("secrets_a"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    rest = [c for c in docs.columns if c != "secrets"]
-    out = docs.select(*rest, base.cast(SPANS).alias("secrets_a"), _entropy(text).cast(SPANS).alias("secrets_b"))
-    return out.select(*rest, F.array_sort(F.concat("secrets_a", more)).alias("secrets"))
+    rest = [c for c in docs.columns if c.lower() != "secrets"]
+    first, second = fresh(docs, "secrets_base", "secrets_more")
+    more = F.filter(second, lambda x: ~F.exists(first, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    out = docs.select(*rest, base.cast(SPANS).alias(first), _entropy(text).cast(SPANS).alias(second))
+    return out.select(*rest, F.array_sort(F.concat(first, more)).alias("secrets"))
 
 
 def written(spans: Column) -> Column:
