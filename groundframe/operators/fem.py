@@ -1,0 +1,116 @@
+"""Linear elasticity on tetrahedra: stiffness as sparse triplets, and a conjugate gradient solve over them."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def elastic_matrix(e: float, nu: float) -> np.ndarray:
+    """Isotropic 6 x 6 stiffness; order xx, yy, zz, xy, yz, xz with engineering shear (NUM-04, NUM-19)."""
+    if not (e > 0 and -1 < nu < 0.5):
+        raise ValueError("a modulus above zero and a ratio between -1 and 0.5 are needed")
+    lam, mu = e * nu / ((1 + nu) * (1 - 2 * nu)), e / (2 * (1 + nu))
+    d = np.zeros((6, 6))
+    d[:3, :3] = lam
+    d[np.arange(3), np.arange(3)] += 2 * mu
+    d[np.arange(3, 6), np.arange(3, 6)] = mu
+    return d
+
+
+def strain_matrices(pts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, 6, 12) strain-displacement matrices and (n,) volumes of tetrahedra (n, 4, 3) (NUM-03)."""
+    n = len(pts)
+    m = np.concatenate([np.ones((n, 4, 1)), pts], 2)
+    grad = np.linalg.inv(m)[:, 1:, :]  # (n, 3, 4): derivatives of each node's shape function
+    b = np.zeros((n, 6, 12))
+    for a in range(4):
+        x, y, z = grad[:, 0, a], grad[:, 1, a], grad[:, 2, a]
+        c = 3 * a
+        b[:, 0, c], b[:, 1, c + 1], b[:, 2, c + 2] = x, y, z
+        b[:, 3, c], b[:, 3, c + 1] = y, x
+        b[:, 4, c + 1], b[:, 4, c + 2] = z, y
+        b[:, 5, c], b[:, 5, c + 2] = z, x
+    return b, np.abs(np.linalg.det(m)) / 6
+
+
+def _points(col: pd.Series) -> np.ndarray:
+    return np.array([[[q["x"], q["y"], q["z"]] for q in p] for p in col], float).reshape(-1, 4, 3)
+
+
+def stiffness(cells: DataFrame) -> DataFrame:
+    """(row, col, value) of the global stiffness of tetrahedra (cell_id, conn, pts, e, nu); degree of freedom 3 * node + axis (NUM-02).
+
+    Element matrices are made in batches where the cells lie; equal places are added up before and after one shuffle.
+    """
+
+    def triplets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            m, vol = strain_matrices(_points(b["pts"]))
+            d = np.stack([elastic_matrix(e, nu) for e, nu in zip(b["e"], b["nu"], strict=True)])
+            k = np.einsum("nji,njk,nkl->nil", m, d, m) * vol[:, None, None]
+            dof = (np.array(b["conn"].tolist())[:, :, None] * 3 + np.arange(3)).reshape(len(b), 12)
+            yield pd.DataFrame({"row": dof.repeat(12, 1).ravel(), "col": np.tile(dof, 12).ravel(), "value": k.reshape(-1)})
+
+    t = cells.select("conn", "pts", "e", "nu").mapInPandas(triplets, "row long, col long, value double")
+    return t.groupBy("row", "col").agg(F.sum("value").alias("value"))
+
+
+def _kept(df: DataFrame, folder: str) -> DataFrame:
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def solve(k: DataFrame, loads: DataFrame, fixed: DataFrame, folder: str, *, tolerance: float = 1e-10, most: int = 500) -> DataFrame:
+    """(dof, u): displacements under `loads` (dof, value) with `fixed` (dof, value) prescribed, by conjugate gradients (NUM-01, NUM-18).
+
+    A step is one join of the triplets with the search direction, one grouped sum and two totals. Vectors are written
+    to `folder` (shared by all executors) after each step, so no step depends on a long lineage.
+    """
+    fixed = fixed.select("dof", F.col("value").cast("double").alias("given"))
+    free = k.join(fixed.select(F.col("dof").alias("row")), "row", "left_anti")
+    known = free.join(fixed.withColumnRenamed("dof", "col"), "col").groupBy(F.col("row").alias("dof")).agg(F.sum(F.col("value") * F.col("given")).alias("pull"))
+    a = _kept(free.join(fixed.select(F.col("dof").alias("col")), "col", "left_anti"), folder)
+    start = a.select(F.col("row").alias("dof")).distinct()
+    start = start.join(loads.groupBy("dof").agg(F.sum("value").alias("f")), "dof", "left").join(known, "dof", "left")
+    r0 = F.coalesce("f", F.lit(0.0)) - F.coalesce("pull", F.lit(0.0))
+    v = _kept(start.select("dof", F.lit(0.0).alias("u"), r0.alias("r"), r0.alias("p")), folder)
+    rr = v.agg(F.sum(F.col("r") ** 2)).first()[0] or 0.0
+    goal = rr * tolerance**2
+    for _ in range(most):
+        if rr <= goal:
+            break
+        ap = a.join(v.select(F.col("dof").alias("col"), "p"), "col").groupBy(F.col("row").alias("dof")).agg(F.sum(F.col("value") * F.col("p")).alias("ap"))
+        v = _kept(v.join(ap, "dof", "left").fillna(0.0, ["ap"]), folder)
+        alpha = rr / v.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
+        v = v.select("dof", (F.col("u") + alpha * F.col("p")).alias("u"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p")
+        new = v.agg(F.sum(F.col("r") ** 2)).first()[0]
+        v, rr = v.withColumn("p", F.col("r") + new / rr * F.col("p")), new
+    return v.select("dof", "u").union(fixed)
+
+
+def recover(cells: DataFrame, u: DataFrame) -> DataFrame:
+    """(cell_id, strain, stress): six values each, of tetrahedra under displacements (dof, u) (NUM-01, NUM-10)."""
+    flat = cells.select("cell_id", F.posexplode("conn").alias("at", "n")).withColumn("axis", F.explode(F.array(*map(F.lit, range(3)))))
+    flat = flat.withColumn("dof", F.col("n") * 3 + F.col("axis")).join(u, "dof", "left")
+    own = flat.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct((F.col("at") * 3 + F.col("axis")).alias("k"), F.coalesce("u", F.lit(0.0)).alias("u")))).alias("us"))
+    both = cells.join(own, "cell_id").select("cell_id", "pts", "e", "nu", F.transform("us", lambda x: x["u"]).alias("us"))
+
+    def state(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            m, _ = strain_matrices(_points(b["pts"]))
+            strain = np.einsum("nij,nj->ni", m, np.array(b["us"].tolist()))
+            stress = np.stack([elastic_matrix(e, nu) @ s for e, nu, s in zip(b["e"], b["nu"], strain, strict=True)])
+            yield pd.DataFrame({"cell_id": b["cell_id"], "strain": list(strain), "stress": list(stress)})
+
+    return both.mapInPandas(state, "cell_id long, strain array<double>, stress array<double>")

@@ -1,5 +1,11 @@
 """Registered queries over the provided tables and the SQL that states the same results."""
 
+from . import blocks, geology, meshes, stages, states
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = ""
+for _module in (meshes, blocks, stages, geology, states):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
+
+FLAGSHIP = "mesh_region_report"
