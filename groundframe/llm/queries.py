@@ -115,4 +115,62 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE key IN (SELECT key FR
 FROM k GROUP BY doc_id
 """
 
-SQL = {"op3_lines": LINES_SQL}
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Links between equal shingles, then everything reachable: for small tables.
+MINHASH_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s), x AS (SELECT doc_id, unnest(s) AS t FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM n UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.id)
+SELECT doc_id, n AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM n JOIN reach ON id = doc_id GROUP BY doc_id, n
+"""
+
+VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT l.b, reach.r FROM reach JOIN l ON l.a = reach.id),
+c AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept
+FROM embeddings JOIN reach ON id = vec_id LEFT JOIN c ON a = vec_id GROUP BY vec_id
+"""
+
+
+def _secrets_sql() -> str:
+    from .secrets import ACCESS, ALLOW, ASSIGN, BITS, CANDIDATE, HEX, HEX_CLASS, KINDS, WINDOW
+
+    q = lambda t: "'" + t.replace("'", "''") + "'"
+
+    def found(name: str, pattern: str, group: int) -> str:
+        p = q(pattern)
+        return f"""{name}_r AS (SELECT doc_id, unnest(string_split_regex(t, {p})) AS gap, unnest(regexp_extract_all(t, {p})) AS hit, unnest(regexp_extract_all(t, {p}, {group})) AS part,
+unnest(range(len(string_split_regex(t, {p})))) AS i FROM d WHERE regexp_matches(t, {p})),
+{name} AS (SELECT doc_id, hit, part, CAST(sum(length(gap) + coalesce(length(hit), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop FROM {name}_r)"""
+
+    base = " UNION ALL ".join(
+        f"SELECT doc_id, stop - length(hit) AS a, {k} AS k, stop AS b FROM {n} WHERE hit IS NOT NULL AND length(part) >= {least}" for k, (n, least) in enumerate((("assign", 6), ("access", 1), ("hex", 1)))
+    )
+    allow = " OR ".join(f"regexp_matches(hit, {q(a)})" for a in ALLOW)
+    kinds = "[" + ", ".join(map(q, KINDS)) + "]"
+    words = f"string_agg({kinds}[k + 1] || ':' || a || ':' || b, ',' ORDER BY a, k, b)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {found("assign", ASSIGN, 2)}, {found("access", ACCESS, 0)}, {found("hex", HEX, 0)}, {found("cand", CANDIDATE, 0)},
+base AS ({base}),
+c AS (SELECT doc_id, hit, stop - length(hit) AS a, CASE WHEN regexp_matches(hit, {q(HEX_CLASS)}) THEN 3 ELSE 4 END AS k FROM cand WHERE hit IS NOT NULL AND NOT ({allow})),
+win AS (SELECT doc_id, a, k, unnest(range(length(hit) - {WINDOW - 1})) AS i, hit FROM c),
+hot AS (SELECT *, i - lag(i) OVER (PARTITION BY doc_id, a ORDER BY i) > {WINDOW} AS apart FROM (SELECT *, substr(hit, CAST(i + 1 AS BIGINT), {WINDOW}) AS w FROM win)
+WHERE list_sum(list_transform(list_distinct(string_split(w, '')), lambda ch: ({WINDOW} - length(replace(w, ch, ''))) * log2({WINDOW} - length(replace(w, ch, '')))))
+  <= {WINDOW} * (log2({WINDOW}) - CASE k WHEN 3 THEN {BITS["entropy_hex"]} ELSE {BITS["entropy_base64"]} END) + 1e-9),
+runs AS (SELECT doc_id, a + min(i) AS a, k, a + max(i) + {WINDOW} AS b FROM (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, a ORDER BY i) AS run FROM hot) h GROUP BY doc_id, h.a, k, run),
+more AS (SELECT * FROM runs r WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = r.doc_id AND x.a < r.b AND r.a < x.b)),
+bs AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2, {words} AS s FROM base GROUP BY doc_id),
+al AS (SELECT doc_id, {words} AS s FROM (SELECT * FROM base UNION ALL SELECT doc_id, a, k, b FROM more) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(bs.s, '')) AS base_sha256, coalesce(al.s, '') AS spans
+FROM d LEFT JOIN bs ON bs.doc_id = d.doc_id LEFT JOIN al ON al.doc_id = d.doc_id"""
+
+
+SQL = {"op2_secrets": _secrets_sql(), "op3_lines": LINES_SQL, "op8_minhash": MINHASH_SQL, "op9_vectors": VECTORS_SQL}

@@ -4,10 +4,6 @@ from groundframe.llm.queries import QUERIES, SQL
 from .oracle import same
 
 
-def test_query_equals_sql(spark, sf):
-    same(spark, sf, QUERIES["op3_lines"], SQL["op3_lines"])
-
-
 def test_edges(spark):
     rows = [(i, f" Same Line\t\nown {i}\n\nÉcole", 0) for i in range(9)]
     rows += [(9, "same line", 0), (9, "same line", 0), (10, None, 0), (11, "", 0), (None, "SAME LINE\n\x0b", 0), (12, "école", 0)]
