@@ -1,10 +1,10 @@
 """Registered queries over the provided tables and the SQL that states the same results."""
 
-from . import blocks, geology, meshes, stages, states
+from . import blocks, geology, meshes, models, stages, states
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (meshes, blocks, stages, geology, states):
+for _module in (meshes, blocks, stages, geology, states, models):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
 
