@@ -17,6 +17,10 @@ from .common import components, cut, mix
 WORDS, SLOTS, ROWS = 5, 128, 4
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Rounds of comparisons with one centre a bucket, before the pairs that are left.
+ROUNDS = 2
+#: Places of a set's bitmap.
+BITS = 1 << 13
 #: Elements that are hashed at a time, which bounds the permutations held.
 ELEMENTS = 200_000
 _ODD = mix(np.arange(1, 16)) | np.uint64(1)
@@ -87,8 +91,32 @@ def bands_of(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return h.astype(np.int64)
 
 
+def sketches_of(sig: np.ndarray) -> np.ndarray:
+    """(docs, slots / 16) integers of four bits for every slot."""
+    with np.errstate(over="ignore"):
+        four = mix(np.ascontiguousarray(sig).view(np.uint64).ravel()).reshape(len(sig), -1, 16) & np.uint64(15)
+    return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).astype(np.int64)
+
+
+def _differing(a: str, b: str) -> Column:
+    """Slots in which two sketches differ."""
+    total = F.lit(0)
+    for k in range(SLOTS // 16):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + F.bit_count(x)
+    return total
+
+
+def _most_differing() -> int:
+    """What a pair at the threshold stays below in all but one of a million cases (five standard deviations)."""
+    p = (1 - PERCENT / 100) * 15 / 16
+    return int(SLOTS * p + 5 * (SLOTS * p * (1 - p)) ** 0.5)
+
+
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(id, text) → (id, n, d1, d2, bands): the set's size and 128-bit digest, and its signature's bands."""
+    """(id, text) → (id, n, d1, d2, bands, sketch): the set's size and 128-bit digest, its signature's bands and sketch."""
     for b in batches:
         rows = list(zip(b["id"], b["text"], strict=True))
         i = 0
@@ -101,12 +129,14 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 i += 1
             full = [k for k, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
+            sketch: list = [None] * len(sets)
             if full:
                 doc = np.repeat(np.arange(len(full)), [len(sets[k]) for k in full])
-                for k, h in zip(full, bands_of(super_min_hash(np.concatenate([sets[k] for k in full]), doc, len(full))), strict=True):
-                    bands[k] = h
+                sig = super_min_hash(np.concatenate([sets[k] for k in full]), doc, len(full))
+                for k, h, x in zip(full, bands_of(sig), sketches_of(sig), strict=True):
+                    bands[k], sketch[k] = h, x
             d = [_digest(s.tobytes()) for s in sets]
-            yield pd.DataFrame({"id": pd.array(ids, "Int64"), "n": [len(s) for s in sets], "d1": [x[0] for x in d], "d2": [x[1] for x in d], "bands": bands})
+            yield pd.DataFrame({"id": pd.array(ids, "Int64"), "n": [len(s) for s in sets], "d1": [x[0] for x in d], "d2": [x[1] for x in d], "bands": bands, "sketch": sketch})
 
 
 def _digest(packed: bytes) -> tuple[int, int]:
@@ -114,12 +144,24 @@ def _digest(packed: bytes) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-@F.pandas_udf(T.StructType([T.StructField("set", T.BinaryType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]))
+@F.pandas_udf(T.StructType([T.StructField("set", T.BinaryType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]))
 def shingle_set(texts: pd.Series) -> pd.DataFrame:
-    """A text's set, packed, and its digest."""
-    sets = [shingles(t).tobytes() for t in texts]
-    d = [_digest(s) for s in sets]
-    return pd.DataFrame({"set": sets, "d1": [x[0] for x in d], "d2": [x[1] for x in d]})
+    """A text's set, packed, with a bitmap of its members (BITS places by hash) and its digest."""
+    sets, bits = [shingles(t) for t in texts], []
+    for s in sets:
+        b = np.zeros(BITS, np.uint8)
+        b[s >> np.uint64(64 - BITS.bit_length() + 1)] = 1
+        bits.append(np.packbits(b).view(np.int64))
+    packed = [s.tobytes() for s in sets]
+    d = [_digest(s) for s in packed]
+    return pd.DataFrame({"set": packed, "bits": bits, "d1": [x[0] for x in d], "d2": [x[1] for x in d]})
+
+
+def _may_link() -> Column:
+    """False only for pairs that bitmaps prove apart: a place that one set fills and the other doesn't is a member less in common."""
+    missing = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, n: s + n)
+    both = F.least(F.col("size") - missing("bits", "bits_2"), F.col("size_2") - missing("bits_2", "bits"))
+    return both * (100 + PERCENT) >= (F.col("size") + F.col("size_2")) * PERCENT
 
 
 @F.pandas_udf(T.DoubleType())
@@ -145,49 +187,60 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(pairs.join(right, "b").join(left, "a").select("a", "b", jaccard("set_a", "set_b").alias("sim")))
 
 
-def _links(cand: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that connect whatever links exist among representatives sharing a bucket of `cand` (band, h, rep).
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, root): for linked nodes, the least node one or two links away. Finer than components, and two shuffles."""
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
+    return low.join(low.select(F.col("node").alias("root"), F.col("root").alias("up")), "root").select("node", F.col("up").alias("root"))
 
-    A round compares every member of a bucket with one centre: a linear number of pairs. Rounds with other
-    centres go on while they join components; then only members of a bucket in different components are
-    left, and these are compared with each other, less the pairs that the triangle inequality rules out by
-    their distances from the last centre. So large groups of copies are never expanded into all pairs,
-    and no bucket is capped.
+
+def _links(cand: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Components (node, root) of the links among representatives that share a bucket of `cand` (band, h, rep).
+
+    In each of ROUNDS rounds, every member of a bucket is compared with one centre: a linear number of pairs. What is
+    left is members of a bucket in different components. Of these, pairs are compared that their set sizes allow to
+    link, whose signatures differ in no more slots than a link's do, and that the triangle inequality doesn't rule out
+    by their distances from the last centre; each pair once, in the first band it shares. So large groups of copies are
+    never expanded into all pairs, and no bucket is capped.
     """
-    found, roots, tested, before = None, None, None, None
-    turn = 0
-    while True:
-        now = cand if roots is None else cand.join(roots, F.col("rep") == F.col("node"), "left").select("band", "h", "rep", F.coalesce("root", "rep").alias("root"))
-        if roots is None:
-            now = now.withColumn("root", F.col("rep"))
+    tested = None
+    for turn in range(ROUNDS + 1):
+        if tested is None:
+            now = cand.withColumn("root", F.col("rep"))
+        else:
+            found = tested.where(linked(F.col("sim"))).select("a", "b")
+            roots = _labels(found) if turn < ROUNDS else components(found)
+            now = cand.join(roots, F.col("rep") == F.col("node"), "left").select("band", "h", "rep", F.coalesce("root", "rep").alias("root"))
+        last = min(turn, ROUNDS - 1)  # what is left keeps the last round's centre
+        order = F.struct(F.xxhash64("rep", F.lit(last)) if last else F.col("rep"), "rep")
         spread = now.groupBy("band", "h").agg(
-            F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep"), "rep")).alias("centre")
+            F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("rep", order).alias("centre")
         ).where("lo <> hi")
-        now = cut(now.join(spread, ["band", "h"]))
-        open_rows, open_roots = now.agg(F.count("*"), F.count_distinct("root")).first()
-        if not open_rows:
-            return found
-        if before is not None and open_roots > 0.9 * before:
+        now = now.join(spread, ["band", "h"])
+        if turn == ROUNDS:
             break
-        before = open_roots
         pairs = now.where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         new = _verify(pairs, sets)
         tested = new if tested is None else tested.union(new)
-        found = tested.where(linked(F.col("sim"))).select("a", "b")
-        roots = components(found)
-        turn += 1
-    # what is left: pairs of a bucket in different components
     sim = tested.select(F.col("a").alias("rep"), F.col("b").alias("centre"), "sim").union(tested.select("b", "a", "sim"))
-    far = now.join(sim, ["rep", "centre"], "left").select("band", "h", "rep", "root", F.when(F.col("rep") == F.col("centre"), 0.0).otherwise(1 - F.col("sim")).alias("d"))
+    d = F.when(F.col("rep") == F.col("centre"), 0.0).otherwise(1 - F.col("sim"))
+    far = now.join(sim, ["rep", "centre"], "left").join(classes.select("rep", "size", "bands", "sketch"), "rep").join(sets.select("rep", "bits"), "rep")
+    far = cut(far.select("band", "h", "rep", "root", d.alias("d"), "size", "bands", "sketch", "bits"))
     odd = far.where(F.coalesce(F.col("d"), F.lit(1.0)) > 1 - PERCENT / 100)
-    other = far.select("band", "h", F.col("rep").alias("rep2"), F.col("root").alias("root2"), F.col("d").alias("d2"))
-    near = F.coalesce(F.abs(F.col("d") - F.col("d2")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
-    pairs = odd.join(other, ["band", "h"]).where((F.col("root") != F.col("root2")) & near)
-    pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-    new = _verify(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets)
-    return found.union(new.where(linked(F.col("sim"))).select("a", "b"))
+    other = far.select(*(F.col(c).alias(f"{c}_2") for c in far.columns))
+    metric = F.coalesce(F.abs(F.col("d") - F.col("d_2")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
+    sizes = F.least("size", "size_2") * 100 >= F.greatest("size", "size_2") * PERCENT
+    before = F.exists(F.zip_with(F.slice("bands", 1, F.col("band")), F.slice("bands_2", 1, F.col("band")), lambda x, y: x == y), lambda x: x)
+    both_odd = F.coalesce(F.col("d_2"), F.lit(1.0)) > 1 - PERCENT / 100
+    once = ~both_odd | (F.col("rep") < F.col("rep_2"))
+    on = (F.col("band") == F.col("band_2")) & (F.col("h") == F.col("h_2")) & (F.col("root") != F.col("root_2")) & once & sizes & metric
+    on = on & (_differing("sketch", "sketch_2") <= _most_differing()) & ~F.when(F.col("band") > 0, before).otherwise(F.lit(False))
+    on = on & _may_link()
+    pairs = odd.join(other, on).select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b")).distinct()
+    new = _verify(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets).where(linked(F.col("sim")))
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new.select("a", "b")))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,9 +254,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     smallest, and its row is kept only if no row with an id is in its component.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(own.mapInPandas(_signed, "id long, n long, d1 long, d2 long, bands array<long>"))
+    signed = cut(own.mapInPandas(_signed, "id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"))
     full = signed.where("n > 0")
-    classes = cut(full.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")).where("rep is not null"))
+    classes = cut(full.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.min_by(F.struct(F.col("n").alias("size"), "bands", "sketch"), "id").alias("own")).where("rep is not null").select("d1", "d2", "rep", "own.*"))
     rows = classes.select("rep", F.posexplode("bands").alias("band", "h"))
     shared = rows.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     cand = cut(rows.join(shared, ["band", "h"]))
@@ -211,12 +264,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = own.where("id is not null").join(reps, F.col("id") == F.col("rep"), "left_semi")
     # rows that repeat an id may differ in text: a class's own is the one with its digest
     sets = texts.select(F.col("id").alias("rep"), shingle_set("text").alias("s")).select("rep", "s.*")
-    sets = sets.join(classes.select("rep", "d1", "d2"), ["rep", "d1", "d2"], "left_semi").dropDuplicates(["rep"]).select("rep", "set")
-    links = _links(cand, cut(sets))
+    sets = sets.join(classes.select("rep", "d1", "d2"), ["rep", "d1", "d2"], "left_semi").dropDuplicates(["rep"]).select("rep", "set", "bits")
+    groups = _links(cand, classes, cut(sets))
     out = signed.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left")
-    if links is not None:
-        out = out.join(components(links), F.col("rep") == F.col("node"), "left")
-    else:
-        out = out.withColumn("root", F.lit(None).cast("long"))
+    out = out.join(groups, F.col("rep") == F.col("node"), "left")
     comp = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("root", "rep"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
