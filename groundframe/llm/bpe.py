@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,12 +25,10 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
-@lru_cache(maxsize=4)
 def _ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in (line.split() for line in data.splitlines() if line)}
 
 
-@lru_cache(maxsize=4)
 def _tokens(data: bytes) -> dict[int, bytes]:
     return {r: t for t, r in _ranks(data).items()}
 
@@ -55,8 +52,8 @@ class _Cache(dict):
         return ids
 
 
-@lru_cache(maxsize=4)
 def _cache(data: bytes) -> _Cache:
+    """A new one for each task: a worker process that stays keeps nothing of it."""
     return _Cache(_ranks(data))
 
 
