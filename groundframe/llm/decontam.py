@@ -46,16 +46,18 @@ def keys_of(words: np.ndarray, starts: np.ndarray, size: int, walk: int) -> np.n
     rng = np.random.default_rng((walk, size))
     steps = 2 * size
     sampled = set(rng.choice(steps, min(SAMPLES, size), replace=False).tolist())
-    odd = rng.integers(0, 1 << 63, steps).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    padded = np.concatenate([words, np.zeros(size + 1, np.uint64)])
-    at, end, key = starts.copy(), starts + size, np.full(len(starts), np.uint64(walk * 64 + size))
+    odd = rng.integers(0, 1 << 31, steps).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+    padded = np.concatenate([words, np.zeros(steps + 1, np.uint64)])
+    bits = (padded >> np.uint64(32)).astype(np.uint32)  # the walk's random bits come from these
+    at, end, key = starts.astype(np.uint32), (starts + size).astype(np.uint32), np.full(len(starts), np.uint64(walk * 64 + size))
     for j in range(max(sampled) + 1):
-        w = padded[at]
         if j in sampled:
-            key = (key ^ (w * (at < end))) * np.uint64(0x9E3779B97F4A7C15)
+            key = (key ^ (padded[at] * (at < end))) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
-        at += ((w * odd[j]) >> np.uint64(63)).astype(np.int64)
-        np.minimum(at, end, out=at)
+        step = bits[at]
+        step *= odd[j]
+        step >>= np.uint32(31)
+        at += step
     return mix(key)
 
 
