@@ -36,19 +36,15 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     that repeat an id count once; null ids count together as one more id. Each row keeps its own text
     and its extra columns. An empty table gives an empty table.
 
-    Candidates are hashes in enough rows (a count combined before the shuffle; each row names a hash
-    once); only their (id, hash) pairs are counted again by distinct id, so a line that a third of all
-    documents share is never gathered in one task. The pairs find the candidates by a broadcast join
+    Candidates are hashes of enough lines (a count combined before the shuffle); only their (id, hash)
+    pairs are counted again by distinct id, so a line that a third of all documents share is never
+    gathered in one task. The pairs find the candidates by a broadcast join
     while these are few, else by a shuffled join.
     """
     key, tag, hashes, gone = fresh(docs, "line_id", "line_tag", "line_hashes", "line_gone")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    seen = (
-        docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.array_distinct(F.transform(lines, lambda x: _hash(line_key(x)))).alias("h"))
-        .select("id", "tag", F.explode("h").alias("h"))
-        .where("h is not null")
-        .select("id", "tag", "h.h1", "h.h2")
-    )
+    seen = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.explode(lines).alias("line"))
+    seen = seen.select("id", "tag", _hash(line_key(F.col("line"))).alias("h")).where("h is not null").select("id", "tag", "h.h1", "h.h2")
     often = cut(seen.groupBy("h1", "h2").count().where(F.col("count") >= threshold).select("h1", "h2"))
     few = often.count() <= BROADCAST_ROWS
     hits = cut(seen.join(F.broadcast(often) if few else often, ["h1", "h2"], "left_semi"))
