@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts spell it: \x20\x09-\x0D.
 WHITE = " \t\n\x0b\x0c\r"
+#: Whether the shuffle files of an execution go at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,9 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: cuts lineage, outlives executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """`df` written as Parquet to the shared folder and read again: cuts lineage, outlives executors.
+
+    Spark is told to drop the shuffle files of this write at its end: nothing reads them later.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

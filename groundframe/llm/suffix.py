@@ -4,7 +4,7 @@ Every string of LENGTH bytes is assigned to an anchor: the least hash among the
 strings have equal anchors at equal places, so they can only meet within one anchor's gram; consecutive strings
 with the same anchor form a run, about one for 30 bytes of text. Runs are compared instead of strings: first among
 themselves in each task, where a hash-compared suffix sort brings equal ones together, then across tasks by
-128 bits of hash. Only strings of runs whose gram occurs in different surroundings are compared one by one.
+96 bits of hash. Only strings of runs whose gram occurs in different surroundings are compared one by one.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, mix, unique_key
 
 LENGTH, GRAM = 100, 40
+ONCE, REPEAT, PART, FIRST, MIXED = range(5)
 #: Bytes hashed at a time. Long texts go in segments, which may part a run; that costs comparisons, not results.
 SEGMENT = 1 << 17
 #: Bytes of text among which a task sorts its runs at a time.
 LOCAL = 1 << 23
-_MASK = (1 << 64) - 1
 
 
 @lru_cache(maxsize=4)
@@ -173,7 +173,7 @@ def _segments(texts: list[bytes]) -> Iterator[tuple[list[tuple[int, int]], bytes
 
 
 def _all_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, first start, number of starts, gram, context hash, anchor's offset) of the runs of all texts."""
+    """(text, first start, number of starts, gram, context hash) of the runs of all texts."""
     out = []
     for parts, held in _segments(texts):
         buf = np.frombuffer(b"".join(held), np.uint8)
@@ -193,11 +193,12 @@ def _all_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(doc, text) → rows (kind, key, c, doc, p, n) of runs after a first comparison among some texts.
+    """(doc, text) → rows (key, cp, doc, m) of runs after a first comparison among some texts.
 
-    kind 0: the earliest run of a gram here, with its context c; or, where the gram has several contexts here,
-    one row with c null. kind 1: a stretch of n starts that are repeats of an earlier one here.
-    kind 2: a run of a gram with several contexts here.
+    cp holds 32 bits of the context's hash and the first start, m the number of starts and a kind. ONCE: the only run
+    of a gram (the key) here; FIRST: the earliest of several with one context; MIXED: a gram with several contexts
+    here. These meet by their key; the others have keys of their own. PART: a run of a MIXED gram. REPEAT: a stretch of
+    starts that repeat an earlier one here.
     """
     for b in batches:
         texts = [t.encode() for t in b["text"]]
@@ -212,6 +213,16 @@ def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             i = j
 
 
+def _packed(kind: int, key: np.ndarray, c: np.ndarray | None, doc: np.ndarray, p: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    high = np.zeros(len(p), np.uint64) if c is None else c >> np.uint64(32)
+    cp = (high << np.uint64(32)) | p.astype(np.uint64)
+    return pd.DataFrame({"key": key.astype(np.int64), "cp": cp.astype(np.int64), "doc": doc, "m": n.astype(np.int64) * 8 + kind})
+
+
+def _own_key(doc: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return mix(mix(doc.astype(np.uint64)) + p.astype(np.uint64))
+
+
 def _compared(texts: list[bytes], ids: np.ndarray) -> pd.DataFrame:
     which, p, n, k, c = _all_runs(texts)
     doc = ids[which] if len(which) else np.zeros(0, np.int64)
@@ -220,7 +231,7 @@ def _compared(texts: list[bytes], ids: np.ndarray) -> pd.DataFrame:
     same = k[1:] == k[:-1]
     again = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(k) else np.zeros(0, bool)
     once = ~again
-    rows = [(0, k[once], c[once], doc[once], p[once], n[once])]
+    rows = [_packed(ONCE, k[once], c[once], doc[once], p[once], n[once])]
     r = np.nonzero(again)[0]
     if len(r):
         which, p, n, k, c, doc = (x[r] for x in (which, p, n, k, c, doc))
@@ -230,68 +241,69 @@ def _compared(texts: list[bytes], ids: np.ndarray) -> pd.DataFrame:
         buf = np.frombuffer(b"".join(texts[u] for u in used), np.uint8)
         start, length = begin[np.searchsorted(used, which)] + p, n + LENGTH - 1
         o = sort_suffixes(Hashed(buf, 3), start, length, k)
-        which, p, n, k, c, doc, start, length = (x[o] for x in (which, p, n, k, c, doc, start, length))
+        p, n, k, c, doc, start, length = (x[o] for x in (p, n, k, c, doc, start, length))
         # neighbours of one gram, length and context are equal strings; the bytes confirm it
         equal = np.concatenate([[False], (k[1:] == k[:-1]) & (length[1:] == length[:-1]) & (c[1:] == c[:-1])])
         for x in np.nonzero(equal)[0]:
             s, t, m = start[x - 1], start[x], length[x]
             equal[x] = buf[s : s + m].tobytes() == buf[t : t + m].tobytes()
-        newk = np.concatenate([[True], k[1:] != k[:-1]])
-        contexts = np.add.reduceat(~equal, np.nonzero(newk)[0])
-        several = np.repeat(contexts > 1, np.diff(np.concatenate([np.nonzero(newk)[0], [len(k)]])))
-        one = ~several & ~equal
-        rows.append((0, k[one], c[one], doc[one], p[one], n[one]))
-        mark = newk & several
-        rows.append((0, k[mark], None, doc[mark], p[mark], n[mark]))
-        odd = several & ~equal
-        rows.append((2, k[odd], c[odd], doc[odd], p[odd], n[odd]))
+        new = np.concatenate([[True], k[1:] != k[:-1]])
+        first = np.nonzero(new)[0]
+        several = np.repeat(np.add.reduceat((~equal).astype(int), first) > 1, np.diff(np.concatenate([first, [len(k)]])))
+        one, mark, part = ~several & ~equal, new & several, several & ~equal
+        rows.append(_packed(FIRST, k[one], c[one], doc[one], p[one], n[one]))
+        rows.append(_packed(MIXED, k[mark], None, doc[mark], p[mark], n[mark]))
+        rows.append(_packed(PART, _own_key(doc[part], p[part]), None, doc[part], p[part], n[part]))
         d, a, m = doc[equal], p[equal], n[equal]
         if len(d):  # stretches that follow each other become one
             o = np.lexsort((a, d))
             d, a, m = d[o], a[o], m[o]
             f = np.nonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] != a[:-1] + m[:-1])]))[0]
-            rows.append((1, mix(d[f].astype(np.uint64) + a[f].astype(np.uint64)), None, d[f], a[f], np.add.reduceat(m, f)))
-    return pd.concat(
-        pd.DataFrame({"kind": kind, "key": k.astype(np.int64), "c": pd.array([None] * len(k), "Int64") if c is None else pd.array(c.astype(np.int64), "Int64"), "doc": doc, "p": p, "n": n})
-        for kind, k, c, doc, p, n in rows
-    )
+            rows.append(_packed(REPEAT, _own_key(d[f], a[f]), None, d[f], a[f], np.add.reduceat(m, f)))
+    return pd.concat(rows)
+
+
+def _flags(stretches: np.ndarray, size: int) -> np.ndarray:
+    """Which of `size` places lie in a stretch [a, b); stretches as rows."""
+    d = np.zeros(size + 1, np.int32)
+    np.add.at(d, np.clip(stretches[:, 0], 0, size), 1)
+    np.add.at(d, np.clip(stretches[:, 1], 0, size), -1)
+    return np.cumsum(d)[:size] > 0
 
 
 def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(doc, text, runs [(p, n)], known) → strings that still need comparing: rows (h1, h2, doc, p, n).
+    """(doc, text, runs [(p, n)]) → strings that still need comparing: rows (h1, hp, doc, n).
 
-    n is 0 for the earliest place of a string among some texts; for others, which repeat it, the row is a
-    stretch of n starts known to be repeats.
+    hp holds 32 more bits of the string's hash, and its start. n is 0 for the earliest place of a string among some
+    texts; else the row is a stretch of n starts known to be repeats.
     """
     for b in batches:
         for s in range(0, len(b), 2_000):
             some = b.iloc[s : s + 2_000]
             got = []
             for doc, text, runs in zip(some["doc"], some["text"], some["runs"], strict=True):
-                data, p = text.encode(), np.sort(np.concatenate([np.arange(r["p"], r["p"] + r["n"]) for r in runs]))
-                cuts = np.searchsorted(p, np.arange(0, len(data) + SEGMENT, SEGMENT))
-                for x, y, at in zip(cuts, cuts[1:], range(0, len(data), SEGMENT), strict=False):
-                    if x < y:
+                data = text.encode()
+                p = np.nonzero(_flags(np.array([(r["p"], r["p"] + r["n"]) for r in runs], np.int64), len(data)))[0]
+                for at in range(0, len(data), SEGMENT):
+                    q = p[np.searchsorted(p, at) : np.searchsorted(p, at + SEGMENT)]
+                    if len(q):
                         buf = np.frombuffer(data[at : at + SEGMENT + LENGTH], np.uint8)
-                        q = p[x:y] - at
-                        got.append((np.full(y - x, doc), p[x:y], mix(Hashed(buf, 4)(q, LENGTH)), mix(Hashed(buf, 5)(q, LENGTH))))
+                        got.append((np.full(len(q), doc), q, mix(Hashed(buf, 4)(q - at, LENGTH)), mix(Hashed(buf, 5)(q - at, LENGTH)) >> np.uint64(32)))
+            if not got:
+                continue
             doc, p, h1, h2 = (np.concatenate(x) for x in zip(*got, strict=True))
             o = np.lexsort((p, doc, h2, h1))
             doc, p, h1, h2 = doc[o], p[o], h1[o], h2[o]
             again = np.concatenate([[False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])])
-            a, f = np.zeros(0, np.int64), ~again
-            d, q = doc[again], p[again]
+            f, d, q = ~again, doc[again], p[again]
+            hp = ((h2[f] << np.uint64(32)) | p[f].astype(np.uint64)).astype(np.int64)
+            yield pd.DataFrame({"h1": h1[f].astype(np.int64), "hp": hp, "doc": doc[f], "n": 0})
             if len(d):
                 o = np.lexsort((q, d))
                 d, q = d[o], q[o]
                 at = np.nonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (q[1:] != q[:-1] + 1)]))[0]
-                a = np.diff(np.concatenate([at, [len(d)]]))
-                d, q = d[at], q[at]
-            key = mix(d.astype(np.uint64) * np.uint64(31) + q.astype(np.uint64))
-            yield pd.DataFrame({
-                "h1": np.concatenate([h1[f], key]).astype(np.int64), "h2": np.concatenate([h2[f], key]).astype(np.int64),
-                "doc": np.concatenate([doc[f], d]), "p": np.concatenate([p[f], q]), "n": np.concatenate([np.zeros(f.sum(), np.int64), a]),
-            })
+                n = np.diff(np.concatenate([at, [len(d)]]))
+                yield pd.DataFrame({"h1": _own_key(d[at], q[at]).astype(np.int64), "hp": q[at], "doc": d[at], "n": n})
 
 
 def _covered(starts: list, size: int) -> np.ndarray:
@@ -320,22 +332,25 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rest = [c for c in docs.columns if c != text_col]
     own = keyed.select(F.col(key).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*rest).alias(held)).where("doc is not null")
 
-    rows = own.select("doc", "text").mapInPandas(_local, "kind int, key long, c long, doc long, p long, n int")
+    low, high = (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))), (lambda c: F.shiftright(c, 32))
+    rows = own.select("doc", "text").mapInPandas(_local, "key long, cp long, doc long, m long")
+    kind, c = F.col("m").bitwiseAND(F.lit(7)), high("cp")
+    run = kind.isin(ONCE, FIRST)
     w = Window.partitionBy("key")
     rows = rows.withColumns({
-        "several": F.coalesce(F.min("c").over(w) != F.max("c").over(w), F.lit(True)) | F.max(F.col("c").isNull()).over(w),
-        "turn": F.row_number().over(Window.partitionBy("key", "c").orderBy("doc", "p")),
+        "several": F.coalesce(F.min(F.when(run, c)).over(w) != F.max(F.when(run, c)).over(w), F.lit(False)) | F.max(kind == MIXED).over(w),
+        "turn": F.row_number().over(Window.partitionBy("key", c, kind == MIXED).orderBy("doc", "cp")),
     })
-    run = (F.col("kind") == 0) & F.col("c").isNotNull()
-    what = F.when(F.col("kind") > 0, F.col("kind")).when(run & (F.col("turn") > 1), 1).when(run & F.col("several"), 2)
-    info = cut(rows.select("doc", "p", "n", what.alias("what")).where("what is not null"))
-
-    todo = info.where("what = 2").groupBy("doc").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
-    strings = own.select("doc", "text").join(todo, "doc").mapInPandas(_strings, "h1 long, h2 long, doc long, p long, n long")
-    turn = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("doc", "p"))
-    more = strings.withColumn("turn", turn).where("n > 0 or turn > 1").select("doc", "p", F.greatest("n", F.lit(1)).alias("n"))
-    marks = info.where("what = 1").select("doc", "p", F.col("n").cast("long")).union(more)
-    marks = marks.groupBy("doc").agg(F.collect_list(F.struct("p", "n")).alias("marks"))
+    what = F.when(kind.isin(REPEAT, PART), kind).when(run & (F.col("turn") > 1), REPEAT).when(run & F.col("several"), PART)
+    info = cut(rows.select("doc", low("cp").alias("p"), F.shiftright("m", 3).alias("n"), what.alias("what")).where("what is not null"))
+
+    todo = info.where(F.col("what") == PART).groupBy("doc").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
+    strings = own.select("doc", "text").join(todo, "doc").mapInPandas(_strings, "h1 long, hp long, doc long, n long")
+    turn = F.row_number().over(Window.partitionBy("h1", high("hp")).orderBy("doc", "hp"))
+    more = strings.withColumn("turn", turn).where("n > 0 or turn > 1").select("doc", low("hp").alias("p"), F.greatest("n", F.lit(1)).alias("n"))
+    more = cut(more)
+    info = info.where(F.col("what") == REPEAT).select("doc", "p", "n")
+    marks = info.union(more).groupBy("doc").agg(F.collect_list(F.struct("p", "n")).alias("marks"))
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>, kept binary")
     def kept(text: pd.Series, marks: pd.Series) -> pd.DataFrame:
