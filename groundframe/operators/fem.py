@@ -94,6 +94,8 @@ def solve(k: DataFrame, loads: DataFrame, fixed: DataFrame, folder: str, *, tole
         v = v.select("dof", (F.col("u") + alpha * F.col("p")).alias("u"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p")
         new = v.agg(F.sum(F.col("r") ** 2)).first()[0]
         v, rr = v.withColumn("p", F.col("r") + new / rr * F.col("p")), new
+    if rr > goal:
+        raise RuntimeError(f"no convergence in {most} steps: the residual is {rr**0.5:.3g}, {goal**0.5:.3g} was wanted")
     return v.select("dof", "u").union(fixed)
 
 

@@ -1,0 +1,11 @@
+import pytest
+
+from groundframe.operators import fem
+
+
+def test_a_solve_that_does_not_converge_says_so(spark, tmp_path):
+    k = spark.createDataFrame([(i, i, float(10**i)) for i in range(4)] + [(0, 1, 0.5), (1, 0, 0.5)], "row long, col long, value double")
+    loads = spark.createDataFrame([(i, 1.0) for i in range(4)], "dof long, value double")
+    fixed = spark.createDataFrame([], "dof long, value double")
+    with pytest.raises(RuntimeError, match="no convergence in 1 steps"):
+        fem.solve(k, loads, fixed, str(tmp_path), most=1)
