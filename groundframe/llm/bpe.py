@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, others
 
 #: Texts of more code points than this are cut into chunks of as many, each reaching OVERLAP further.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
@@ -146,7 +146,7 @@ class Bpe:
         empty: no ids. Rows are independent; repeated rows and extra columns pass through.
         """
         key, held, other = fresh(docs, "bpe_key", "bpe_ids", "bpe_other")
-        rest = [c for c in docs.columns if c.lower() != ids_col.lower()]
+        rest = others(docs, ids_col)
         text = F.coalesce(F.col(text_col), F.lit(""))
         short = docs.where(F.length(text) <= self.chunk).select(*rest, self._encode_whole(text).alias(ids_col))
         long = docs.where(F.length(F.col(text_col)) > self.chunk).withColumn(key, F.sha2(text_col, 256))

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts spell it: \x20\x09-\x0D.
@@ -43,6 +43,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a table that `cut` made and nothing will read again."""
+    spark = df.sparkSession
+    base = shared_dir(spark).rstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(base.split(":", 1)[-1].lstrip("/")):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def named(*names: str) -> list[Column]:
+    """Columns by their exact names, which may hold dots and other marks."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def others(df: DataFrame, *made: str) -> list[Column]:
+    """The columns of `df` less those named in `made` (Spark compares without regard to case)."""
+    gone = {m.lower() for m in made}
+    return named(*(c for c in df.columns if c.lower() not in gone))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """For each name, one that no column of `df` has (Spark compares without regard to case)."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -86,21 +107,26 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        now = cut(small.where("u <> v").distinct())
+        before, now = now, cut(small.where("u <> v").distinct())
         last, state = state, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        forget(before)
         if state == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def odd_ids(df: DataFrame, id_col: str) -> bool:
+    """Whether an id is null or repeated, by a count over ids alone."""
+    ids = df.select(F.col(id_col).cast("long").alias("i"))
+    return not ids.groupBy("i").count().where("count > 1 or i is null").limit(1).isEmpty()
+
+
 def unique_key(df: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
     """`df` with `key`: a non-null long, the same for rows that agree in id and text, and ordered like the ids.
 
     The id itself where ids are unique and not null (found by a count over ids alone). Otherwise ids are ranked
     with their texts' hashes (null ids last) by a global sort and numbered through.
     """
-    ids = df.select(F.col(id_col).cast("long").alias("i"))
-    odd = ids.groupBy("i").count().where("count > 1 or i is null").limit(1)
-    if odd.isEmpty():
+    if not odd_ids(df, id_col):
         return df.withColumn(key, F.col(id_col).cast("long"))
     tag, i, t = fresh(df, "key_tag", "key_i", "key_t")
     both = df.select(F.col(id_col).cast("long").alias(i), F.xxhash64(text_col).alias(t)).distinct()

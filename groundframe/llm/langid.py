@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, others
 
 #: Bytes of a window; dimensions of a byte's embedding; widths of the filters, and filters of each width.
 WINDOW, DIM, WIDTHS, FILTERS = 256, 4, (3, 4, 5), 8
@@ -114,25 +114,26 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_DOCS) -> ByteCnn | None:
     """A network trained on at most `per_lang` labelled documents of each language that are not held out.
 
-    Those with the smallest hash of their id are taken: a ranking over ids alone picks them, then a second scan
-    fetches their texts. This sample's bound is the number of
+    Those with the smallest hash of their id are taken: a ranking over ids and hashes of texts alone picks them, then a
+    second scan fetches their texts. Rows that agree in id and text count once. This sample's bound is the number of
     languages times `per_lang`. Rows with a null id, text or language, or without a letter, are not learnt from.
     """
-    ids = docs.where(~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"))
+    ids = docs.where(~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("t"), F.col(lang_col).alias("l"))
     # a language's rows are first thinned by hash to about four times what is wanted, so that no ranking sees many
     n = F.broadcast(ids.groupBy("l").count())  # one row a language, as the network has
-    share = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / (1 << 30)
-    ids = ids.join(n, "l").where(share * F.col("count") <= 4 * per_lang)
-    w = Window.partitionBy("l").orderBy(share, "i")
-    ids = ids.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_lang).select("i").distinct()
-    taken = docs.join(F.broadcast(ids), F.col(id_col) == F.col("i"), "left_semi").where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    share = F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) / (1 << 30)
+    ids = ids.join(n, "l").where(share * F.col("count") <= 4 * per_lang).select("i", "t", "l").distinct()
+    w = Window.partitionBy("l").orderBy(share, "i", "t")
+    ids = ids.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_lang).select("i", "t").distinct()
+    found = (F.col(id_col) == F.col("i")) & (F.xxhash64(text_col) == F.col("t"))
+    taken = docs.join(F.broadcast(ids), found, "left_semi").where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
 
     @F.pandas_udf("binary")
     def windows(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: spread(t.encode()).tobytes())
 
-    rows = taken.select(F.col(id_col).alias("i"), windows(text_col).alias("w"), F.col(lang_col).alias("l")).toPandas()
-    rows = rows.sort_values(["i", "w"], kind="stable")
+    rows = taken.select(F.col(id_col).alias("i"), windows(text_col).alias("w"), F.col(lang_col).alias("l")).distinct().toPandas()
+    rows = rows.sort_values(["i", "w", "l"], kind="stable")
     return train([np.frombuffer(w, np.uint8).reshape(-1, WINDOW) for w in rows["w"]], rows["l"].tolist())
 
 
@@ -164,7 +165,7 @@ def identify(docs: DataFrame, model: ByteCnn | None, *, text_col: str = "text")
         return predict(batches)
 
     (own,) = fresh(docs, "told")
-    rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    rest = others(docs, "lang_pred", "score")
     return docs.select(*rest, told(F.col(text_col)).alias(own)).select(*rest, F.col(f"{own}.lang").alias("lang_pred"), F.col(f"{own}.score").alias("score"))
 
 

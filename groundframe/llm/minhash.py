@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, cut, mix
+from .common import components, cut, mix, odd_ids, unique_key
 
 #: Words of a shingle; slots of a signature; rows of a band. At a similarity of 0.75, 32 bands of 4 miss 5 pairs in a million.
 WORDS, SLOTS, ROWS = 5, 128, 4
@@ -144,17 +144,15 @@ def _digest(packed: bytes) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-@F.pandas_udf(T.StructType([T.StructField("set", T.BinaryType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]))
+@F.pandas_udf(T.StructType([T.StructField("set", T.BinaryType()), T.StructField("bits", T.ArrayType(T.LongType()))]))
 def shingle_set(texts: pd.Series) -> pd.DataFrame:
-    """A text's set, packed, with a bitmap of its members (BITS places by hash) and its digest."""
+    """A text's set, packed, with a bitmap of its members (BITS places by hash)."""
     sets, bits = [shingles(t) for t in texts], []
     for s in sets:
         b = np.zeros(BITS, np.uint8)
         b[s >> np.uint64(64 - BITS.bit_length() + 1)] = 1
         bits.append(np.packbits(b).view(np.int64))
-    packed = [s.tobytes() for s in sets]
-    d = [_digest(s) for s in packed]
-    return pd.DataFrame({"set": packed, "bits": bits, "d1": [x[0] for x in d], "d2": [x[1] for x in d]})
+    return pd.DataFrame({"set": [s.tobytes() for s in sets], "bits": bits})
 
 
 def _may_link() -> Column:
@@ -249,24 +247,38 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Texts are lower-cased (A-Z) and split at ASCII white space; a text's set is its distinct five-word shingles,
     or its whole word sequence if shorter. Two texts link if 100 * intersection >= 75 * union, confirmed on
     their full sets; component_id is the smallest id reachable. Texts with equal sets are one class from the
-    start and enter as its smallest id. A null, empty or blank text has an empty set: it links with nothing and
-    is kept. Rows that repeat an id share a component; a null id links like any other but is never the
-    smallest, and its row is kept only if no row with an id is in its component.
+    start. A null, empty or blank text has an empty set: it links with nothing and is kept. Rows that agree in id and
+    text are one document; rows that share an id only are documents of their own, each in its own component. A null id
+    links like any other but is never the smallest: where no row of a component has an id, component_id is null and
+    the rows that agree with one of them in text are kept; elsewhere a row with a null id isn't kept.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if not odd_ids(docs, id_col):
+        own = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
+        out = _grouped(own)
+        return out.select(F.col("key").alias(id_col), "n_shingles", F.col("root").alias("component_id"), (F.col("key") == F.col("root")).alias("kept"))
+    keyed = cut(unique_key(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", "key"))
+    out = _grouped(keyed.select("key", "text").dropDuplicates(["key"]))
+    names = keyed.select("key", "id").dropDuplicates(["key"])  # keys are ordered like the ids, null ones last
+    out = out.join(names.select(F.col("key").alias("root"), F.col("id").alias("component_id")), "root")
+    out = keyed.select("key", "id").join(out, "key")
+    kept = F.when(F.col("component_id").isNull(), F.col("key") == F.col("root")).otherwise(F.col("id").eqNullSafe(F.col("component_id")))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
+
+
+def _grouped(own: DataFrame) -> DataFrame:
+    """(key, text), keys unique and not null → (key, n_shingles, root): root the smallest key reachable."""
+    own = own.select(F.col("key").alias("id"), "text")
     signed = cut(own.mapInPandas(_signed, "id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"))
     full = signed.where("n > 0")
-    classes = cut(full.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.min_by(F.struct(F.col("n").alias("size"), "bands", "sketch"), "id").alias("own")).where("rep is not null").select("d1", "d2", "rep", "own.*"))
+    classes = cut(full.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.min_by(F.struct(F.col("n").alias("size"), "bands", "sketch"), "id").alias("own")).select("d1", "d2", "rep", "own.*"))
     rows = classes.select("rep", F.posexplode("bands").alias("band", "h"))
     shared = rows.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     cand = cut(rows.join(shared, ["band", "h"]))
     reps = cand.select("rep").distinct()
-    texts = own.where("id is not null").join(reps, F.col("id") == F.col("rep"), "left_semi")
-    # rows that repeat an id may differ in text: a class's own is the one with its digest
-    sets = texts.select(F.col("id").alias("rep"), shingle_set("text").alias("s")).select("rep", "s.*")
-    sets = sets.join(classes.select("rep", "d1", "d2"), ["rep", "d1", "d2"], "left_semi").dropDuplicates(["rep"]).select("rep", "set", "bits")
+    texts = own.join(reps, F.col("id") == F.col("rep"), "left_semi")
+    sets = texts.select(F.col("id").alias("rep"), shingle_set("text").alias("s")).select("rep", "s.set", "s.bits")
     groups = _links(cand, classes, cut(sets))
     out = signed.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left")
     out = out.join(groups, F.col("rep") == F.col("node"), "left")
-    comp = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("root", "rep"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
+    root = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("root", "rep"))
+    return out.select(F.col("id").alias("key"), F.col("n").alias("n_shingles"), root.alias("root"))

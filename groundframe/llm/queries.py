@@ -142,8 +142,11 @@ FROM embeddings JOIN reach ON id = vec_id LEFT JOIN c ON a = vec_id GROUP BY vec
 
 
 def _secrets_sql() -> str:
-    from .secrets import ACCESS, ALLOW, ASSIGN, BITS, CANDIDATE, HEX, HEX_CLASS, KINDS, WINDOW
-
+    assign = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
+    access, hexes, candidate, hex_class = "AKIA[A-Z0-9]+", "[0-9a-f]+", "[A-Za-z0-9+/_-]{20,}={0,2}", "^[0-9a-fA-F]+$"
+    window, bits_hex, bits_base64 = 20, 3.0, 3.9
+    allowed = ("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "^[A-Za-z/_=+-]+$", "^[0-9/_=+-]+$")
+    names = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
     q = lambda t: "'" + t.replace("'", "''") + "'"
 
     def found(name: str, pattern: str, group: int) -> str:
@@ -153,19 +156,19 @@ unnest(range(len(string_split_regex(t, {p})))) AS i FROM d WHERE regexp_matches(
 {name} AS (SELECT doc_id, hit, part, CAST(sum(length(gap) + coalesce(length(hit), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop FROM {name}_r)"""
 
     base = " UNION ALL ".join(
-        f"SELECT doc_id, stop - length(hit) AS a, {k} AS k, stop AS b FROM {n} WHERE hit IS NOT NULL AND length(part) >= {least}" for k, (n, least) in enumerate((("assign", 6), ("access", 1), ("hex", 1)))
+        f"SELECT doc_id, stop - length(hit) AS a, {k} AS k, stop AS b FROM {n} WHERE hit IS NOT NULL AND length(part) >= {least}" for k, (n, least) in enumerate((("assign", 6), ("access", 20), ("hex", 24)))
     )
-    allow = " OR ".join(f"regexp_matches(hit, {q(a)})" for a in ALLOW)
-    kinds = "[" + ", ".join(map(q, KINDS)) + "]"
+    allow = " OR ".join(f"regexp_matches(hit, {q(a)})" for a in allowed)
+    kinds = "[" + ", ".join(map(q, names)) + "]"
     words = f"string_agg({kinds}[k + 1] || ':' || a || ':' || b, ',' ORDER BY a, k, b)"
-    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {found("assign", ASSIGN, 2)}, {found("access", ACCESS, 0)}, {found("hex", HEX, 0)}, {found("cand", CANDIDATE, 0)},
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {found("assign", assign, 2)}, {found("access", access, 0)}, {found("hex", hexes, 0)}, {found("cand", candidate, 0)},
 base AS ({base}),
-c AS (SELECT doc_id, hit, stop - length(hit) AS a, CASE WHEN regexp_matches(hit, {q(HEX_CLASS)}) THEN 3 ELSE 4 END AS k FROM cand WHERE hit IS NOT NULL AND NOT ({allow})),
-win AS (SELECT doc_id, a, k, unnest(range(length(hit) - {WINDOW - 1})) AS i, hit FROM c),
-hot AS (SELECT *, i - lag(i) OVER (PARTITION BY doc_id, a ORDER BY i) > {WINDOW} AS apart FROM (SELECT *, substr(hit, CAST(i + 1 AS BIGINT), {WINDOW}) AS w FROM win)
-WHERE list_sum(list_transform(list_distinct(string_split(w, '')), lambda ch: ({WINDOW} - length(replace(w, ch, ''))) * log2({WINDOW} - length(replace(w, ch, '')))))
-  <= {WINDOW} * (log2({WINDOW}) - CASE k WHEN 3 THEN {BITS["entropy_hex"]} ELSE {BITS["entropy_base64"]} END) + 1e-9),
-runs AS (SELECT doc_id, a + min(i) AS a, k, a + max(i) + {WINDOW} AS b FROM (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, a ORDER BY i) AS run FROM hot) h GROUP BY doc_id, h.a, k, run),
+c AS (SELECT doc_id, hit, stop - length(hit) AS a, CASE WHEN regexp_matches(hit, {q(hex_class)}) THEN 3 ELSE 4 END AS k FROM cand WHERE hit IS NOT NULL AND NOT ({allow})),
+win AS (SELECT doc_id, a, k, unnest(range(length(hit) - {window - 1})) AS i, hit FROM c),
+hot AS (SELECT *, i - lag(i) OVER (PARTITION BY doc_id, a ORDER BY i) > {window} AS apart FROM (SELECT *, substr(hit, CAST(i + 1 AS BIGINT), {window}) AS w FROM win)
+WHERE list_sum(list_transform(list_distinct(string_split(w, '')), lambda ch: ({window} - length(replace(w, ch, ''))) * log2({window} - length(replace(w, ch, '')))))
+  <= {window} * (log2({window}) - CASE k WHEN 3 THEN {bits_hex} ELSE {bits_base64} END) + 1e-9),
+runs AS (SELECT doc_id, a + min(i) AS a, k, a + max(i) + {window} AS b FROM (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, a ORDER BY i) AS run FROM hot) h GROUP BY doc_id, h.a, k, run),
 more AS (SELECT * FROM runs r WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = r.doc_id AND x.a < r.b AND r.a < x.b)),
 bs AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2, {words} AS s FROM base GROUP BY doc_id),
 al AS (SELECT doc_id, {words} AS s FROM (SELECT * FROM base UNION ALL SELECT doc_id, a, k, b FROM more) GROUP BY doc_id)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, mix, unique_key
+from .common import cut, fresh, mix, others, unique_key
 
 LENGTH, GRAM = 100, 40
 ONCE, REPEAT, PART, FIRST, MIXED = range(5)
@@ -326,10 +326,10 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     that share an id only are documents of their own, ordered by a hash of their text. Extra columns stay.
     """
     made = ["n_bytes", "n_removed", "n_spans", "removed", "kept"]
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
+    docs = docs.select(*others(docs, *made))
     key, held = fresh(docs, "doc", "row")
     keyed = unique_key(docs, id_col, text_col, key)
-    rest = [c for c in docs.columns if c != text_col]
+    rest = others(docs, text_col)
     own = keyed.select(F.col(key).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*rest).alias(held)).where("doc is not null")
 
     low, high = (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))), (lambda c: F.shiftright(c, 32))

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, fresh
+from .common import LOWER, UPPER, cut, fresh, others
 
 #: (verdict, rule); a rule is a host and the start of a path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -73,31 +73,43 @@ class UrlModel:
     prior: float
 
 
-def _rates(train: DataFrame, key: str, prior: float) -> DataFrame:
-    """Smoothed share of blocked URLs for each value of `key`."""
-    return train.groupBy(key).agg(((F.sum("y") + 5 * prior) / (F.count("*") + 5)).alias(f"{key}_rate"), F.log1p(F.count("*")).alias(f"{key}_n"))
+def _rates(train: DataFrame, key: str) -> DataFrame:
+    """Labelled URLs and blocked ones for each value of `key`."""
+    return train.groupBy(key).agg(F.count("*").alias(f"{key}_all"), F.sum("y").alias(f"{key}_blocked"))
 
 
-def _featured(df: DataFrame, m: UrlModel) -> DataFrame:
-    """Statistics joined: both tables have at most TRAIN_ROWS short rows, so they are broadcast."""
-    df = df.join(F.broadcast(m.suffixes), "suffix", "left").join(F.broadcast(m.extensions.drop("ext_n")), "ext", "left")
-    return df.fillna({"suffix_rate": m.prior, "suffix_n": 0.0, "ext_rate": m.prior})
+def _featured(df: DataFrame, m: UrlModel, own: Column | None = None) -> DataFrame:
+    """Smoothed shares of blocked URLs joined: both tables have at most TRAIN_ROWS short rows, so they are broadcast.
+
+    A labelled row (`own`: its label) is left out of the shares that it is given, so they tell it nothing of its label.
+    """
+    df = df.join(F.broadcast(m.suffixes), "suffix", "left").join(F.broadcast(m.extensions), "ext", "left")
+    for key in ("suffix", "ext"):
+        n, y = F.coalesce(f"{key}_all", F.lit(0)), F.coalesce(f"{key}_blocked", F.lit(0.0))
+        if own is not None:
+            n, y = n - 1, y - own
+        df = df.withColumns({f"{key}_rate": (y + 5 * m.prior) / (n + 5), f"{key}_n": F.log1p(n)})
+    return df
 
 
 def fit_urls(labelled: DataFrame, *, url: str = "url", label: str = "label", rows: int = TRAIN_ROWS, rounds: int = 20, depth: int = 4) -> UrlModel:
     """Trees on at most `rows` labelled URLs (label 1: block), those of the smallest hash of the URL.
 
-    Null labels are left out. With one class only, or no rows, the model is the share of blocked URLs
-    (0 without rows).
+    Rows that agree in URL and label count once, and are first thinned by hash to about twice as many, so that no task
+    sorts more. Null labels are left out. With
+    one class only, or no rows, the model is the share of blocked URLs (0 without rows).
     """
-    base = labelled.where(F.col(label).isNotNull()).select(F.col(url).alias("u"), F.col(label).cast("double").alias("y"))
-    base = base.orderBy(F.xxhash64("u"), "u", "y").limit(rows)
-    base = with_lexical(base.withColumns({"h": host_of(F.col("u")), "p": path_of(F.col("u"))}), "u", "h", "p").repartition(4).persist()
+    base = labelled.where(F.col(label).isNotNull()).select(F.col(url).alias("u"), F.col(label).cast("double").alias("y")).withColumn("at", F.xxhash64("u", "y"))
+    share = 2 * rows / max(1, base.agg(F.approx_count_distinct("at")).first()[0])
+    if share < 1:
+        base = base.where(F.pmod("at", F.lit(1 << 30)) < int(share * (1 << 30)))
+    base = base.distinct().orderBy(F.pmod("at", F.lit(1 << 30)), "u", "y").limit(rows).drop("at")
+    base = cut(with_lexical(base.withColumns({"h": host_of(F.col("u")), "p": path_of(F.col("u"))}), "u", "h", "p"))
     n, blocked = base.agg(F.count("*"), F.sum("y")).first()
     prior = (blocked or 0.0) / n if n else 0.0
-    model = UrlModel(None, _rates(base, "suffix", prior), _rates(base, "ext", prior), prior)
+    model = UrlModel(None, cut(_rates(base, "suffix")), cut(_rates(base, "ext")), prior)
     if n and 0 < blocked < n:
-        data = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(_featured(base, model)).select("x", "y").coalesce(4).persist()
+        data = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(_featured(base, model, F.col("y"))).select("x", "y").coalesce(4).persist()
         model.trees = PipelineModel([GBTClassifier(featuresCol="x", labelCol="y", maxIter=rounds, maxDepth=depth, seed=7, maxMemoryInMB=64, checkpointInterval=-1, cacheNodeIds=False).fit(data)])
         data.unpersist()
     return model
@@ -111,7 +123,7 @@ def judge_urls(pages: DataFrame, model: UrlModel | None = None, *, url: str = "u
     independent: repeated rows and extra columns pass through (columns of the same names are replaced).
     """
     made = ["host", "path", "rule", "block_score", "verdict"]
-    rest = [c for c in pages.columns if c.lower() not in made]
+    rest = others(pages, *made)
     (u,) = fresh(pages, "url_in")
     own = pages.select(F.struct(*rest).alias(u), F.col(url).alias("url_"))
     own = own.withColumns({"host": host_of(F.col("url_")), "path": path_of(F.col("url_"))})

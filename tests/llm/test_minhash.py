@@ -37,6 +37,16 @@ def test_edges(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join(base[:30] + ["x"] + base[31:])
+    base = " ".join(base)
+    rows = [(5, base), (None, near), (7, "a b c d e f"), (7, base.upper()), (None, "lone text"), (None, "lone text"), (9, "a b c d e f g h"), (3, near + " end")]
+    out = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    want = [(5, 56, 3, False), (None, 56, 3, False), (7, 2, 7, True), (7, 56, 3, False), (None, 1, None, True), (None, 1, None, True), (9, 4, 9, True), (3, 57, 3, True)]
+    assert out == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("n", [3, 60, 2000])
 def test_signatures_estimate_similarity(n):
     rng = np.random.default_rng(n)

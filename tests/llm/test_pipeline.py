@@ -40,5 +40,25 @@ def test_stages_keep_columns_and_bear_odd_rows(spark, sf, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, odd, sf).count() == 5
 
 
+def test_one_row_of_each_group_stays(spark):
+    t, u = " ".join(f"t{k}" for k in range(40)), " ".join(f"u{k}" for k in range(40))
+    for rows, want in [
+        ([(1, t), (None, t), (None, u)], [(1, t), (None, u)]),
+        ([(0, t), (1, t), (1, u)], [(0, t), (1, u)]),
+        ([(0, t), (0, t), (None, u), (None, u)], [(0, t), (None, u)]),
+        ([(0, None), (0, None), (1, None)], [(0, None), (1, None)]),
+    ]:
+        df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "1L as n_chars", "5 as `a.b`")
+        out = corpus_pipeline.near_dedup(spark, df, "")
+        assert out.columns == df.columns and sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_line_dedup_keeps_own_columns(spark):
+    df = spark.createDataFrame([(k, "same\nown" + str(k), 777, 888) for k in range(12)], "doc_id long, text string, n_lines int, N_dropped int").selectExpr("*", "0L as n_chars", "1 as `a.b`")
+    out = corpus_pipeline.line_dedup(spark, df, "")
+    assert out.columns == df.columns
+    assert {tuple(r) for r in out.collect()} == {(k, f"own{k}", 777, 888, len(f"own{k}"), 1) for k in range(12)}
+
+
 def test_every_operator_has_its_query():
     assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}

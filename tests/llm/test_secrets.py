@@ -59,3 +59,29 @@ def test_edges(spark):
     assert out == {i: text_of(plain(t)[1]) for i, t in enumerate(texts)}
     assert scan_secrets(df).columns == ["doc_id", "text", "secrets_base", "secrets"]
     assert scan_secrets(df.limit(0)).count() == 0
+
+
+def test_work_grows_with_the_hits(spark):
+    import time
+
+    took = []
+    for n in (500, 8_000, 16_000):  # the first is a warm-up
+        text = " ".join(f"token={k}abcdef x{k}Zq8" + ("aB3dE5gH7jK9mN1pQ3sT5vW7" if k % 2 else "") for k in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.perf_counter()
+        got = scan_secrets(df).select(written("secrets")).first()[0]
+        took.append(time.perf_counter() - start)
+        assert got == text_of(plain(text)[1])
+    assert took[2] < 3 * took[1] + 2
+
+
+def test_long_candidates_and_names(spark):
+    import random
+
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefghijkABCDEFGHIJKL0123456789") if (k // 50) % 2 else "q" for k in range(9_000))
+    text += " " + "".join(rng.choice("0123456789abcdef") if (k // 2050) % 2 else "0" for k in range(9_000)).upper()
+    df = spark.createDataFrame([(1, text, 2)], "doc_id long, text string, `a.b` int")
+    out = scan_secrets(df)
+    assert out.columns == ["doc_id", "text", "a.b", "secrets"]
+    assert out.select(written("secrets")).first()[0] == text_of(plain(text)[1])
