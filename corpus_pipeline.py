@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundframe.llm.bpe import Bpe
-from groundframe.llm.common import cut, fresh
+from groundframe.llm.common import cut, fresh, named, odd_ids, unique_key
 from groundframe.llm.decontam import decontaminate
 from groundframe.llm.langid import UNKNOWN, fit_language, identify
 from groundframe.llm.lines import dedup_lines
@@ -27,15 +27,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that ten documents or more share; n_chars follows the text. No document goes."""
-    out = dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Drops lines that ten documents or more share; n_chars follows the text. No document goes, and every other column stays."""
+    (row,) = fresh(docs, "row")
+    out = dedup_lines(docs.select("doc_id", "text", F.struct(*named(*docs.columns)).alias(row)))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*(new.get(c, F.col(row)[c]).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, that of the smallest id."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Keeps one document, a single row, of each group of near copies: that of the smallest id (one without an id only if none has one)."""
+    (key,) = fresh(docs, "row_key")
+    odd = odd_ids(docs, "doc_id")
+    keyed = unique_key(docs, "doc_id", "text", key)
+    kept = near_duplicates(keyed.select(key, "text"), id_col=key).where("kept").select(key).distinct()
+    out = keyed.join(kept, key, "left_semi")
+    if odd:  # rows that agree in id and text have one key
+        out = out.dropDuplicates([key])
+    return out.select(*named(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
