@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mix
+from .common import cut, fresh, mix, others
 
 #: A document leaks an item if some stretch of its words is within this share of the item's length, in word edits.
 EDITS = 0.25
-#: Independent walks; sampled steps of a walk that make a key; words between two windows of a document, at most.
-WALKS, SAMPLES, STRIDE = 3, 4, 4
-#: Window sizes in words; an item's windows have the largest that is at most half the item.
-SIZES = (1, 2, 4, 8, 16)
+#: Share of the leaks at the greatest distance that some walk should catch, steps of a walk that make a key, and walks at most.
+RECALL, SAMPLES, WALKS = 0.99, 2, 64
+#: Words of an item's part that must occur unedited, at most.
+GRAM = 3
 #: Words of the benchmark that one pass over the documents holds; larger benchmarks take several passes.
 BLOCK_WORDS = 2_000_000
 #: Words walked at a time.
@@ -32,33 +34,108 @@ def words_of(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def size_of(n: int) -> int:
-    return max(s for s in SIZES if s <= max(1, n // 2))
+def edits_of(n: int) -> int:
+    """Word edits that an item of n words may have."""
+    return int(EDITS * n)
+
+
+def parts_of(n: int) -> list[int]:
+    """Where an item's parts begin: one more than it may have edits, so that one of them is without any."""
+    k = edits_of(n) + 1
+    return [n * i // k for i in range(k + 1)]
+
 
+def grams_of(words: np.ndarray, g: int) -> np.ndarray:
+    """Hashes of every g words in a row."""
+    n = max(0, len(words) - g + 1)
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(g):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n])
+    return out
 
-def keys_of(words: np.ndarray, starts: np.ndarray, size: int, walk: int) -> np.ndarray:
-    """LSH keys of windows of `size` words: the symbols that a CGK walk emits at the sampled steps.
 
-    The walk emits the word it stands on and goes on by one if a random bit of (step, word) is set, so it emits each
-    word about twice; after an edit the walks of two windows soon meet again, and few steps differ. A walk that
-    leaves the window emits zeros.
+@lru_cache(maxsize=4096)
+def sampled_steps(n: int) -> np.ndarray:
+    """(WALKS, SAMPLES) steps of each walk whose symbols make the key of a window of n words."""
+    rng = np.random.default_rng((5, n))
+    steps = max(1, 3 * n // 2)
+    return np.sort(np.stack([rng.choice(steps, min(SAMPLES, steps), replace=False) for _ in range(WALKS)]), 1)
+
+
+def walk_keys(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray, walks: int) -> np.ndarray:
+    """(windows, walks) LSH keys of windows [start, end) of `words`, for items of `sizes` words.
+
+    A CGK walk emits the word it stands on and goes on by one if a random bit of (step, word) is set, so it emits each
+    word about twice; after an edit the walks of two windows soon meet again, so few steps differ where few edits are. A
+    key is what a walk emits at its sampled steps; a walk that leaves the window emits zeros.
     """
-    rng = np.random.default_rng((walk, size))
-    steps = 2 * size
-    sampled = set(rng.choice(steps, min(SAMPLES, size), replace=False).tolist())
-    odd = rng.integers(0, 1 << 31, steps).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-    padded = np.concatenate([words, np.zeros(steps + 1, np.uint64)])
-    bits = (padded >> np.uint64(32)).astype(np.uint32)  # the walk's random bits come from these
-    at, end, key = starts.astype(np.uint32), (starts + size).astype(np.uint32), np.full(len(starts), np.uint64(walk * 64 + size))
-    for j in range(max(sampled) + 1):
-        if j in sampled:
-            key = (key ^ (padded[at] * (at < end))) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        step = bits[at]
-        step *= odd[j]
-        step >>= np.uint32(31)
-        at += step
-    return mix(key)
+    kinds, kind = np.unique(sizes, return_inverse=True)
+    last = max((int(sampled_steps(int(n))[:walks].max()) for n in kinds), default=0)
+    odd = np.random.default_rng(9).integers(0, 1 << 31, (WALKS, 1 << max(8, last.bit_length()))).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+    sampled = np.zeros((len(kinds), walks, last + 1), bool)
+    for i, n in enumerate(kinds):
+        for w, s in enumerate(sampled_steps(int(n))[:walks]):
+            sampled[i, w, s] = True
+    padded = np.append(words, np.uint64(0))
+    none = len(words)
+    at = np.repeat(starts.astype(np.int64)[:, None], walks, 1)
+    end = ends.astype(np.int64)[:, None]
+    key = np.repeat(np.arange(walks, dtype=np.uint64)[None], len(starts), 0)
+    for j in range(last + 1):
+        word = padded[np.where(at < end, at, none)]
+        mine = sampled[kind, :, j]
+        if mine.any():
+            with np.errstate(over="ignore"):
+                new = (key ^ word) * np.uint64(0x9E3779B97F4A7C15)
+            key = np.where(mine, new ^ (new >> np.uint64(29)), key)
+        bit = (word >> np.uint64(32)).astype(np.uint32) * odd[:walks, j]
+        at += bit >> np.uint32(31)
+    return key
+
+
+@lru_cache(maxsize=4096)
+def calibrate(n: int, trials: int = 200) -> tuple[int, float]:
+    """(walks, recall): as many walks as catch RECALL of simulated leaks of an n-word item at the greatest distance.
+
+    Random words, random edits (of which a third each change, add and drop a word), and the windows that `Items.hits`
+    looks into. With WALKS walks the recall may stay below.
+    """
+    rng = np.random.default_rng((3, n))
+    e = edits_of(n)
+    if not e:
+        return 1, 1.0
+    items = mix(rng.integers(1, 1 << 62, (trials, n)).astype(np.uint64))
+    own = walk_keys(items.ravel(), np.arange(trials) * n, np.arange(1, trials + 1) * n, np.full(trials, n), WALKS)
+    texts, starts, item = [], [], []
+    base = 0
+    for k in range(trials):
+        words = items[k].tolist()
+        for _ in range(e):
+            at, kind = int(rng.integers(len(words))), int(rng.integers(3))
+            words[at : at + (kind != 1)] = [int(rng.integers(1, 1 << 62))] * (kind != 2)
+        fill = rng.integers(1, 1 << 62, 2 * n + 2).tolist()
+        texts += fill[: n + 1] + words + fill[n + 1 :]
+        # the parts without an edit tell where the item begins up to the edits before them
+        shift = int(rng.integers(-(e // 2), e // 2 + 1))
+        for s in shifts_of(n):
+            starts.append(base + n + 1 + shift + s)
+            item.append(k)
+        base += len(words) + 2 * n + 2
+    starts, item = np.array(starts), np.array(item)
+    keys = walk_keys(np.array(texts, np.uint64), starts, starts + n, np.full(len(starts), n), WALKS)
+    hit = np.zeros((trials, WALKS), bool)
+    np.logical_or.at(hit, item, keys == own[item])
+    share = np.logical_or.accumulate(hit, 1).mean(0)
+    enough = np.nonzero(share >= RECALL)[0]
+    walks = int(enough[0]) + 1 if len(enough) else WALKS
+    return walks, float(share[walks - 1])
+
+
+def shifts_of(n: int) -> list[int]:
+    """Where windows begin, from the place that an unedited part gives an item: up to its edits before and behind."""
+    e = edits_of(n)
+    return list(range(-e, e + 1, max(1, e // 3)))
 
 
 def best_match(item: np.ndarray, part: np.ndarray) -> tuple[int, int]:
@@ -75,7 +152,7 @@ def best_match(item: np.ndarray, part: np.ndarray) -> tuple[int, int]:
 
 
 class Items:
-    """A block of benchmark items and the index of their windows' keys."""
+    """A block of benchmark items: their words, their windows' keys, and an index of their parts' first words."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids, self.words = [], []
@@ -84,38 +161,71 @@ class Items:
             if len(w):
                 self.ids.append(i)
                 self.words.append(w)
-        self.sizes = sorted({size_of(len(w)) for w in self.words})
-        self.stride = min([STRIDE, *(len(w) - size_of(len(w)) + 1 for w in self.words)])
-        keys, item, shift = [], [], []
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.edits = np.array([edits_of(n) for n in self.sizes.tolist()], np.int64)
+        self.walks = np.array([calibrate(n)[0] for n in self.sizes.tolist()], np.int64)
+        self.most = int(self.walks.max()) if len(self.walks) else 0
+        flat = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
+        ends = np.cumsum(self.sizes)
+        self.own = walk_keys(flat, ends - self.sizes, ends, self.sizes, self.most) if self.words else np.zeros((0, 0), np.uint64)
+        found: dict[int, list] = {}
         for k, w in enumerate(self.words):
-            size = size_of(len(w))
-            at = np.arange(len(w) - size + 1)
-            for walk in range(WALKS):
-                keys.append(keys_of(w, at, size, walk))
-                item.append(np.full(len(at), k))
-                shift.append(at)
-        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys = self.keys[order]
-        self.item, self.shift = (np.concatenate(x)[order] if keys else np.zeros(0, int) for x in (item, shift))
-        self.bits = max(16, int(len(self.keys)).bit_length() + 6)
-        self.seen = np.zeros(1 << self.bits, bool)
-        self.seen[self.keys >> np.uint64(64 - self.bits)] = True
-
-    def hits(self, words: np.ndarray) -> list[tuple[int, int]]:
-        """(item, place in `words` where the item would begin) of windows that share a key, each once."""
-        found = set()
-        starts = np.arange(0, len(words), self.stride)
-        for size in self.sizes:
-            for walk in range(WALKS):
-                keys = keys_of(words, starts, size, walk)
-                some = np.nonzero(self.seen[keys >> np.uint64(64 - self.bits)])[0]
-                if not len(some):
-                    continue
-                lo, hi = np.searchsorted(self.keys, keys[some]), np.searchsorted(self.keys, keys[some], side="right")
-                for s, a, b in zip(starts[some].tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    found.update((int(self.item[k]), s - int(self.shift[k])) for k in range(a, b))
-        return sorted(found)
+            at = parts_of(len(w))
+            for a, b in zip(at, at[1:], strict=False):
+                g = min(GRAM, b - a)
+                found.setdefault(g, []).append((int(grams_of(w[a : a + g], g)[0]), k, a))
+        self.grams = {}
+        for g, rows_ in found.items():
+            key = np.array([r[0] for r in rows_], np.uint64)
+            order = np.argsort(key, kind="stable")
+            item, place = np.array([r[1] for r in rows_])[order], np.array([r[2] for r in rows_])[order]
+            seen = np.zeros(1 << 20, bool)
+            seen[key >> np.uint64(44)] = True
+            self.grams[g] = key[order], item, place, seen
+
+    def starts(self, words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, place) where parts of items occur in `words` (texts parted by gaps, which begin at `begin`): the
+        place where the item would begin, each once. Within EDITS one part of an item is whole, so nothing is lost here."""
+        texts, items, places = [], [], []
+        for g, (keys, item, place, seen) in self.grams.items():
+            h = grams_of(words, g)
+            some = np.nonzero(seen[h >> np.uint64(44)])[0]
+            lo, hi = np.searchsorted(keys, h[some]), np.searchsorted(keys, h[some], side="right")
+            n = hi - lo
+            at = np.repeat(some, n)
+            k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(n) else np.zeros(0, np.int64)
+            texts.append(np.searchsorted(begin, at, side="right") - 1)
+            items.append(item[k])
+            places.append(at - place[k])
+        if not texts:
+            z = np.zeros(0, np.int64)
+            return z, z, z
+        found = np.unique(np.stack([np.concatenate(x).astype(np.int64) for x in (texts, items, places)], 1), axis=0)
+        t, k, at = found.T
+        # an item that may have no edit is found whole: its first place in a text is as good as any
+        first = np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])]) if len(t) else np.zeros(0, bool)
+        keep = (self.edits[k] > 0) | first if len(k) else first
+        return t[keep], k[keep], at[keep]
+
+    def hits(self, words: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For each text (`sizes` words from `begin` on), (item, place in it): windows of the item's size that agree with it in the key of some walk."""
+        out: list[list[tuple[int, int]]] = [[] for _ in begin]
+        t, k, at = self.starts(words, begin)
+        near = {int(n): shifts_of(int(n)) for n in np.unique(self.sizes[k])}
+        for s in range(0, len(t), 2_000):
+            tt, kk, aa = t[s : s + 2_000], k[s : s + 2_000], at[s : s + 2_000]
+            shifts = [near[int(n)] for n in self.sizes[kk]]
+            many = np.array([len(x) for x in shifts])
+            owner = np.repeat(np.arange(len(tt)), many)
+            low, high = begin[tt][owner], (begin + sizes)[tt][owner]
+            start = np.clip(aa[owner] + np.concatenate(shifts), low, high)
+            n = self.sizes[kk][owner]
+            keys = walk_keys(words, start, np.minimum(start + n, high), n, int(self.walks[kk].max()))
+            same = keys == self.own[kk[owner], : keys.shape[1]]
+            same &= np.arange(keys.shape[1]) < self.walks[kk][owner][:, None]
+            for x in np.nonzero(same.any(1))[0].tolist():
+                out[int(tt[owner[x]])].append((int(kk[owner[x]]), int(start[x] - low[x])))
+        return [sorted(set(x)) for x in out]
 
     def leaks(self, words: np.ndarray, hits: list[tuple[int, int]]) -> list[dict]:
         """For each item hit in a document of these words, its nearest stretch, if within EDITS of its length."""
@@ -154,18 +264,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text", ite
     """`docs` with `col`: array<struct<item, distance, start, end>>, one for each benchmark item that the text leaks.
 
     A text leaks an item if a stretch of its words [start, end) is within EDITS of the item's word count in word edits;
-    the nearest stretch is given. Candidates share an LSH key: the item has windows at every word, the document at
-    every few words, each under WALKS random CGK walks with SAMPLES sampled steps; every candidate is verified by its
-    exact edit distance. An unedited item is always found; at an edit in every 20 words, more than 99 in 100 of 30 words are.
+    the nearest stretch is given. Windows of the item's size are embedded by CGK walks, and those that agree with the item
+    in the sampled steps of some walk are verified by the exact edit distance. How many walks an item of a size takes follows
+    from RECALL by simulated leaks at the greatest distance. Windows are placed where a part of the item stands unedited
+    (an item has one part more than it may have edits), so no leak lacks its window. An unedited item is always found.
     Null, empty and wordless texts leak nothing; nor do items with a null id or text, or without words. Rows are
     independent, so repeated rows and extra columns stay (a column named `col` is replaced). The benchmark is
-    broadcast in blocks of bounded size, one pass over the documents for each.
+    broadcast in blocks of bounded size, one pass over the documents for each, and dropped after it.
     """
     spark = docs.sparkSession
     (more,) = fresh(docs, "leaks_more")
-    out = docs.drop(col).withColumn(more, F.array().cast(f"array<struct<{LEAK}>>"))
+    out, held = docs.select(*others(docs, col)).withColumn(more, F.array().cast(f"array<struct<{LEAK}>>")), None
     for block in _blocks(items.select(F.col(item_id).cast("long"), F.col(item_text))):
-        out = out.withColumn(more, F.concat(more, _leaks_in(spark.sparkContext.broadcast(Items(block)))(F.col(text_col))))
+        if held is not None:  # an earlier block's pass is written before the next one's
+            out = cut(out)
+            held.unpersist()
+        held = spark.sparkContext.broadcast(Items(block))
+        out = out.withColumn(more, F.concat(more, _leaks_in(held)(F.col(text_col))))
     return out.withColumnRenamed(more, col)
 
 
@@ -176,23 +291,12 @@ def _leaks_in(shared):
         group: list[np.ndarray] = []
 
         def flush() -> None:
-            gap = np.zeros(max(SIZES) + 1, np.uint64)  # no walk goes from one document into the next
-            begin, parts, n = [], [], 0
-            for w in group:
-                w = np.concatenate([w, gap, np.zeros(-(len(w) + len(gap)) % items.stride, np.uint64)])
-                begin.append(n)
-                parts.append(w)
-                n += len(w)
-            hits: list[list[tuple[int, int]]] = [[] for _ in group]
-            if parts and len(items.keys):
-                for k, at in items.hits(np.concatenate(parts)):
-                    d = int(np.searchsorted(begin, at, side="right")) - 1
-                    # the item may begin up to its length before the document's first window
-                    for e in (d, d + 1):
-                        if 0 <= e < len(group) and -len(items.words[k]) <= at - begin[e] <= len(group[e]):
-                            hits[e].append((k, at - begin[e]))
-            for w, h in zip(group, hits, strict=True):
-                out.append(items.leaks(w, sorted(h)))
+            gap = np.zeros(GRAM, np.uint64)  # no part of an item reaches from one document into the next
+            sizes = np.array([len(w) for w in group], np.int64)
+            begin = np.cumsum(sizes + GRAM) - sizes - GRAM
+            if group:
+                hits = items.hits(np.concatenate([x for w in group for x in (w, gap)]), begin, sizes)
+                out.extend(items.leaks(w, h) if h else [] for w, h in zip(group, hits, strict=True))
             group.clear()
 
         held = 0

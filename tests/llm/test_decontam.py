@@ -1,6 +1,6 @@
 import numpy as np
 
-from groundframe.llm.decontam import EDITS, Items, best_match, decontaminate, find_leaks, words_of
+from groundframe.llm.decontam import EDITS, best_match, decontaminate, edits_of, find_leaks, parts_of, words_of
 from groundframe.llm.queries import QUERIES
 
 
@@ -63,5 +63,36 @@ def test_edges(spark):
     assert decontaminate(df, items.limit(0)).count() == len(docs) and find_leaks(df.limit(0), items).count() == 0
 
 
-def test_stride_covers_short_items():
-    assert Items([(1, "a b"), (2, "a b c d e f g h i")]).stride <= 2
+def test_recall_at_the_greatest_distance(spark):
+    rng = np.random.default_rng(4)
+    sizes, items, docs = (4, 8, 13, 20, 30, 60, 120), [], []
+    for n in sizes:
+        for _ in range(60):
+            k = len(items)
+            words = [f"v{x}" for x in rng.integers(0, 5000, n)]
+            items.append((k, " ".join(words)))
+            for at in rng.choice(n, int(EDITS * n), replace=False) if k % 2 else rng.integers(0, n - int(EDITS * n), int(EDITS * n)):
+                kind = 0 if k % 2 else int(rng.integers(0, 3))  # changes only, or also added and dropped words
+                words[at : at + (kind != 1)] = [f"e{rng.integers(0, 5000)}"] * (kind != 2)
+            fill = [f"v{x}" for x in rng.integers(0, 5000, 80)]
+            at = int(rng.integers(0, 80))
+            docs.append((k, " ".join(fill[:at] + words + fill[at:])))
+    out = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {r["doc_id"] for r in out.collect() for x in r["leaks"] if x["item"] == r["doc_id"] and x["distance"] <= int(EDITS * len(items[x["item"]][1].split()))}
+    for i, n in enumerate(sizes):
+        assert sum(60 * i <= k < 60 * i + 60 for k in found) >= 56, n
+
+
+def test_parts_are_more_than_edits():
+    for n in range(1, 300):
+        at = parts_of(n)
+        assert at[0] == 0 and at[-1] == n and len(at) == edits_of(n) + 2 and all(a < b for a, b in zip(at, at[1:], strict=False))
+
+
+def test_blocks_of_a_large_benchmark(spark, monkeypatch):
+    import groundframe.llm.decontam as m
+
+    docs = spark.createDataFrame([(k, f"a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k} and more") for k in range(6)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, f"a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k}") for k in range(6)], "item_id long, text string")
+    monkeypatch.setattr(m, "BLOCK_WORDS", 12)
+    assert [[x["item"] for x in r["leaks"]] for r in find_leaks(docs, items).orderBy("doc_id").collect()] == [[k] for k in range(6)]
