@@ -1,10 +1,10 @@
 """Registered queries over the provided tables and the SQL that states the same results."""
 
-from . import blocks, geology, layers, meshes, models, stages, states
+from . import blocks, faces, geology, layers, meshes, models, reports, stages, states
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (meshes, blocks, stages, geology, states, models, layers):
+for _module in (meshes, blocks, stages, geology, states, models, layers, faces, reports):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
 
