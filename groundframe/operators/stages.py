@@ -48,3 +48,55 @@ def latest_results(results: DataFrame, keys: list[str], order: list[str]) -> Dat
     """One row per key, the latest by `order` (MUT-11, MUT-12)."""
     w = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order))
     return results.withColumn("turn", F.row_number().over(w)).where("turn = 1").drop("turn")
+
+
+#: What a stage may state about a region, in the order in which it takes effect: the later wins.
+STATEMENTS = ("map", "activate", "deactivate", "action_activate", "action_deactivate")
+
+
+def stage_states(regions: DataFrame, stages: DataFrame, statements: DataFrame) -> DataFrame:
+    """(stage, region, is_active) of every region in every stage, from all active on (WIN-02, WIN-05).
+
+    `regions`: (region); `stages`: (stage, seq); `statements`: (stage, region, kind of STATEMENTS, active). Within a stage the
+    last kind wins; a stage carries its state on. A stage that leaves no region active has all of them, and so do those after it
+    until they state otherwise: such stages are found in order, one round for each.
+    """
+    rank = F.array_position(F.array(*map(F.lit, STATEMENTS)), F.col("kind"))
+    said = statements.groupBy("stage", "region").agg(F.max_by("active", rank).alias("said"))
+    grid = regions.select("region").distinct().crossJoin(stages.select("stage", "seq").distinct()).join(said, ["stage", "region"], "left")  # one row a stage and region: the result
+    empty: list = []
+    while True:
+        # statements up to the last emptied stage no longer count
+        last = F.lit(None)
+        for s in empty:
+            last = F.when(F.col("seq") >= s, F.lit(s)).otherwise(last)
+        era = F.coalesce(last.cast("long"), F.lit(-(1 << 62)))
+        own = grid.withColumn("era", era).withColumn("said", F.when(F.col("seq") != F.col("era"), F.col("said")))
+        w = Window.partitionBy("region", "era").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+        out = own.withColumn("is_active", F.coalesce(F.last("said", ignorenulls=True).over(w), F.lit(True)))
+        none = out.groupBy("seq").agg(F.bool_or("is_active").alias("any")).where("not any").agg(F.min("seq")).first()[0]
+        if none is None:
+            return out.select("stage", "seq", "region", "is_active")
+        empty.append(none)
+
+
+def shared_stages(a: Column, b: Column) -> Column:
+    """Stages of both lists; an empty or null one means all (SET-13)."""
+    none = lambda c: c.isNull() | (F.size(c) == 0)
+    return F.when(none(a), b).when(none(b), a).otherwise(F.array_intersect(a, b))
+
+
+def snapshot(blocks: Column, active: Column, inactive: Column) -> Column:
+    """A phase's blocks: the explicit ones, or all, without the inactive ones, in order (MUT-15)."""
+    base = F.when(active.isNull() | (F.size(active) == 0), blocks).otherwise(active)
+    return F.array_sort(F.array_distinct(F.array_except(base, F.coalesce(inactive, F.array().cast("array<string>")))))
+
+
+def results_for(results: DataFrame, stage: Column) -> DataFrame:
+    """Results of a stage; a null stage has the results without one (FLT-07)."""
+    return results.where(F.col("stage").eqNullSafe(stage))
+
+
+def without_results(names: Column, tokens: tuple[str, ...] = ("stress", "strain", "disp", "result", "pore")) -> Column:
+    """Whether a column isn't a result: its name holds none of the tokens as a word or a part between marks (MUT-13)."""
+    return ~F.exists(F.split(F.lower(names), "[^a-z]+", -1), lambda t: t.isin(*tokens))
