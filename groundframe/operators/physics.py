@@ -74,12 +74,6 @@ def pore_pressure(z: Column, level: Column, gamma_water: float = 9.81) -> Column
     return F.greatest(F.lit(0.0), gamma_water * (level - z))
 
 
-def proxy_excess_pressure(u: Column, index: Column, n: Column, factor: float) -> Column:
-    """Excess pressure left at a phase: dissipation linear in its index (PHY-06, WIN-11)."""
-    degree = F.least(F.lit(1.0), F.greatest(F.lit(0.0), factor * index / F.greatest(n - 1, F.lit(1))))
-    return F.greatest(F.lit(0.0), u * (1 - degree))
-
-
 def contact_state(gap: Column, slip: Column, kn: Column, ks: Column, friction: Column, cohesion: Column) -> dict[str, Column]:
     """Coulomb contact: status open, stick or slip, and the tractions (NUM-25)."""
     normal = F.greatest(F.lit(0.0), -kn * gap)
@@ -87,8 +81,3 @@ def contact_state(gap: Column, slip: Column, kn: Column, ks: Column, friction: C
     status = F.when(gap > 0, "open").when(F.abs(trial) <= most, "stick").otherwise("slip")
     shear = F.when(status == "open", 0.0).when(status == "stick", trial).otherwise(F.signum(trial) * most)
     return {"status": status, "normal": F.when(gap > 0, 0.0).otherwise(normal), "shear": shear}
-
-
-def proxy_settlement(depth: Column, index: Column, wall: Column) -> Column:
-    """A closed-form stand-in for a stage's settlement (PHY-01); not a solution."""
-    return 0.0035 * depth**2 * (1 + 0.12 * index) * F.pow(wall, F.lit(-0.25))

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundframe.functions import safe_id, stable_hash
-from groundframe.operators import blocks, fem, graph, mesh, stages
+from groundframe.operators import blocks, graph, mesh, stages
 from groundframe.operators import geometry as g
 
 UNIT_TET = [(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 0.0, 1.0, 0.0), (3, 0.0, 0.0, 1.0)]
@@ -38,39 +38,6 @@ def test_columns_of_geometry(spark):
     assert tuple(r["c"]) == (0.25, 0.25, 0.25) and r["f"] == 0.5 and tuple(r["n"]) == (0.0, 0.0, 1.0) == tuple(r["t"]) and r["xy"] == 0.5 and 0 < r["q"] <= 1
 
 
-def test_single_tetrahedron_solve(spark, tmp_path):
-    cells, _, _ = tet(spark)
-    k = fem.stiffness(cells)
-    fixed = spark.createDataFrame([(d, 0.0) for d in (0, 1, 2, 4, 5, 6, 7, 8, 9, 10, 11)], "dof long, value double")
-    u = fem.solve(k, spark.createDataFrame([(3, 1.0)], "dof long, value double"), fixed, str(tmp_path))
-    got = {r["dof"]: r["u"] for r in u.collect()}
-    stiff = {(r["row"], r["col"]): r["value"] for r in k.collect()}
-    assert len(got) == 12 and abs(got[3] * stiff[3, 3] - 1) < 1e-10
-    r = fem.recover(cells, u).first()
-    assert len(r["stress"]) == 6 and abs(r["strain"][0] - got[3]) < 1e-12
-
-
-def test_affine_patch(spark, tmp_path):
-    """Prescribed affine displacements give one strain and stress everywhere."""
-    corners = [*UNIT_TET, (4, 0.2, 0.3, 0.25)]  # four tetrahedra around an inner node
-    nodes = spark.createDataFrame(corners, "node_id long, x double, y double, z double")
-    parts = [(k, "tet4", [n for n in range(4) if n != k] + [4], "a") for k in range(4)]
-    cells = mesh.with_points(spark.createDataFrame(parts, "cell_id long, cell_type string, conn array<long>, region string"), nodes)
-    cells = cells.withColumns({"e": F.lit(25e6), "nu": F.lit(0.28)})
-    grad = np.array([[1e-3, 2e-4, 0], [0, -5e-4, 3e-4], [1e-4, 0, 7e-4]])
-    where = {r["node_id"]: np.array([r["x"], r["y"], r["z"]]) for r in nodes.collect()}
-    u = [(3 * n + a, float((grad @ p)[a])) for n, p in where.items() for a in range(3)]
-    strain = np.array([grad[0, 0], grad[1, 1], grad[2, 2], grad[0, 1] + grad[1, 0], grad[1, 2] + grad[2, 1], grad[0, 2] + grad[2, 0]])
-    rows = fem.recover(cells, spark.createDataFrame(u, "dof long, u double")).collect()
-    assert len(rows) == 4
-    for r in rows:
-        assert np.abs(np.array(r["strain"]) - strain).max() < 1e-12 and np.abs(np.array(r["stress"]) - fem.elastic_matrix(25e6, 0.28) @ strain).max() < 1e-5
-    inner = [d for d in u if d[0] // 3 != 4]
-    out = fem.solve(fem.stiffness(cells), spark.createDataFrame([], "dof long, value double"), spark.createDataFrame(inner, "dof long, value double"), str(tmp_path))
-    got = {r["dof"]: r["u"] for r in out.collect()}
-    assert all(abs(got[d] - v) < 1e-9 for d, v in u)
-
-
 def test_components_and_neighbours(spark, tmp_path):
     e = spark.createDataFrame([(5, 3, "contacts"), (3, 9, "contacts"), (7, 8, "owns"), (2, 2, "owns")] + [(100 + i, 101 + i, "contacts") for i in range(40)], "source long, target long, relation string")
     got = {r["node"]: r["root"] for r in graph.components(e, str(tmp_path)).collect()}
