@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import base64
+import heapq
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import regex
-import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,18 +33,47 @@ def _tokens(data: bytes) -> dict[int, bytes]:
     return {r: t for t, r in _ranks(data).items()}
 
 
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Token ids of a piece: of all neighbours the pair of the lowest rank, the leftmost of several, becomes one, until no pair has a rank.
+
+    Pairs wait in a heap and parts are linked by their places, so a piece of n bytes takes about n log n steps.
+    """
+    n = len(piece)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at a place
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    alive = [True] * n
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = end[i]
+        if not alive[i] or j >= n or end[j] != stop:  # one of the two has grown or gone since
+            continue
+        end[i], alive[j] = stop, False
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(piece[i : end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        h = before[i]
+        if h >= 0 and (r := ranks.get(piece[h:stop])) is not None:
+            heapq.heappush(heap, (r, h, stop))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : end[i]]])
+        i = end[i]
+    return out
+
+
 class _Cache(dict):
     """Ids, packed, of pieces already met; bounded."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
-        self.merge = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
     def __missing__(self, piece: str) -> bytes:
         b = piece.encode()
         own = self.ranks.get(b)
-        ids = struct.pack("<I", own) if own is not None else np.array(self.merge(b), "<u4").tobytes()
+        ids = struct.pack("<I", own) if own is not None else np.array(merge(b, self.ranks), "<u4").tobytes()
         if len(b) <= 64:
             if len(self) >= 150_000:
                 self.clear()
