@@ -19,7 +19,7 @@ PROJECTIONS, MISS = 24, 1e-6
 #: Width of a cell along one projection, in standard deviations of a random unit vector's; vectors a cell aims at.
 CELL, AIM = 2.5, 64
 #: Blocks that are compared hold about this many vectors at most, and small cells share a task up to about PACK of them.
-BLOCK, PACK = 1_024, 512
+BLOCK, PACK = 4_096, 512
 
 
 @lru_cache(maxsize=8)
