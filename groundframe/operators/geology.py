@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Samples of a surface that one part of an interpolation holds, about.
+SAMPLES = 50_000
+
+
 def interval_elevation(elevation: Column, depth: Column, generic: Column, collar: Column, *, mode: str = "depth", scale: float = 1.0) -> Column:
     """An interval's end as an elevation: given as one, else the collar less a depth; a generic value counts by `mode` (PRJ-19)."""
     as_depth = collar * scale - F.coalesce(depth, generic if mode == "depth" else F.lit(None).cast("double")) * scale
@@ -44,11 +48,15 @@ def layer_solids(surfaces: DataFrame) -> DataFrame:
 def idw_grid(samples: DataFrame, grid: DataFrame, *, power: float = 2.0) -> DataFrame:
     """Inverse-distance values of every grid point (surface, i, j, x, y) from its surface's samples (surface, seq, x, y, z).
 
-    A sample closer than 1e-9 gives its own value, the first by seq. The join is on the surface and sums are combined
-    before the shuffle, so samples of one surface may be many; a surface without samples keeps null (SPA-01 to SPA-04).
+    A sample closer than 1e-9 gives its own value, the first by seq. Samples of a surface are split into parts of about
+    SAMPLES, which its grid meets one by one, and sums are combined before the shuffle, so samples of one surface may be
+    many; a surface without samples keeps null (SPA-01 to SPA-04).
     """
-    s = samples.select("surface", "seq", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"))
-    both = grid.join(s, "surface", "left")
+    parts = samples.groupBy("surface").agg(F.ceil(F.count("*") / SAMPLES).cast("int").alias("parts"))
+    s = samples.join(parts, "surface").withColumn("part", F.pmod(F.xxhash64("seq"), F.col("parts")).cast("int"))
+    s = s.select("surface", "part", "seq", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"))
+    grid = grid.join(parts, "surface", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    both = grid.join(s, ["surface", "part"], "left")
     d2 = (F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2
     w = F.when(d2 > 1e-18, 1 / F.pow(d2, F.lit(power / 2)))
     out = both.groupBy("surface", "i", "j", "x", "y").agg(

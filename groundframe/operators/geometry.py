@@ -85,9 +85,9 @@ def centroid(p: Column) -> Column:
 
 def aspect_ratio(p: Column) -> Column:
     """Longest over shortest distance among all pairs of points, zero distances left out; null if none is left (PRJ-11, PRJ-12)."""
-    d = F.flatten(F.transform(p, lambda a: F.transform(p, lambda b: norm(sub(a, b)))))
-    d = F.filter(d, lambda x: x > 0)
-    return F.when(F.size(d) > 0, F.array_max(d) / F.array_min(d))
+    far = lambda a, b: norm(sub(F.get(p, F.lit(a)), F.get(p, F.lit(b))))  # noqa: E731  (null beyond the last point)
+    d = F.array(*(F.nullif(far(a, b), F.lit(0.0)) for b in range(8) for a in range(b)))  # cells have eight points at most
+    return F.transform(F.array(d), lambda x: F.array_max(x) / F.array_min(x))[0]
 
 
 def radius_ratio(p: Column) -> Column:

@@ -54,13 +54,13 @@ def face_uses(cells: DataFrame) -> DataFrame:
 
 
 def region_report(cells: DataFrame) -> DataFrame:
-    """Per region: cells, distinct nodes, boundary and interface faces (AGG-01)."""
-    nodes = cells.select("region", F.explode("conn").alias("n")).distinct().groupBy("region").agg(F.count("*").alias("nodes"))
-    own = cells.groupBy("region").agg(F.count("*").alias("cells"))
+    """Per region: cells, distinct nodes, boundary and interface faces (AGG-01). Cells are counted at their first nodes, along with the nodes."""
+    at = cells.select("region", F.posexplode("conn").alias("at", "n")).groupBy("region", "n").agg(F.count_if(F.col("at") == 0).alias("firsts"))
+    own = at.groupBy("region").agg(F.sum("firsts").alias("cells"), F.count("*").alias("nodes"))
     faces = face_uses(cells).where(F.col("kind").isin("boundary", "interface"))
     sides = faces.select(F.col("kind"), F.explode(F.array_distinct(F.array("region_a", "region_b"))).alias("region"))
     count = sides.groupBy("region").agg(*(F.count_if(F.col("kind") == k).alias(f"{k}_faces") for k in ("boundary", "interface")))
-    return own.join(nodes, "region").join(count, "region", "left").fillna(0, ["boundary_faces", "interface_faces"])
+    return own.join(count, "region", "left").fillna(0, ["boundary_faces", "interface_faces"])
 
 
 def region_boundary_adjacency(cells: DataFrame, least: int = 1) -> DataFrame:
@@ -86,12 +86,14 @@ def edge_uses(triangles: DataFrame) -> DataFrame:
 def region_adjacency(points: DataFrame, least: int = 1) -> DataFrame:
     """Pairs of regions (a < b) that share at least `least` points; `points` is (region, point) (JOIN-01, SET-14).
 
-    Duplicates go before the join, whose fan-out is the number of regions at one point.
+    Points with equal sets of regions are counted together, so pairs are made once for each set, not for each point; a large
+    set is taken apart by its members first, whose pairs different tasks can make.
     """
-    p = points.select("region", "point").distinct()
-    q = p.select(F.col("region").alias("region_b"), "point")
-    both = p.withColumnRenamed("region", "region_a").join(q, "point").where("region_a < region_b")
-    return both.groupBy("region_a", "region_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    sets = points.select("region", "point").distinct().groupBy("point").agg(F.sort_array(F.collect_list("region")).alias("s")).where(F.size("s") > 1)
+    sets = sets.groupBy("s").agg(F.count("*").alias("n"))
+    ones = sets.select("n", "s", F.posexplode("s").alias("i", "region_a"))
+    both = ones.select("n", "region_a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("region_b"))
+    return both.groupBy("region_a", "region_b").agg(F.sum("n").alias("shared")).where(F.col("shared") >= least)
 
 
 def merge_nodes(nodes: DataFrame, tolerance: float) -> DataFrame:
@@ -113,11 +115,16 @@ def remap_cells(cells: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def with_points(cells: DataFrame, nodes: DataFrame) -> DataFrame:
-    """`cells` with `pts`, their nodes' points in order."""
+    """`cells` with `pts`, their nodes' points in order; nodes without a point are left out.
+
+    A cell's other columns travel with its first node, so its points and they come together in one grouping.
+    """
     at = nodes.select("node_id", g.point(F.col("x"), F.col("y"), F.col("z")).alias("p"))
-    flat = cells.select("cell_id", F.posexplode("conn").alias("at", "node_id")).join(at, "node_id")
-    pts = flat.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("at", "p"))).alias("c"))
-    return cells.join(pts, "cell_id").withColumn("pts", F.transform("c", lambda x: x["p"])).drop("c")
+    rest = [c for c in cells.columns if c not in ("cell_id", "pts")]
+    flat = cells.select("cell_id", F.struct(*rest).alias("own"), F.posexplode("conn").alias("at", "node_id"))
+    flat = flat.withColumn("own", F.when(F.col("at") == 0, F.col("own"))).join(at, "node_id", "left")
+    c = flat.groupBy("cell_id").agg(F.first("own", ignorenulls=True).alias("own"), F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("at", "p")))).alias("c"))
+    return c.where(F.size("c") > 0).select("cell_id", "own.*", F.transform("c", lambda x: x["p"]).alias("pts"))
 
 
 def optimise(cells: DataFrame, nodes: DataFrame, tolerance: float, least: float = 1e-12, drop_copies: bool = False) -> tuple[DataFrame, DataFrame]:
