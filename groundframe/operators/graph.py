@@ -41,3 +41,17 @@ def dangling(edges: DataFrame) -> DataFrame:
     """Nodes of an outline whose degree isn't two (GRA-06)."""
     ends = edges.select(F.explode(F.array("source", "target")).alias("node"))
     return ends.groupBy("node").agg(F.count("*").alias("degree")).where("degree <> 2")
+
+
+def boundary_loops(triangles: DataFrame, folder: str) -> DataFrame:
+    """(loop, edges, closed): loops of the edges that one triangle (conn) uses, by their smallest node; closed if every node has two edges (GRA-02).
+
+    Loops that meet in a node are one, and not closed. Rounds of `components` are written to `folder`.
+    """
+    c = F.col("conn")
+    pairs = F.array(*(F.array(F.least(c[a], c[b]), F.greatest(c[a], c[b])) for a, b in ((0, 1), (1, 2), (2, 0))))
+    open_ = triangles.select(F.explode(pairs).alias("e")).groupBy("e").count().where("count = 1").select(F.col("e")[0].alias("source"), F.col("e")[1].alias("target"))
+    root = components(open_, folder)
+    edges = open_.join(root, F.col("source") == F.col("node")).groupBy(F.col("root").alias("loop")).agg(F.count("*").alias("edges"))
+    odd = dangling(open_).join(root, "node").select(F.col("root").alias("loop")).distinct().withColumn("odd", F.lit(True))
+    return edges.join(odd, "loop", "left").select("loop", "edges", F.col("odd").isNull().alias("closed"))

@@ -32,6 +32,38 @@ def best_matches(old: DataFrame, new: DataFrame, *, reach: float, blocks: tuple[
     return best.select("old_id", "new_id", "score", status.alias("status"))
 
 
+def review_queue(matches: DataFrame) -> DataFrame:
+    """`best_matches` rows with `queue`: invalid without a new entity, review if weak or below SURE, else auto (FLT-19)."""
+    queue = F.when(F.col("new_id").isNull(), "invalid").when((F.col("status") != "auto") | (F.col("score") < AUTO), "review").otherwise("auto")
+    return matches.withColumn("queue", queue)
+
+
+def apply_decisions(queue: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(old_id, new_id, state) after a review: accept takes the match, map takes the decision's own target, any other decision
+    rejects; without one, auto matches are taken and the others wait (FLT-20). The latest decision by `seq` counts.
+    """
+    last = decisions.groupBy("old_id").agg(F.max_by(F.struct("action", "target"), "seq").alias("d"))
+    out = queue.join(last, "old_id", "left")
+    action = F.col("d.action")
+    state = F.when(action == "accept", "accepted").when(action == "map", "mapped").when(F.col("d").isNotNull(), "rejected").when(F.col("queue") == "auto", "accepted").otherwise("waiting")
+    new = F.when(state == "accepted", F.col("new_id")).when(state == "mapped", F.col("d.target"))
+    return out.select("old_id", new.alias("new_id"), state.alias("state"))
+
+
+def transfer_bindings(bindings: DataFrame, names: DataFrame) -> DataFrame:
+    """(binding, target, name, how): bindings to entities by name, carried over to new names: exact, else all names that begin
+    with the target up to a colon, else unmatched (JOIN-11). Names are matched by all their beginnings, so the join is on equality.
+    """
+    parts = F.split("name", ":", -1)
+    begins = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), ":"))
+    known = names.select("name").distinct().select("name", F.explode(begins).alias("target"))
+    both = bindings.join(known, "target", "left")
+    exact = both.groupBy("binding").agg(F.bool_or(F.col("name") == F.col("target")).alias("exact"))
+    both = both.join(exact, "binding").where("name is null or not coalesce(exact, false) or name = target")
+    how = F.when(F.col("name").isNull(), "unmatched").when(F.col("name") == F.col("target"), "exact").otherwise("contains")
+    return both.select("binding", "target", "name", how.alias("how")).distinct()
+
+
 def materials_for(regions: DataFrame, materials: DataFrame, families: tuple[str, ...] = ("soil", "wall")) -> DataFrame:
     """(region, material): the material of the region's name, else the first of its family's prefix (FLT-02)."""
     exact = materials.select(F.col("name").alias("region"), F.col("name").alias("exact"))

@@ -62,6 +62,23 @@ def matches(spark, sf):
     return out.withColumn("score", F.round("score", 6))
 
 
+def decisions(spark, sf):
+    """FLT-19, FLT-20, JOIN-10: matches under review, and what the reviewers said."""
+    queue = t.review_queue(t.best_matches(_entities(spark, sf, "supplier", "s_supp"), _entities(spark, sf, "customer", "c_cust"), reach=5.0))
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    said = table(spark, sf, "customer").where("c_custkey % 3 > 0").select(F.floor(k / 2).alias("old_id"), F.get(F.array(*map(F.lit, ("accept", "map", "reject", "later"))), (n % 4).cast("int")).alias("action"), (k + 1000).alias("target"), k.alias("seq"))
+    return t.apply_decisions(queue, said)
+
+
+def carried(spark, sf):
+    """JOIN-11: bindings by brand, by full name, and to nothing."""
+    k = F.col("p_partkey")
+    names = table(spark, sf, "part").select(F.concat_ws(":", "p_brand", "p_type").alias("name"))
+    target = F.when(k % 3 == 0, F.col("p_brand")).when(k % 3 == 1, F.concat_ws(":", "p_brand", "p_type")).otherwise(F.concat(F.col("p_brand"), F.lit("x")))
+    out = t.transfer_bindings(table(spark, sf, "part").select(k.alias("binding"), target.alias("target")), names)
+    return out.groupBy("how").agg(F.count("*").alias("rows"), F.count_distinct("binding").alias("bindings"), F.min("name").alias("first"))
+
+
 def region_materials(spark, sf):
     """FLT-02."""
     regions = table(spark, sf, "part").select(F.when(F.col("p_partkey") % 3 == 0, F.lower("p_type")).otherwise(F.concat(F.lit("soil_"), F.col("p_size").cast("string"))).alias("region"))
@@ -95,7 +112,7 @@ def crossing_all(spark, sf):
 
 _ACT = "act AS (SELECT DISTINCT event_type AS region, unnest([4, 5, 6, 7, 8]) AS phase FROM events), el AS (SELECT phase, cells.* FROM act JOIN cells USING (region) WHERE length(region) <= phase)"
 QUERIES = {
-    "model_phases": phases, "model_compact": compact, "model_forces": forces, "model_node_sets": sets, "model_spacing": gaps, "model_matches": matches, "model_materials": region_materials, "model_merged": merged, "model_crossing": crossing, "model_crossing_all": crossing_all,
+    "model_phases": phases, "model_compact": compact, "model_forces": forces, "model_node_sets": sets, "model_spacing": gaps, "model_matches": matches, "model_materials": region_materials, "model_merged": merged, "model_crossing": crossing, "model_crossing_all": crossing_all, "model_decisions": decisions, "model_carried": carried,
 }
 _ENT = "(k % 10) AS x, (k % 7) AS y, k % 211 AS fingerprint, k % 97 AS key, k % 89 AS feature, n AS kind, n % 3 AS role"
 SQL = {
@@ -115,6 +132,16 @@ s AS (SELECT old_id, new_id, 10.0::DOUBLE * (o.fingerprint = w.fingerprint)::INT
 + greatest(0, 2 * (1 - sqrt((o.x - w.x) * (o.x - w.x) + (o.y - w.y) * (o.y - w.y)) / 5)) AS score FROM o JOIN w ON o.fingerprint = w.fingerprint OR o.key = w.key OR o.feature = w.feature),
 b AS (SELECT *, row_number() OVER (PARTITION BY old_id ORDER BY score DESC, new_id) AS turn FROM s)
 SELECT old_id, new_id, round(score, 6) AS score, CASE WHEN score < 6 THEN 'weak' WHEN score < 8 THEN 'review' ELSE 'auto' END AS status FROM b WHERE turn = 1""",
+    "model_decisions": f"""WITH o AS (SELECT k AS old_id, {_ENT} FROM (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier)), w AS (SELECT k AS new_id, {_ENT} FROM (SELECT c_custkey AS k, c_nationkey AS n FROM customer)),
+s AS (SELECT old_id, new_id, 10.0::DOUBLE * (o.fingerprint = w.fingerprint)::INT + 5 * (o.key = w.key)::INT + 3 * (o.feature = w.feature)::INT + 2 * (o.kind = w.kind)::INT + (o.role = w.role)::INT
++ greatest(0, 2 * (1 - sqrt((o.x - w.x) * (o.x - w.x) + (o.y - w.y) * (o.y - w.y)) / 5)) AS score FROM o JOIN w ON o.fingerprint = w.fingerprint OR o.key = w.key OR o.feature = w.feature),
+b AS (SELECT *, row_number() OVER (PARTITION BY old_id ORDER BY score DESC, new_id) AS turn FROM s),
+d AS (SELECT c_custkey // 2 AS old_id, arg_max(['accept', 'map', 'reject', 'later'][c_nationkey % 4 + 1], c_custkey) AS action, max(c_custkey) + 1000 AS target FROM customer WHERE c_custkey % 3 > 0 GROUP BY 1),
+r AS (SELECT old_id, new_id, target, CASE WHEN action = 'accept' THEN 'accepted' WHEN action = 'map' THEN 'mapped' WHEN action IS NOT NULL THEN 'rejected' WHEN score >= 8 THEN 'accepted' ELSE 'waiting' END AS state FROM b LEFT JOIN d USING (old_id) WHERE turn = 1)
+SELECT old_id, CASE state WHEN 'accepted' THEN new_id WHEN 'mapped' THEN target END AS new_id, state FROM r""",
+    "model_carried": """WITH n AS (SELECT DISTINCT p_brand AS brand, p_brand || ':' || p_type AS name FROM part), b AS (SELECT p_partkey AS k, p_brand AS brand, p_brand || ':' || p_type AS name FROM part),
+r AS (SELECT 'contains' AS how, k, n.name FROM b JOIN n USING (brand) WHERE k % 3 = 0 UNION ALL SELECT 'exact', k, name FROM b WHERE k % 3 = 1 UNION ALL SELECT 'unmatched', k, NULL FROM b WHERE k % 3 = 2)
+SELECT how, count(*) AS rows, count(DISTINCT k) AS bindings, min(name) AS first FROM r GROUP BY how""",
     "model_materials": """WITH r AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) ELSE 'soil_' || p_size END AS region FROM part), m AS (SELECT DISTINCT 'soil_' || p_size AS name FROM part WHERE p_partkey % 5 = 0)
 SELECT region, coalesce(name, CASE WHEN region LIKE 'soil%' THEN (SELECT min(name) FROM m) END) AS material FROM r LEFT JOIN m ON name = region""",
     "model_merged": f"""WITH {CELLS_SQL}, b AS (SELECT cell_id, region FROM cells UNION ALL SELECT cell_id + (SELECT max(cell_id) + 1 FROM cells), region FROM cells)

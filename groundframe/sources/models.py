@@ -115,3 +115,19 @@ def manifest(results: DataFrame) -> DataFrame:
     from ..operators.stages import field_statistics
 
     return field_statistics(results).groupBy("stage").agg(F.array_sort(F.collect_list(F.struct("field", "n", "low", "high", "mean"))).alias("fields")).select("stage", F.to_json(F.struct("stage", "fields")).alias("json"))
+
+
+def save_project(tables: dict[str, DataFrame], path: str) -> None:
+    """A project's tables as JSON lines, each in a folder of its own under `path` (SNK-04, SNK-12)."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def load_project(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables of `save_project`, by name and schema (SRC-23, SRC-24)."""
+    return {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in schemas.items()}
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Rows as CSV with a heading (SNK-06)."""
+    rows.write.mode("overwrite").csv(path, header=True)

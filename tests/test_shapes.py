@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from groundframe.operators import faces, layers, mesh, quality, shapes, stages, topology
+from groundframe.operators import faces, graph, layers, mesh, quality, shapes, stages, topology
 from groundframe.operators import geometry as g
 
 BOX = "id long, region string, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double"
@@ -110,3 +110,21 @@ def test_face_contacts_at_any_size(spark, size):
     assert blocks.touching_regions(df).count() == len(out) + 2 * (n - 1) ** 2
     shared = mesh.face_uses(topology.shared_node_cells(df).select("cell_id", "region", F.lit("hex8").alias("cell_type"), F.transform("conn", lambda q: F.xxhash64(q)).alias("conn")))
     assert shared.where("uses = 2").count() == len(out)
+
+
+def test_boundary_loops(spark, tmp_path):
+    ring = [(i, (i + 1) % 6, 6 + i) for i in range(6)] + [((i + 1) % 6, 6 + (i + 1) % 6, 6 + i) for i in range(6)]  # a band between two hexagons
+    bow = [(20, 21, 22), (20, 23, 24)]  # two triangles that meet in a node
+    df = spark.createDataFrame([([a, b, c],) for a, b, c in ring + bow], "conn array<long>")
+    assert {tuple(r) for r in graph.boundary_loops(df, str(tmp_path)).collect()} == {(0, 6, True), (6, 6, True), (20, 6, False)}
+
+
+def test_project_round_trip(spark, tmp_path):
+    from groundframe.sources import models
+
+    rows = spark.createDataFrame([(1, "a", None), (2, "b;,\"c", 2.5)], "id long, name string, z double")
+    models.save_project({"volumes": rows, "layers": rows.limit(0)}, str(tmp_path / "p"))
+    got = models.load_project(spark, str(tmp_path / "p"), {"volumes": "id long, name string, z double", "layers": "id long, name string, z double"})
+    assert sorted(map(tuple, got["volumes"].collect())) == sorted(map(tuple, rows.collect())) and got["layers"].count() == 0
+    models.write_csv(rows, str(tmp_path / "c"))
+    assert sorted(map(tuple, spark.read.csv(str(tmp_path / "c"), header=True, schema="id long, name string, z double").collect())) == sorted(map(tuple, rows.collect()))
