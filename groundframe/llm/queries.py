@@ -93,6 +93,48 @@ def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", _sha("kept").alias("kept_sha256"))
 
 
+def exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact import exact_duplicates
+
+    return exact_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), carry=[])
+
+
+def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each vector and component."""
+    from .whiten import whiten
+
+    out = whiten(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    out = out.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", "at").alias("explained"), "identity_error")
+
+
+def _periodic_texts(docs: DataFrame) -> DataFrame:
+    """The documents, a tenth of them (by the hash of their ids) with words from a place on that repeat with a period, as the query asks."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = docs.withColumn("w", F.when(h % 10 == 0, words))
+    docs = docs.withColumn("g", F.floor(h / 10)).withColumn("a", F.col("g") % F.greatest(F.size("w"), F.lit(1)))
+    docs = docs.withColumn("p", 1 + F.floor((F.size("w") - F.col("a")) / (3 + F.col("g") % 8)))
+    repeated = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return docs.select("doc_id", F.when(F.size("w") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import periodic_runs
+
+    out = periodic_runs(_periodic_texts(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+    ahead = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]  # noqa: E731  of two runs, by exact length / period
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    # runs come by start, then period, so the first of equals stays
+    best = F.aggregate("runs", none, lambda b, x: F.when(b.isNull() | (ahead(x, b) > 0), x).otherwise(b))
+    written = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    out = out.withColumn("best", best)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        _sha(written).alias("runs_sha256"), _sha("collapsed").alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_bpe": bpe_ids,
     "op2_secrets": secrets,
@@ -104,6 +146,9 @@ QUERIES = {
     "op8_minhash": near_dups,
     "op9_vectors": near_vecs,
     "op10_suffix": substrings,
+    "op11_exact": exact_dups,
+    "op12_whiten": whitened,
+    "op13_runs": word_runs,
 }
 
 LINES_SQL = """
@@ -115,6 +160,13 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE key IN (SELECT key FR
 FROM k GROUP BY doc_id
 """
 
+#: Groups by the normalised text itself; the first row of a group by length, then id, stays.
+EXACT_SQL = """
+WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t FROM documents),
+g AS (SELECT doc_id, t, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w = 1 AS kept FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id))
+SELECT doc_id, keep_id, group_size, kept, sha256(t) AS text_sha256 FROM g
+"""
+
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Links between equal shingles, then everything reachable: for small tables.
@@ -176,4 +228,4 @@ SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coale
 FROM d LEFT JOIN bs ON bs.doc_id = d.doc_id LEFT JOIN al ON al.doc_id = d.doc_id"""
 
 
-SQL = {"op2_secrets": _secrets_sql(), "op3_lines": LINES_SQL, "op8_minhash": MINHASH_SQL, "op9_vectors": VECTORS_SQL}
+SQL = {"op2_secrets": _secrets_sql(), "op3_lines": LINES_SQL, "op8_minhash": MINHASH_SQL, "op9_vectors": VECTORS_SQL, "op11_exact": EXACT_SQL}
