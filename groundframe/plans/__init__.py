@@ -1,10 +1,10 @@
 """Registered queries over the provided tables and the SQL that states the same results."""
 
-from . import blocks, faces, geology, layers, meshes, models, reports, shapes, stages, states, topology
+from . import blocks, faces, geology, layers, meshes, models, reports, shapes, stages, states, topology, voxels
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (meshes, blocks, stages, geology, states, models, layers, faces, reports, topology, shapes):
+for _module in (meshes, blocks, stages, geology, states, models, layers, faces, reports, topology, shapes, voxels):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
 
