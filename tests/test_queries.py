@@ -5,7 +5,7 @@ from groundframe import plans
 from .oracle import compare
 
 
-@pytest.mark.parametrize("name", sorted(plans.QUERIES))
+@pytest.mark.parametrize("name", sorted(plans.SQL))
 def test_query_equals_sql(spark, sf, name):
     got, want = compare(spark, sf, plans.QUERIES[name], plans.SQL[name])
     assert len(got) == len(want)
