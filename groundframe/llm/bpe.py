@@ -147,7 +147,7 @@ class Bpe:
                 for t, s, more in zip(b["text"], b["start"], b["more"], strict=True):
                     cuts = np.array([m.start() for m in match.finditer(t)] + [len(t)], np.int32)
                     starts = cuts[:-1].astype(np.int64) + s
-                    rows.append((cuts, starts[starts <= s + overlap], starts[starts >= s + chunk] if more else starts[starts >= s + chunk]))
+                    rows.append((cuts, starts[starts <= s + overlap], (starts[:-1] if more else starts)[(starts[:-1] if more else starts) >= s + chunk]))
                 yield b[["key", "k", "start", "text"]].assign(cuts=[r[0] for r in rows], head=[r[1] for r in rows], tail=[r[2] for r in rows])
 
         chunks = texts.select("key", "text").mapInPandas(cut, "key string, k int, start long, text string, more boolean").repartition("key", "k")

@@ -18,6 +18,8 @@ from .common import cut, fresh, mix, others
 EDITS = 0.25
 #: Share of the leaks at the greatest distance that some walk should catch, steps of a walk that make a key, and walks at most.
 RECALL, SAMPLES, WALKS = 0.99, 2, 64
+#: Items of more words are not simulated: their walks fall short of RECALL, and their windows are all verified.
+LONG = 256
 #: Words of an item's part that must occur unedited, at most.
 GRAM = 3
 #: Words of the benchmark that one pass over the documents holds; larger benchmarks take several passes.
@@ -98,8 +100,8 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: np
 def calibrate(n: int, trials: int = 200) -> tuple[int, float]:
     """(walks, recall): as many walks as catch RECALL of simulated leaks of an n-word item at the greatest distance.
 
-    Random words, random edits (of which a third each change, add and drop a word), and the windows that `Items.hits`
-    looks into. With WALKS walks the recall may stay below.
+    Random words, an edit in every part but one (of which a third each change, add and drop a word), and the windows that
+    `Items.hits` places by the part without. With WALKS walks the recall may stay below; `Items` then does without them.
     """
     rng = np.random.default_rng((3, n))
     e = edits_of(n)
@@ -108,18 +110,21 @@ def calibrate(n: int, trials: int = 200) -> tuple[int, float]:
     items = mix(rng.integers(1, 1 << 62, (trials, n)).astype(np.uint64))
     own = walk_keys(items.ravel(), np.arange(trials) * n, np.arange(1, trials + 1) * n, np.full(trials, n), WALKS)
     texts, starts, item = [], [], []
-    base = 0
+    base, at = 0, parts_of(n)
     for k in range(trials):
-        words = items[k].tolist()
-        for _ in range(e):
-            at, kind = int(rng.integers(len(words))), int(rng.integers(3))
-            words[at : at + (kind != 1)] = [int(rng.integers(1, 1 << 62))] * (kind != 2)
+        own_words, words, whole = items[k].tolist(), [], int(rng.integers(e + 1))
+        for j, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+            part = own_words[a:b]
+            if j == whole:
+                begin = len(words) - a  # where this part says that the item begins
+            else:
+                x, kind = int(rng.integers(len(part))), int(rng.integers(3))
+                part[x : x + (kind != 1)] = [int(rng.integers(1, 1 << 62))] * (kind != 2)
+            words += part
         fill = rng.integers(1, 1 << 62, 2 * n + 2).tolist()
         texts += fill[: n + 1] + words + fill[n + 1 :]
-        # the parts without an edit tell where the item begins up to the edits before them
-        shift = int(rng.integers(-(e // 2), e // 2 + 1))
         for s in shifts_of(n):
-            starts.append(base + n + 1 + shift + s)
+            starts.append(base + n + 1 + begin + s)
             item.append(k)
         base += len(words) + 2 * n + 2
     starts, item = np.array(starts), np.array(item)
@@ -163,7 +168,9 @@ class Items:
                 self.words.append(w)
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.edits = np.array([edits_of(n) for n in self.sizes.tolist()], np.int64)
-        self.walks = np.array([calibrate(n)[0] for n in self.sizes.tolist()], np.int64)
+        told = [calibrate(n) if n <= LONG else (WALKS, 0.0) for n in self.sizes.tolist()]
+        self.whole = np.array([recall < RECALL for _, recall in told], bool)  # walks would lose too many: every window placed is verified
+        self.walks = np.array([1 if recall < RECALL else walks for walks, recall in told], np.int64)
         self.most = int(self.walks.max()) if len(self.walks) else 0
         flat = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
         ends = np.cumsum(self.sizes)
@@ -208,9 +215,16 @@ class Items:
         return t[keep], k[keep], at[keep]
 
     def hits(self, words: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> list[list[tuple[int, int]]]:
-        """For each text (`sizes` words from `begin` on), (item, place in it): windows of the item's size that agree with it in the key of some walk."""
+        """For each text (`sizes` words from `begin` on), (item, place in it): windows of the item's size that agree with it in the key of some walk.
+
+        For sizes at which WALKS walks fall short of RECALL, all windows that an unedited part places.
+        """
         out: list[list[tuple[int, int]]] = [[] for _ in begin]
         t, k, at = self.starts(words, begin)
+        every = self.whole[k]
+        for x, item, place in zip(t[every].tolist(), k[every].tolist(), np.maximum(at - begin[t], 0)[every].tolist(), strict=True):
+            out[x].append((item, place))
+        t, k, at = t[~every], k[~every], at[~every]
         near = {int(n): shifts_of(int(n)) for n in np.unique(self.sizes[k])}
         for s in range(0, len(t), 2_000):
             tt, kk, aa = t[s : s + 2_000], k[s : s + 2_000], at[s : s + 2_000]
@@ -239,6 +253,8 @@ class Items:
             tried[k] = at
             lo, hi = max(0, at - 2 * most - 1), min(len(words), at + n + 2 * most + 1)
             part = words[lo:hi]
+            if np.isin(w, part).sum() < n - most:  # an edit takes one of the item's words away at most
+                continue
             d, end = best_match(w, part)
             if d <= most and (k not in best or d < best[k][0]):
                 start = end - best_match(w[::-1], part[:end][::-1])[1]
@@ -266,7 +282,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text", ite
     A text leaks an item if a stretch of its words [start, end) is within EDITS of the item's word count in word edits;
     the nearest stretch is given. Windows of the item's size are embedded by CGK walks, and those that agree with the item
     in the sampled steps of some walk are verified by the exact edit distance. How many walks an item of a size takes follows
-    from RECALL by simulated leaks at the greatest distance. Windows are placed where a part of the item stands unedited
+    from RECALL by simulated leaks at the greatest distance; for sizes where WALKS of them fall short, every window is verified. Windows are placed where a part of the item stands unedited
     (an item has one part more than it may have edits), so no leak lacks its window. An unedited item is always found.
     Null, empty and wordless texts leak nothing; nor do items with a null id or text, or without words. Rows are
     independent, so repeated rows and extra columns stay (a column named `col` is replaced). The benchmark is

@@ -40,3 +40,16 @@ def test_chunks_meet_and_edges(spark):
         assert bytes(out[i]["ids"]) == struct.pack(f"<{len(ids)}I", *ids) and bytes(out[i]["back"]).decode() == (t or "")
     assert bpe.encode(df.limit(0)).count() == 0
     assert base64.b64decode(read_ranks(PATH).split()[0])
+
+
+def test_chunks_that_end_in_white_space(spark):
+    """A pattern whose matches can join what follows: the last match of a chunk may be another one in the whole text."""
+    pattern = r"\s*[\r\n]+|\s+(?!\S)|[^\s]+|\s+"
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=_ranks(read_ranks(PATH)), special_tokens={})
+    random.seed(5)
+    texts = ["".join(random.choices(["a", "bc", " ", "  ", "     ", "\n", "\r\n"], weights=[3, 3, 6, 6, 4, 2, 1], k=600)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bpe = Bpe(spark, PATH, pattern, chunk=64, overlap=16)
+    for r in bpe.encode(df).collect():
+        ids = enc.encode_ordinary(texts[r["doc_id"]])
+        assert bytes(r["ids"]) == struct.pack(f"<{len(ids)}I", *ids)

@@ -96,3 +96,27 @@ def test_blocks_of_a_large_benchmark(spark, monkeypatch):
     items = spark.createDataFrame([(k, f"a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k}") for k in range(6)], "item_id long, text string")
     monkeypatch.setattr(m, "BLOCK_WORDS", 12)
     assert [[x["item"] for x in r["leaks"]] for r in find_leaks(docs, items).orderBy("doc_id").collect()] == [[k] for k in range(6)]
+
+
+def test_long_items_are_found_at_the_greatest_distance(spark):
+    """One edit in every part but one: a single part of the item stands unedited."""
+    rng = np.random.default_rng(17)
+    items, docs = [], []
+    for n in (150, 200, 300, 400, 1000):
+        for _ in range(12):
+            k = len(items)
+            words = [f"i{x}" for x in rng.integers(0, 100_000, n)]
+            items.append((k, " ".join(words)))
+            at, whole, out = parts_of(n), int(rng.integers(edits_of(n) + 1)), []
+            for j, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+                part = words[a:b]
+                if j != whole:
+                    x, what = int(rng.integers(len(part))), int(rng.integers(3))
+                    part = part[:x] + [f"e{rng.integers(0, 999)}"] * (what < 2) + part[x + (what > 0) :]
+                out += part
+            fill = [f"f{x}" for x in rng.integers(0, 3000, 200)]
+            docs.append((k, " ".join(fill[:90] + out + fill[90:])))
+    out = find_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], x["item"]) for r in out.collect() for x in r["leaks"]}
+    assert got <= {(k, k) for k, _ in items}
+    assert {(k, k) for k, t in items if len(t.split()) > 256} <= got and len(got) >= len(items) - 1
