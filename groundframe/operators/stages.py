@@ -55,29 +55,30 @@ STATEMENTS = ("map", "activate", "deactivate", "action_activate", "action_deacti
 
 
 def stage_states(regions: DataFrame, stages: DataFrame, statements: DataFrame) -> DataFrame:
-    """(stage, region, is_active) of every region in every stage, from all active on (WIN-02, WIN-05).
+    """(stage, seq, region, is_active) of every region in every stage, from all active on (WIN-02, WIN-05).
 
     `regions`: (region); `stages`: (stage, seq); `statements`: (stage, region, kind of STATEMENTS, active). Within a stage the
-    last kind wins; a stage carries its state on. A stage that leaves no region active has all of them, and so do those after it
-    until they state otherwise: such stages are found in order, one round for each.
+    last kind wins; a stage carries its state on. A stage that leaves no region active has all of them, and what was stated up to it
+    no longer counts. So a stage is emptied if every region's last statement is a no, and all of them are later than the last
+    emptied stage: one pass over each region's stages gives a stage's earliest such statement, one over the stages themselves (a number each,
+    in one row) tells which are emptied.
     """
     rank = F.array_position(F.array(*map(F.lit, STATEMENTS)), F.col("kind"))
     said = statements.groupBy("stage", "region").agg(F.max_by("active", rank).alias("said"))
     grid = regions.select("region").distinct().crossJoin(stages.select("stage", "seq").distinct()).join(said, ["stage", "region"], "left")  # one row a stage and region: the result
-    empty: list = []
-    while True:
-        # statements up to the last emptied stage no longer count
-        last = F.lit(None)
-        for s in empty:
-            last = F.when(F.col("seq") >= s, F.lit(s)).otherwise(last)
-        era = F.coalesce(last.cast("long"), F.lit(-(1 << 62)))
-        own = grid.withColumn("era", era).withColumn("said", F.when(F.col("seq") != F.col("era"), F.col("said")))
-        w = Window.partitionBy("region", "era").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-        out = own.withColumn("is_active", F.coalesce(F.last("said", ignorenulls=True).over(w), F.lit(True)))
-        none = out.groupBy("seq").agg(F.bool_or("is_active").alias("any")).where("not any").agg(F.min("seq")).first()[0]
-        if none is None:
-            return out.select("stage", "seq", "region", "is_active")
-        empty.append(none)
+    w = Window.partitionBy("region").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("said").isNotNull(), F.struct("seq", "said")), ignorenulls=True).over(w)
+    grid = grid.withColumn("last", last)
+    off = F.when(~F.col("last.said"), F.col("last.seq"))
+    per = grid.groupBy("seq").agg(F.min(off).alias("since"), (F.count(off) == F.count("*")).alias("off")).where("off")
+    empty = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("seq", "since"))), F.array().cast("array<bigint>"),
+        lambda done, x: F.when((F.size(done) == 0) | (x["since"] > F.try_element_at(done, F.lit(-1))), F.concat(done, F.array(x["seq"].cast("long")))).otherwise(done),
+    )
+    era = stages.select("seq").distinct().crossJoin(per.agg(empty.alias("empty"))).select("seq", F.array_max(F.filter("empty", lambda e: e <= F.col("seq"))).alias("era"))
+    out = grid.join(era, "seq")
+    counts = F.col("last").isNotNull() & (F.col("era").isNull() | (F.col("last.seq") > F.col("era")))
+    return out.select("stage", "seq", "region", F.when(counts, F.col("last.said")).otherwise(True).alias("is_active"))
 
 
 def shared_stages(a: Column, b: Column) -> Column:

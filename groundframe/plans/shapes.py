@@ -182,10 +182,13 @@ l AS (SELECT k, CASE WHEN k % 6 > 0 THEN (['1.5', 'x', n])[1:k % 4] ELSE [] END
 SELECT k AS p_partkey, array_to_string([coalesce(TRY_CAST(v[i] AS DOUBLE), -1.0::DOUBLE) FOR i IN [1, 2, 3]], ',') AS values, coalesce(array_to_string(list_sort(CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE list_filter(a, lambda x: list_contains(b, x)) END), ','), '*') AS shared,
 array_to_string(list_sort(list_filter(coalesce(a, ['d', 'c', 'a', 'b']), lambda x: NOT list_contains(coalesce(b, []), x))), ',') AS snapshot, k % 3 <> 0 AS kept, CASE WHEN k % 9 > 0 THEN 's1' END AS stage
 FROM l WHERE CASE WHEN k % 9 > 0 THEN 's1' END IS NOT DISTINCT FROM CASE WHEN k % 2 = 0 THEN 's1' END""",
-    "stage_states": """WITH e AS (SELECT event_id % 8 + 1 AS stage, user_id % 40 AS region, event_id // 8 % 5 AS rank, event_id FROM events),
+    "stage_states": """WITH RECURSIVE e AS (SELECT event_id % 8 + 1 AS stage, user_id % 40 AS region, event_id // 8 % 5 AS rank, event_id FROM events),
 s AS (SELECT stage, region, rank, bool_and(CASE rank WHEN 0 THEN event_id % 3 = 0 ELSE rank IN (1, 3) END) AS active FROM e WHERE stage <> 3 GROUP BY ALL),
-l AS (SELECT stage, region, arg_max(active, rank) AS said FROM s GROUP BY ALL), g AS (SELECT r.region, t.stage, said FROM (SELECT DISTINCT user_id % 40 AS region FROM events) r CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS stage) t LEFT JOIN l ON l.region = r.region AND l.stage = t.stage)
-SELECT stage, region, coalesce(last_value(said IGNORE NULLS) OVER (PARTITION BY region, stage >= 3 ORDER BY stage ROWS UNBOUNDED PRECEDING), true) AS is_active FROM g""",
+l AS (SELECT stage, region, arg_max(active, rank) AS said FROM s GROUP BY ALL UNION ALL SELECT DISTINCT 3, user_id % 40, false FROM events), a AS (SELECT list(DISTINCT user_id % 40) AS every FROM events),
+o AS (SELECT t.stage, coalesce(list(region) FILTER (WHERE said), []) AS ons, coalesce(list(region) FILTER (WHERE NOT said), []) AS offs FROM (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS stage) t LEFT JOIN l ON l.stage = t.stage GROUP BY t.stage),
+w AS (SELECT 0 AS stage, every, every AS active FROM a UNION ALL SELECT stage, every, CASE WHEN len(n) = 0 THEN every ELSE n END
+FROM (SELECT o.stage, every, list_filter(every, lambda r: list_contains(ons, r) OR (list_contains(active, r) AND NOT list_contains(offs, r))) AS n FROM w JOIN o ON o.stage = w.stage + 1))
+SELECT stage::BIGINT AS stage, region, list_contains(active, region) AS is_active FROM (SELECT stage, active, unnest(every) AS region FROM w WHERE stage > 0)""",
     "state_eigenvalues": f"""WITH {STRESS_SQL}, {_INVARIANTS} SELECT l_partkey % 50 AS material, round(avg(mean + 2 * r * cos(th)), 4) AS a, round(avg(mean + 2 * r * cos(th - 2 * pi() / 3)), 4) AS b, round(avg(mean + 2 * r * cos(th + 2 * pi() / 3)), 4) AS c,
 round(avg(2 * sin(radians(phi)) / (sqrt(3) * (3 - sin(radians(phi))))), 4) AS alpha, round(avg(6 * cohesion * cos(radians(phi)) / (sqrt(3) * (3 - sin(radians(phi))))), 4) AS k FROM l GROUP BY 1""",
 }

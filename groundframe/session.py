@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +29,33 @@ def get_spark(app: str = "groundframe", cpus: int | None = None, **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the provided Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; in local mode, where it is unset, one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        found = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+class Rounds:
+    """Tables of an iteration, written to the shared folder: each cuts lineage and outlives executors, and goes once a later one stands."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}", []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.paths.append(f"{self.folder}/{len(self.paths)}")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop_before(self, keep: int = 1) -> None:
+        """Deletes all tables but the last `keep`."""
+        for p in [p for p in self.paths[:-keep] if p]:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = [None] * max(0, len(self.paths) - keep) + self.paths[-keep:]

@@ -38,9 +38,9 @@ def test_columns_of_geometry(spark):
     assert tuple(r["c"]) == (0.25, 0.25, 0.25) and r["f"] == 0.5 and tuple(r["n"]) == (0.0, 0.0, 1.0) == tuple(r["t"]) and r["xy"] == 0.5 and 0 < r["q"] <= 1
 
 
-def test_components_and_neighbours(spark, tmp_path):
+def test_components_and_neighbours(spark):
     e = spark.createDataFrame([(5, 3, "contacts"), (3, 9, "contacts"), (7, 8, "owns"), (2, 2, "owns")] + [(100 + i, 101 + i, "contacts") for i in range(40)], "source long, target long, relation string")
-    got = {r["node"]: r["root"] for r in graph.components(e, str(tmp_path)).collect()}
+    got = {r["node"]: r["root"] for r in graph.components(e).collect()}
     assert got == {5: 3, 3: 3, 9: 3, 7: 7, 8: 7} | {100 + i: 100 for i in range(41)}
     assert {(r["node"], r["other"]) for r in graph.neighbours(e.where("source < 10"), ["owns"]).collect()} == {(7, 8), (8, 7)}
     assert {r["node"] for r in graph.dangling(e.where("source < 10")).collect()} == {5, 9, 7, 8}

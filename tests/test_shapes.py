@@ -112,11 +112,49 @@ def test_face_contacts_at_any_size(spark, size):
     assert shared.where("uses = 2").count() == len(out)
 
 
-def test_boundary_loops(spark, tmp_path):
+def walk(edges):
+    """Loops by walking: at a node, edges go on in pairs by their other ends."""
+    ends = {}
+    for a, b in {tuple(sorted(e)) for e in edges if e[0] != e[1]}:
+        ends.setdefault(a, []).append(b)
+        ends.setdefault(b, []).append(a)
+    ends = {k: sorted(v) for k, v in ends.items()}
+
+    def onward(a, b):
+        own = ends[b]
+        k = own.index(a) ^ 1
+        return (b, own[k]) if k < len(own) else None
+
+    out = {}
+    for dart in sorted((a, b) for a in ends for b in ends[a]):
+        path, at = [dart], onward(*dart)
+        while at and at != dart:
+            path.append(at)
+            at = onward(*path[-1])
+        begins = onward(dart[1], dart[0]) is None
+        if (at == dart and min(path) == dart) or (at is None and begins):
+            key = frozenset(frozenset(d) for d in path)
+            if key not in out or path[0] < out[key][0][0]:
+                out[key] = (path, at == dart)
+    return {(*p[0], n, *d, closed) for p, closed in out.values() for n, d in enumerate(p)}
+
+
+def test_boundary_loops(spark):
     ring = [(i, (i + 1) % 6, 6 + i) for i in range(6)] + [((i + 1) % 6, 6 + (i + 1) % 6, 6 + i) for i in range(6)]  # a band between two hexagons
     bow = [(20, 21, 22), (20, 23, 24)]  # two triangles that meet in a node
     df = spark.createDataFrame([([a, b, c],) for a, b, c in ring + bow], "conn array<long>")
-    assert {tuple(r) for r in graph.boundary_loops(df, str(tmp_path)).collect()} == {(0, 6, True), (6, 6, True), (20, 6, False)}
+    assert {tuple(r) for r in graph.boundary_loops(df).collect()} == {(0, 1, True, 6), (6, 7, True, 6), (20, 21, True, 3), (20, 23, True, 3)}
+
+
+def test_traced_loops_equal_the_walk(spark):
+    import random
+
+    rng = random.Random(6)
+    edges = [(i, (i + 1) % 200) for i in range(200)] + [(300 + i, 301 + i) for i in range(70)] + [(rng.randrange(400, 440), rng.randrange(400, 440)) for _ in range(90)] + [(3, 3), (1, 0)]
+    df = spark.createDataFrame(edges, "source long, target long")
+    got = {tuple(r) for r in graph.traced(df).select("first", "second", "place", "source", "target", "closed").collect()}
+    assert got == walk(edges) and {r[5] for r in got} == {True, False}
+    assert graph.traced(df.limit(0)).count() == 0 and graph.components(df.limit(0)).count() == 0
 
 
 def test_project_round_trip(spark, tmp_path):
