@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .splits import SIZE, lines_of, opened, ranges
+
 MODEL = """materials array<struct<id: string, model_type: string>>, surfaces array<struct<id: string, points: array<array<double>>>>,
 volumes array<struct<id: string, bounds: array<double>, material_id: string>>, layers array<struct<id: string, volume_ids: array<string>, material_id: string>>,
 boreholes array<struct<id: string, x: double, y: double, layers: array<struct<top: double, bottom: double, material_id: string>>>>"""
@@ -34,22 +37,59 @@ def read_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"materials": known.union(extra), "surface_points": points, "volumes": volumes.select("model", "id", "material_id", *bounds), "layers": layers, "borehole_layers": intervals}
 
 
-def gmsh_rows(source: str, text: str) -> list[tuple]:
-    """Nodes and cells of a Gmsh 2 text mesh; a cell's tag is its first (physical) one."""
-    rows, lines, at = [], text.split("\n"), None
-    for line in lines:
-        line = line.strip()
-        if line.startswith("$"):
-            at = None if line.startswith("$End") else line[1:]
-            continue
-        p = line.split()
-        if at == "Nodes" and len(p) == 4:
-            rows.append((source, "node", int(p[0]), *map(float, p[1:]), None, None, None))
-        elif at == "Elements" and len(p) > 3 and int(p[1]) in GMSH_TYPES:
-            kind, n = GMSH_TYPES[int(p[1])]
-            tags = int(p[2])
-            rows.append((source, "cell", int(p[0]), None, None, None, kind, [int(x) for x in p[3 + tags : 3 + tags + n]], int(p[3]) if tags else None))
-    return rows
+def _gmsh_row(source: str, section: str | None, p: list[bytes]) -> tuple | None:
+    """A line's row: a node, or a cell with its first (physical) tag."""
+    if section == "Nodes" and len(p) == 4:
+        return (source, "node", int(p[0]), *map(float, p[1:]), None, None, None)
+    if section == "Elements" and len(p) > 3 and int(p[1]) in GMSH_TYPES:
+        kind, n = GMSH_TYPES[int(p[1])]
+        tags = int(p[2])
+        return (source, "cell", int(p[0]), None, None, None, kind, [int(x) for x in p[3 + tags : 3 + tags + n]], int(p[3]) if tags else None)
+    return None
+
+
+def gmsh_table(spark: SparkSession, path: str, size: int = SIZE) -> DataFrame:
+    """Nodes and cells of Gmsh 2 text meshes as rows of MESH, read in ranges of bytes (SRC-12).
+
+    A first pass finds the headings of sections ($...), a few rows a file; each range then knows in which section it begins. A
+    range has the lines that begin in it, so the rows are the same for any size.
+    """
+
+    def headings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for name, length, start, stop in zip(b["source"], b["length"], b["start"], b["stop"], strict=True):
+                with opened(name) as file:
+                    at, data = lines_of(file, start, stop, length)
+                rows += [(name, at + m.start(), m[1].decode(errors="replace").strip()) for m in re.finditer(rb"(?m)^[ \t]*\$(.*)$", data)]
+            yield pd.DataFrame(rows, columns=["source", "at", "name"])
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, length, start, stop, section in zip(b["source"], b["length"], b["start"], b["stop"], b["section"], strict=True):
+                with opened(name) as file:
+                    _, data = lines_of(file, start, stop, length)
+                rows, held = [], section
+                for line in data.split(b"\n"):
+                    p = line.split()
+                    if p and p[0].startswith(b"$"):
+                        held = None if p[0].startswith(b"$End") else line.strip()[1:].decode(errors="replace")
+                    elif held is not None and p and (row := _gmsh_row(name, held, p)):
+                        rows.append(row)
+                    if len(rows) == 50_000:
+                        yield _mesh_rows(rows)
+                        rows = []
+                yield _mesh_rows(rows)
+
+    parts = ranges(spark, path, size)
+    marks = parts.mapInPandas(headings, "source string, at long, name string")
+    before = parts.join(marks, "source").where("at < start").groupBy("source", "start").agg(F.max_by("name", "at").alias("section"))
+    parts = parts.join(before, ["source", "start"], "left").withColumn("section", F.when(~F.col("section").startswith("End"), F.col("section")))
+    return parts.repartition(parts.count(), "source", "start").mapInPandas(parse, MESH)
+
+
+def _mesh_rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["source", "kind", "id", "x", "y", "z", "cell_type", "conn", "tag"]).astype({"tag": "Int64"})
 
 
 def vtu_rows(source: str, text: str, scalar: str | None = None) -> list[tuple]:
@@ -71,19 +111,22 @@ def vtu_rows(source: str, text: str, scalar: str | None = None) -> list[tuple]:
     return rows
 
 
-def read_mesh(spark: SparkSession, path: str, kind: str, scalar: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(cells, nodes) of Gmsh 2 text or VTU files, by `source`; a file is parsed by one task (SRC-10 to SRC-15)."""
+def vtu_table(spark: SparkSession, path: str, scalar: str | None = None) -> DataFrame:
+    """Nodes and cells of text VTU files as rows of MESH; XML isn't split, so a file is parsed by one task (SRC-11)."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, data in zip(b["path"], b["content"], strict=True):
-                text = bytes(data).decode()
-                rows = gmsh_rows(name, text) if kind == "gmsh" else vtu_rows(name, text, scalar)
+                rows = vtu_rows(name, bytes(data).decode(), scalar)
                 for s in range(0, len(rows), 50_000):
-                    out = pd.DataFrame(rows[s : s + 50_000], columns=["source", "kind", "id", "x", "y", "z", "cell_type", "conn", "tag"])
-                    yield out.astype({"tag": "Int64"})
+                    yield _mesh_rows(rows[s : s + 50_000])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, MESH)
+
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, MESH)
+def read_mesh(spark: SparkSession, path: str, kind: str, scalar: str | None = None, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
+    """(cells, nodes) of Gmsh 2 text (in ranges of `size` bytes) or VTU files, by `source` (SRC-10 to SRC-15)."""
+    rows = gmsh_table(spark, path, size) if kind == "gmsh" else vtu_table(spark, path, scalar)
     cells = rows.where("kind = 'cell'").select("source", F.col("id").alias("cell_id"), "cell_type", "conn", F.concat(F.lit("layer_"), F.col("tag").cast("string")).alias("region"))
     return cells, rows.where("kind = 'node'").select("source", F.col("id").alias("node_id"), "x", "y", "z")
 

@@ -12,47 +12,84 @@ from pyspark.sql import functions as F
 
 from ..operators import geometry as g
 from ..operators.mesh import merge_nodes
+from .splits import SIZE, opened, ranges, taken
 
 _RECORD = np.dtype([("n", "<3f4"), ("v", "<9f4"), ("a", "<u2")])
 _CORNERS = [f"{k}{i}" for i in range(3) for k in "xyz"]
 
 
-def is_binary(data: bytes) -> bool:
-    """A size of 84 + 50 * count decides; otherwise whatever doesn't start with solid is binary."""
-    if len(data) >= 84 and len(data) == 84 + 50 * int.from_bytes(data[80:84], "little"):
+def is_binary_head(head: bytes, length: int) -> bool:
+    """By a file's first bytes (84 at least, if it has them) and its length: a size of 84 + 50 * count decides; otherwise whatever doesn't start with solid is binary (SRC-09)."""
+    if len(head) >= 84 and length == 84 + 50 * int.from_bytes(head[80:84], "little"):
         return True
-    return not data.lstrip()[:5].lower() == b"solid"
-
-
-def facets_of(data: bytes) -> np.ndarray:
-    """(n, 9) corners; a truncated tail, and text facets without three vertices, are left out."""
-    if is_binary(data):
-        n = min(int.from_bytes(data[80:84], "little"), max(0, len(data) - 84) // 50) if len(data) >= 84 else 0
-        return np.frombuffer(data, _RECORD, n, 84)["v"].astype(float) if n else np.zeros((0, 9))
-    number = rb"[-+0-9.eE]+"
-    out = []
-    for facet in re.findall(rb"(?is)\bfacet\b(.*?)\bendfacet\b", data):
-        v = re.findall(rb"(?i)vertex\s+(" + number + rb")\s+(" + number + rb")\s+(" + number + rb")", facet)
-        if len(v) == 3:
-            out.append([float(x) for p in v for x in p])
-    return np.array(out, float).reshape(-1, 9)
-
-
-def read_facets(spark: SparkSession, path: str, scale: float = 1.0) -> DataFrame:
-    """(source, facet, x0 .. z2) of every STL file under `path`; a file is parsed by one task."""
+    return not head.lstrip()[:5].lower() == b"solid"
+
+
+_WORD = re.compile(rb"(?i)\b(end)?facet\b")
+_VERTEX = re.compile(rb"(?i)vertex\s+([-+0-9.eE]+)\s+([-+0-9.eE]+)\s+([-+0-9.eE]+)")
+
+
+def text_facets(file, start: int, stop: int, length: int, step: int = 1 << 16) -> Iterator[tuple[int, list[float]]]:
+    """(place, nine coordinates) of the text facets that begin in [start, stop): from the last `facet` before an `endfacet`."""
+    lo, hi = max(0, start - 1), min(length, stop + step)
+    data = taken(file, lo, hi)
+    while True:  # on to the end of the last facet that begins here
+        words = [(lo + m.start(), m) for m in _WORD.finditer(data) if m.start() > 0 or lo == 0]
+        past = next((at for at, m in words if at >= stop), None)
+        if past is not None or hi >= length:
+            break
+        data, hi = data + taken(file, hi, min(length, hi + step)), min(length, hi + step)
+    begin = None
+    for at, m in words:
+        if m[1] is None:
+            if at >= stop:
+                return
+            begin = (at, m.end())
+        elif begin is not None:
+            v = _VERTEX.findall(data, begin[1], m.start())
+            if len(v) == 3:
+                yield begin[0], [float(x) for p in v for x in p]
+            begin = None
+
+
+def read_facets(spark: SparkSession, path: str, scale: float = 1.0, size: int = SIZE) -> DataFrame:
+    """(source, facet, x0 .. z2) of every STL file under `path`, each read in ranges of about `size` bytes by tasks of their own (SRC-06 to SRC-08).
+
+    `facet` numbers a binary file's records; in a text file it is the place of the facet's first byte, which ascends as well. A range has the facets that
+    begin in it, so the rows are the same for any size. A file's first bytes and its length tell each task whether it is binary.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, data in zip(b["path"], b["content"], strict=True):
-                f = facets_of(bytes(data)) * scale
-                for s in range(0, len(f), 100_000):
-                    part = pd.DataFrame(f[s : s + 100_000], columns=_CORNERS)
-                    part.insert(0, "facet", np.arange(s, s + len(part)))
-                    part.insert(0, "source", name)
-                    yield part
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(parse, "source string, facet long, " + ", ".join(f"{c} double" for c in _CORNERS))
+            for name, length, start, stop in zip(b["source"], b["length"], b["start"], b["stop"], strict=True):
+                with opened(name) as file:
+                    head = taken(file, 0, min(length, 1024))
+                    if is_binary_head(head, length):
+                        n = min(int.from_bytes(head[80:84], "little"), max(0, length - 84) // 50) if length >= 84 else 0
+                        first, last = (min(n, max(0, -(-(x - 84) // 50))) for x in (start, stop))
+                        for s in range(first, last, 100_000):
+                            k = min(last - s, 100_000)
+                            rows = np.frombuffer(taken(file, 84 + 50 * s, 84 + 50 * (s + k)), _RECORD)["v"].astype(float)
+                            yield _part(name, np.arange(s, s + k), rows * scale)
+                        continue
+                    places, rows = [], []
+                    for at, row in text_facets(file, start, stop, length):
+                        places.append(at)
+                        rows.append(row)
+                        if len(rows) == 100_000:
+                            yield _part(name, places, np.array(rows) * scale)
+                            places, rows = [], []
+                    if rows:
+                        yield _part(name, places, np.array(rows) * scale)
+
+    return ranges(spark, path, size).mapInPandas(parse, "source string, facet long, " + ", ".join(f"{c} double" for c in _CORNERS))
+
+
+def _part(name: str, places, rows: np.ndarray) -> pd.DataFrame:
+    part = pd.DataFrame(rows, columns=_CORNERS)
+    part.insert(0, "facet", places)
+    part.insert(0, "source", name)
+    return part
 
 
 def to_mesh(facets: DataFrame, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:

@@ -47,7 +47,8 @@ def test_stl(spark, tmp_path, binary):
     q = surfaces.quality(facets).first()
     assert q["triangles"] == 4 and q["degenerate"] == 0 and abs(q["area"] - (1.5 + 3**0.5 / 2)) < 1e-6
     surfaces.write_lines(surfaces.stl_lines(facets), str(tmp_path / "out"))
-    again = surfaces.facets_of("\n".join(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()).encode())
+    (tmp_path / "again.stl").write_text("\n".join(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()))
+    again = surfaces.read_facets(spark, str(tmp_path / "again.stl")).drop("source", "facet").collect()
     assert sorted(map(tuple, again)) == sorted(tuple(float(x) for p in t for x in p) for t in TETRA)
     assert surfaces.latest_facets(facets.union(facets.withColumn("facet", F.col("facet") + 9))).count() == 4
 
@@ -84,3 +85,36 @@ def test_idw_hits_its_samples(spark):
     g = spark.createDataFrame([(1, 0, 0, 0.0, 0.0), (1, 1, 0, 0.5, 0.0), (2, 0, 0, 0.0, 0.0)], "surface int, i int, j int, x double, y double")
     assert {(r["surface"], r["i"]): r["z"] for r in geology.idw_grid(s, g).collect()} == {(1, 0): 5.0, (1, 1): 7.0, (2, 0): None}
     assert np.isfinite(5.0)
+
+
+def test_ranges_of_any_size_give_the_same_facets(spark, tmp_path):
+    tris = [[float(np.float32(x)) for x in np.random.default_rng(k).normal(size=9)] for k in range(40)]
+    text = "solid a facet of note\n" + "".join("  FACET normal 0 0 1\n outer loop\n" + "".join(f"  vertex {t[i]!r} {t[i + 1]!r} {t[i + 2]!r}\n" for i in (0, 3, 6)) + " endloop\nendfacet\n" for t in tris)
+    text += "facet normal 0 0 0\nouter loop\nvertex 0 0 0\nvertex 1 1 1\nendloop\nendfacet\nfacet normal 0 0 0\nouter loop\nvertex 1 2 3\n"  # two vertices, and no end
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a b.stl").write_text(text)
+    (tmp_path / "s" / "b.stl").write_bytes(b"solid but binary".ljust(80, b"\0") + struct.pack("<I", 40) + b"".join(struct.pack("<12fH", 0, 0, 1, *t, 0) for t in tris))
+    (tmp_path / "s" / "c.stl").write_bytes(b"")
+    (tmp_path / "s" / "d.stl").write_bytes(b"\0" * 80 + struct.pack("<I", 9) + b"".join(struct.pack("<12fH", 0, 0, 1, *t, 0) for t in tris[:2]) + b"cut")
+    got = []
+    for size in (37, 200, 5000, 1 << 24):
+        df = surfaces.read_facets(spark, str(tmp_path / "s"), size=size)
+        assert size > 5000 or df.rdd.getNumPartitions() > 3
+        got.append(sorted((r["source"].rsplit("/", 1)[1], *tuple(r)[1:]) for r in df.collect()))
+    assert got[0] == got[1] == got[2] == got[3]
+    by = {n: [r[2:] for r in got[0] if r[0] == n] for n in ("a b.stl", "b.stl", "d.stl")}
+    assert by["a b.stl"] == by["b.stl"] == [tuple(t) for t in tris] and len(by["d.stl"]) == 2 and [r[1] for r in got[0] if r[0] == "b.stl"] == list(range(40))
+
+
+def test_ranges_of_any_size_give_the_same_mesh(spark, tmp_path):
+    n = 60
+    text = "$MeshFormat\n2.2 0 8\n$EndMeshFormat\n$PhysicalNames\n1\n3 7 \"4 4 4 4\"\n$EndPhysicalNames\n$Nodes\n60\n" + "".join(f"{i + 1} {i}.5 {i * i} -{i}e-1\n" for i in range(n)) + "$EndNodes\n$Elements\n58\n"
+    text += "".join(f"{i + 1} 4 2 {i % 5} 9 {i + 1} {i + 2} {i + 3} {i + 4}\n" for i in range(n - 3)) + "99 15 2 0 0 1\n$EndElements"
+    (tmp_path / "m.msh").write_text(text)
+    got = []
+    for size in (11, 150, 1 << 24):
+        cells, nodes = models.read_mesh(spark, str(tmp_path / "m.msh"), "gmsh", size=size)
+        got.append((sorted(map(tuple, cells.drop("source").collect())), sorted(map(tuple, nodes.drop("source").collect()))))
+    assert got[0] == got[1] == got[2]
+    assert got[0][1] == [(i + 1, i + 0.5, float(i * i), float(f"-{i}e-1")) for i in range(n)]
+    assert got[0][0] == [(i + 1, "tet4", [i + 1, i + 2, i + 3, i + 4], f"layer_{i % 5}") for i in range(n - 3)]
