@@ -8,42 +8,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .geometry import AXES, box_volume
+from .tiles import spans, tiled_join
 
 BOUNDS = [f"{k}{s}" for k in AXES for s in (0, 1)]
 
 
-def with_tile(boxes: DataFrame, tile: float | None = None) -> DataFrame:
-    """`boxes` with `tile`: the size of the tiles they are joined by, twice their mean extent unless given, so that a box lies in few tiles and a tile holds few boxes."""
-    if tile is not None:
-        return boxes.withColumn("tile", F.lit(float(tile)))
-    size = reduce(lambda a, b: a + b, (F.col(f"{k}1") - F.col(f"{k}0") for k in AXES)) / 3
-    return boxes.join(F.broadcast(boxes.agg(F.greatest(F.avg(size) * 2, F.lit(1e-9)).alias("tile"))))  # one row
-
-
-def block_contacts(blocks: DataFrame, *, tolerance: float = 1e-9, tile: float | None = None, least_area: float = 0.0) -> DataFrame:
+def block_contacts(blocks: DataFrame, *, tolerance: float = 1e-9, least_area: float = 0.0) -> DataFrame:
     """(axis, id_a, id_b, region_a, region_b, area): a's upper face touches b's lower one (JOIN-03).
 
     Faces meet if they lie within `tolerance`, scaled by the coordinate, of each other and overlap by more than
     `least_area`. The join is on the touching plane (rounded; both neighbouring roundings are probed) and on tiles of the
-    two other axes, so it needs no comparison of all pairs; a pair that shares several tiles is kept in its first.
+    two other axes, in levels by the faces' sizes.
     """
     out = []
-    blocks, tile = with_tile(blocks, tile), F.col("tile")
     for k in AXES:
         u, v = (m for m in AXES if m != k)
         step = max(tolerance, 1e-9) * 1e3
-        tiles = lambda m: F.sequence(F.floor(F.col(f"{m}0") / tile).cast("long"), F.floor(F.col(f"{m}1") / tile).cast("long"))
         plane = lambda s: F.floor(F.col(f"{k}{s}") / step).cast("long")  # noqa: E731, B023
-        a = blocks.withColumn("p", F.explode(F.array(plane(1) - 1, plane(1), plane(1) + 1))).withColumn("tu", F.explode(tiles(u))).withColumn("tv", F.explode(tiles(v)))
-        b = blocks.withColumn("p", plane(0)).withColumn("tu", F.explode(tiles(u))).withColumn("tv", F.explode(tiles(v)))
-        a = a.select("tile", "p", "tu", "tv", *(F.col(c).alias(f"a_{c}") for c in ["id", "region", *BOUNDS]))
-        b = b.select("p", "tu", "tv", *(F.col(c).alias(f"b_{c}") for c in ["id", "region", *BOUNDS]))
+        named = lambda n: [F.col(c).alias(f"{n}_{c}") for c in ["id", "region", *BOUNDS]]
+        a = blocks.select(F.explode(F.array(plane(1) - 1, plane(1), plane(1) + 1)).alias("p"), *named("a"))
+        b = blocks.select(plane(0).alias("p"), *named("b"))
         near = F.abs(F.col(f"a_{k}1") - F.col(f"b_{k}0")) <= tolerance * F.greatest(F.lit(1.0), F.abs(F.col(f"a_{k}1")), F.abs(F.col(f"b_{k}0")))
-        low = {m: F.greatest(f"a_{m}0", f"b_{m}0") for m in (u, v)}
-        size = {m: F.least(f"a_{m}1", f"b_{m}1") - low[m] for m in (u, v)}
-        first = reduce(lambda x, y: x & y, (F.col(f"t{n}") == F.floor(low[m] / tile) for n, m in (("u", u), ("v", v))))
-        hit = near & first & (size[u] > 0) & (size[v] > 0) & (size[u] * size[v] > least_area) & (F.col("a_id") != F.col("b_id"))
-        out.append(a.join(b, ["p", "tu", "tv"]).where(hit).select(
+        size = {m: F.least(f"a_{m}1", f"b_{m}1") - F.greatest(f"a_{m}0", f"b_{m}0") for m in (u, v)}
+        hit = near & (size[u] > 0) & (size[v] > 0) & (size[u] * size[v] > least_area) & (F.col("a_id") != F.col("b_id"))
+        out.append(tiled_join(a, b, spans("a_", [u, v]), spans("b_", [u, v]), ("p",)).where(hit).select(
             F.lit(k).alias("axis"), F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"), F.col("a_region").alias("region_a"), F.col("b_region").alias("region_b"), (size[u] * size[v]).alias("area")
         ))
     return reduce(DataFrame.union, out)
@@ -89,18 +77,13 @@ def split_boxes(blocks: DataFrame, axis: str, at: float) -> DataFrame:
     return out.withColumns({hi: F.when(F.col("side") == 0, F.lit(at)).otherwise(F.col(hi)), lo: F.when(F.col("side") == 1, F.lit(at)).otherwise(F.col(lo))})
 
 
-def touching_regions(boxes: DataFrame, *, tolerance: float = 1e-9, tile: float | None = None) -> DataFrame:
+def touching_regions(boxes: DataFrame, *, tolerance: float = 1e-9) -> DataFrame:
     """Pairs of boxes (a < b) that touch: every overlap is at least -tolerance and one is about zero (JOIN-05).
 
-    The join is on tiles of all three axes; a pair is kept in the first tile that both cover.
+    The join is on tiles of all three axes, in levels by the boxes' sizes.
     """
-    boxes, tile = with_tile(boxes, tile), F.col("tile")
-    tiles = lambda m: F.sequence(F.floor((F.col(f"{m}0") - tolerance) / tile).cast("long"), F.floor((F.col(f"{m}1") + tolerance) / tile).cast("long"))
-    t = boxes
-    for k in AXES:
-        t = t.withColumn(f"t{k}", F.explode(tiles(k)))
-    a, b = (t.select("tx", "ty", "tz", *(["tile"] if n == "a" else []), *(F.col(c).alias(f"{n}_{c}") for c in ["id", *BOUNDS])) for n in "ab")
+    a, b = (boxes.select(*(F.col(c).alias(f"{n}_{c}") for c in ["id", *BOUNDS])) for n in "ab")
     over = [F.least(f"a_{k}1", f"b_{k}1") - F.greatest(f"a_{k}0", f"b_{k}0") for k in AXES]
-    first = reduce(lambda x, y: x & y, (F.col(f"t{k}") == F.floor((F.greatest(f"a_{k}0", f"b_{k}0") - tolerance) / tile) for k in AXES))
     hit = reduce(lambda x, y: x & y, (o >= -tolerance for o in over)) & reduce(lambda x, y: x | y, (F.abs(o) <= tolerance for o in over))
-    return a.join(b, ["tx", "ty", "tz"]).where(first & hit & (F.col("a_id") < F.col("b_id"))).select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"))
+    both = tiled_join(a, b, spans("a_", AXES, tolerance), spans("b_", AXES, tolerance))
+    return both.where(hit & (F.col("a_id") < F.col("b_id"))).select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import geometry as g
+from .tiles import spans, tiled_join
 from .topology import BOX_EDGES, CORNERS
 
 #: Roles of volumes that are soil, and of those that cut it (fixed values).
@@ -128,25 +129,18 @@ def transformed(scale: Column, degrees: Column, move: Column) -> dict[str, Colum
 def adjacent_volumes(surfaces: DataFrame, volumes: DataFrame, eps: float = 1e-6) -> DataFrame:
     """(surface, volume): volumes whose box a surface's box touches and of whose planes it shares one, in which it lies, or whose region it names (SPA-10).
 
-    Both are (id, region, x0, ..., z1). The tolerance grows with the coordinates. The join is on tiles of x and y as large as the mean volume.
+    Both are (id, region, x0, ..., z1). The tolerance grows with the coordinates. The join is on tiles of all axes, in levels by the boxes' sizes.
     """
     b = [f"{k}{s}" for k in g.AXES for s in (0, 1)]
-    mean = F.broadcast(volumes.agg(F.greatest(F.avg(F.col("x1") - F.col("x0")), F.avg(F.col("y1") - F.col("y0")), F.lit(1e-9)).alias("tile")))  # one row
-    cell = lambda c: F.floor(c / F.col("tile"))
-    s, v = surfaces.join(mean), volumes.join(mean)
-    for k in "xy":
-        tol = F.lit(eps) * F.greatest(F.lit(1.0), F.abs(f"{k}0"), F.abs(f"{k}1"))
-        s = s.withColumn(f"t{k}", F.explode(F.sequence(cell(F.col(f"{k}0") - tol), cell(F.col(f"{k}1") + tol))))
-        v = v.withColumn(f"t{k}", F.explode(F.sequence(cell(F.col(f"{k}0")), cell(F.col(f"{k}1")))))
-    s = s.select("tx", "ty", *(F.col(c).alias(f"s_{c}") for c in ["id", "region", *b]))
-    v = v.select("tx", "ty", *(F.col(c).alias(f"v_{c}") for c in ["id", "region", *b]))
+    s, v = (t.select(*(F.col(c).alias(f"{p}_{c}") for c in ["id", "region", *b])) for t, p in ((surfaces, "s"), (volumes, "v")))
+    wide = lambda p: [x for k in g.AXES for x in spans(f"{p}_", k, F.lit(eps) * F.greatest(F.lit(1.0), F.abs(f"{p}_{k}0"), F.abs(f"{p}_{k}1")))]
     tol = {k: F.lit(eps) * F.greatest(F.lit(1.0), *(F.abs(f"{p}_{k}{e}") for p in "sv" for e in (0, 1))) for k in g.AXES}
     touch = reduce(lambda x, y: x & y, ((F.greatest(f"s_{k}0", f"v_{k}0") <= F.least(f"s_{k}1", f"v_{k}1") + tol[k]) for k in g.AXES))
     # a surface is flat along an axis of its own: there it may lie on a plane of the volume
     plane = reduce(lambda x, y: x | y, ((F.abs(F.col(f"s_{k}1") - F.col(f"s_{k}0")) <= tol[k]) & ((F.abs(F.col(f"s_{k}0") - F.col(f"v_{k}0")) <= tol[k]) | (F.abs(F.col(f"s_{k}0") - F.col(f"v_{k}1")) <= tol[k])) for k in g.AXES))
     inside = reduce(lambda x, y: x & y, ((F.col(f"s_{k}0") >= F.col(f"v_{k}0") - tol[k]) & (F.col(f"s_{k}1") <= F.col(f"v_{k}1") + tol[k]) for k in g.AXES))
     hit = touch & (plane | inside | F.coalesce(F.col("s_region") == F.col("v_region"), F.lit(False)))
-    return s.join(v, ["tx", "ty"]).where(hit).select(F.col("s_id").alias("surface"), F.col("v_id").alias("volume")).distinct()
+    return tiled_join(s, v, wide("s"), wide("v")).where(hit).select(F.col("s_id").alias("surface"), F.col("v_id").alias("volume")).distinct()
 
 
 def boundary_type(face: dict[str, Column]) -> Column:

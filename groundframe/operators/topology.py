@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import geometry as g
+from .tiles import spans, tiled_join
 
 #: A box's corners (0: low, 1: high bound of each axis) in the order of a hexahedron's nodes, its faces and its edges by corner.
 CORNERS = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
@@ -52,24 +53,17 @@ def face_contacts(boxes: DataFrame, *, tolerance: float = 1e-7, least_area: floa
     """(id_a, id_b, label_a, label_b, area): faces of different boxes that look at each other in one plane and overlap (JOIN-04).
 
     Only faces up an axis meet those down it. The join is on the axis, the plane (both neighbouring roundings are probed) and
-    tiles of the face's own plane, as large as the mean face, so that neither one large nor many small faces make
-    a task; a pair is kept in the first tile that both cover.
+    tiles of the face's own plane, in levels by the faces' sizes.
     """
     f = box_faces(boxes)
-    mean = f.agg(F.greatest(F.avg(F.col("u1") - F.col("u0")), F.avg(F.col("v1") - F.col("v0")), F.lit(1e-9)).alias("tile"))
-    f = f.join(F.broadcast(mean))  # one row
     step = tolerance * 1e3
-    cell = lambda c: F.floor(F.col(c) / F.col("tile")).cast("long")
-    f = f.withColumns({"tu": F.explode(F.sequence(cell("u0"), cell("u1")))}).withColumns({"tv": F.explode(F.sequence(cell("v0"), cell("v1")))})
     names = ["id", "label", "at", "u0", "u1", "v0", "v1"]
-    up = f.where("side = 1").withColumn("p", F.floor(F.col("at") / step)).select("axis", "tu", "tv", "tile", "p", *(F.col(c).alias(f"a_{c}") for c in names))
-    down = f.where("side = -1").withColumn("p", F.explode(F.array(*(F.floor(F.col("at") / step) + d for d in (-1, 0, 1))))).select("axis", "tu", "tv", "p", *(F.col(c).alias(f"b_{c}") for c in names))
-    low = {m: F.greatest(f"a_{m}0", f"b_{m}0") for m in "uv"}
-    size = {m: F.least(f"a_{m}1", f"b_{m}1") - low[m] for m in "uv"}
+    up = f.where("side = 1").withColumn("p", F.floor(F.col("at") / step)).select("axis", "p", *(F.col(c).alias(f"a_{c}") for c in names))
+    down = f.where("side = -1").withColumn("p", F.explode(F.array(*(F.floor(F.col("at") / step) + d for d in (-1, 0, 1))))).select("axis", "p", *(F.col(c).alias(f"b_{c}") for c in names))
+    size = {m: F.least(f"a_{m}1", f"b_{m}1") - F.greatest(f"a_{m}0", f"b_{m}0") for m in "uv"}
     near = F.abs(F.col("a_at") - F.col("b_at")) <= tolerance * F.greatest(F.lit(1.0), F.abs("a_at"), F.abs("b_at"))
-    first = reduce(lambda x, y: x & y, (F.col(f"t{m}") == F.floor(low[m] / F.col("tile")) for m in "uv"))
-    hit = near & first & (size["u"] > 0) & (size["v"] > 0) & (size["u"] * size["v"] > least_area) & (F.col("a_id") != F.col("b_id"))
-    both = up.join(down, ["axis", "tu", "tv", "p"]).where(hit)
+    hit = near & (size["u"] > 0) & (size["v"] > 0) & (size["u"] * size["v"] > least_area) & (F.col("a_id") != F.col("b_id"))
+    both = tiled_join(up, down, spans("a_", "uv"), spans("b_", "uv"), ("axis", "p")).where(hit)
     return both.select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"), F.col("a_label").alias("label_a"), F.col("b_label").alias("label_b"), (size["u"] * size["v"]).alias("area"))
 
 
@@ -101,7 +95,8 @@ def lineage(old: DataFrame, new: DataFrame) -> DataFrame:
 
     Entities have op, kind, id, name, plane and bounds. Equal names within an operation and kind match first (the smallest old id);
     else the old one whose bounds overlap most (a tenth of a point for each unit of volume, ten more for the same plane). An old entity with
-    one descendant is preserved, with several split; a new entity without an origin is generated.
+    one descendant is preserved, with several split; a new entity without an origin is generated. Boxes meet on tiles in levels by their
+    sizes, so an operation with many entities is no all-pairs join.
     """
     box = [f"{k}{s}" for k in g.AXES for s in (0, 1)]
     o = old.select("op", "kind", F.col("id").alias("old_id"), F.col("name").alias("old_name"), F.col("plane").alias("old_plane"), *(F.col(b).alias(f"o_{b}") for b in box))
@@ -109,7 +104,8 @@ def lineage(old: DataFrame, new: DataFrame) -> DataFrame:
     rest = new.join(named, "id", "left_anti")
     over = reduce(lambda x, y: x * y, (F.greatest(F.lit(0.0), F.least(f"{k}1", f"o_{k}1") - F.greatest(f"{k}0", f"o_{k}0")) for k in g.AXES))
     score = over / 10 + F.when(F.col("plane") == F.col("old_plane"), 10.0).otherwise(0.0)
-    near = rest.join(o, ["op", "kind"]).withColumn("score", score).where(over > 0).groupBy("id").agg(F.min_by("old_id", F.struct(-F.col("score"), F.col("old_id"))).alias("by_box"))
+    there = rest.select("op", "kind", "id", "plane", *box)
+    near = tiled_join(there, o.drop("old_name"), spans("", g.AXES), spans("o_", g.AXES), ("op", "kind")).withColumn("score", score).where(over > 0).groupBy("id").agg(F.min_by("old_id", F.struct(-F.col("score"), F.col("old_id"))).alias("by_box"))
     out = new.select("id").join(named, "id", "left").join(near, "id", "left").select(F.col("id").alias("new_id"), F.coalesce("by_name", "by_box").alias("old_id"))
     many = out.where("old_id is not null").groupBy("old_id").agg(F.count("*").alias("n"))
     kind = F.when(F.col("old_id").isNull(), "generated").when(F.col("n") > 1, "split").otherwise("preserved")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tiles import spans, tiled_join
+
 #: Points for each equal attribute of an old and a new entity, and for being near; from AUTO on a match needs no review.
 SCORES = {"fingerprint": 10.0, "key": 5.0, "feature": 3.0, "kind": 2.0, "role": 1.0}
 NEAR, AUTO, SURE = 2.0, 6.0, 8.0
@@ -149,18 +151,14 @@ def node_sets(nodes: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     return nodes.join(F.broadcast(box)).select(F.explode(F.array_compact(sides)).alias("set"), "node_id")  # the box is one row
 
 
-def intersection_candidates(triangles: DataFrame, *, bin_size: float) -> DataFrame:
-    """(id_a, id_b) of triangles (cell_id, conn, pts) whose boxes overlap and that share no node (JOIN-06), from bins of space."""
+def intersection_candidates(triangles: DataFrame) -> DataFrame:
+    """(id_a, id_b) of triangles (cell_id, conn, pts) whose boxes overlap and that share no node (JOIN-06), from tiles of space in levels by their sizes."""
     lim = {f"{k}{s}": f(F.transform("pts", _axis(k))) for k in "xyz" for s, f in ((0, F.array_min), (1, F.array_max))}
     t = triangles.withColumns(lim)
-    for k in "xyz":
-        t = t.withColumn(f"b{k}", F.explode(F.sequence(F.floor(F.col(f"{k}0") / bin_size), F.floor(F.col(f"{k}1") / bin_size))))
     names = ["cell_id", "conn", *(f"{k}{s}" for k in "xyz" for s in (0, 1))]
-    a, b = (t.select("bx", "by", "bz", *(F.col(c).alias(f"{n}_{c}") for c in names)) for n in "ab")
-    over = reduce(lambda x, y: x & y, (F.least(f"a_{k}1", f"b_{k}1") >= F.greatest(f"a_{k}0", f"b_{k}0") for k in "xyz"))
-    first = reduce(lambda x, y: x & y, (F.col(f"b{k}") == F.floor(F.greatest(f"a_{k}0", f"b_{k}0") / bin_size) for k in "xyz"))
-    hit = (F.col("a_cell_id") < F.col("b_cell_id")) & over & first & ~F.arrays_overlap("a_conn", "b_conn")
-    return a.join(b, ["bx", "by", "bz"]).where(hit).select(F.col("a_cell_id").alias("id_a"), F.col("b_cell_id").alias("id_b"))
+    a, b = (t.select(*(F.col(c).alias(f"{n}_{c}") for c in names)) for n in "ab")
+    hit = (F.col("a_cell_id") < F.col("b_cell_id")) & ~F.arrays_overlap("a_conn", "b_conn")
+    return tiled_join(a, b, spans("a_", "xyz"), spans("b_", "xyz")).where(hit).select(F.col("a_cell_id").alias("id_a"), F.col("b_cell_id").alias("id_b"))
 
 
 def _axis(k: str):

@@ -95,24 +95,16 @@ def merged(spark, sf):
 
 
 def crossing(spark, sf):
-    """JOIN-06: triangles in three directions around points of a grid."""
-    k = F.col("p_partkey")
-    at = lambda i, j: F.struct((k % 20 + i).cast("double").alias("x"), (F.floor(k / 20) % 20 + j).cast("double").alias("y"), F.lit(0.0).alias("z"))
-    tri = table(spark, sf, "part").where("p_partkey <= 400").select(k.alias("cell_id"), F.array(k, k + 1, k + 20).alias("conn"), F.array(at(0.0, 0.0), at(0.5, 0.0), at(0.0, 1.0)).alias("pts"))
-    return t.intersection_candidates(tri, bin_size=2.0)
-
-
-def crossing_all(spark, sf):
-    """JOIN-06: as `crossing`, over all parts: a layer of the grid for every 1600, four at each of its points."""
+    """JOIN-06: triangles in three directions around points of a grid, a layer of it for every 1600 parts, four at each of its points."""
     k = F.col("p_partkey")
     at = lambda i, j: F.struct((k % 20 + i).cast("double").alias("x"), (F.floor(k / 20) % 20 + j).cast("double").alias("y"), F.floor(k / 1600).cast("double").alias("z"))
     tri = table(spark, sf, "part").select(k.alias("cell_id"), F.array(k, k + 1, k + 20).alias("conn"), F.array(at(0.0, 0.0), at(0.5, 0.0), at(0.0, 1.0)).alias("pts"))
-    return t.intersection_candidates(tri, bin_size=2.0)
+    return t.intersection_candidates(tri)
 
 
 _ACT = "act AS (SELECT DISTINCT event_type AS region, unnest([4, 5, 6, 7, 8]) AS phase FROM events), el AS (SELECT phase, cells.* FROM act JOIN cells USING (region) WHERE length(region) <= phase)"
 QUERIES = {
-    "model_phases": phases, "model_compact": compact, "model_forces": forces, "model_node_sets": sets, "model_spacing": gaps, "model_matches": matches, "model_materials": region_materials, "model_merged": merged, "model_crossing": crossing, "model_crossing_all": crossing_all, "model_decisions": decisions, "model_carried": carried,
+    "model_phases": phases, "model_compact": compact, "model_forces": forces, "model_node_sets": sets, "model_spacing": gaps, "model_matches": matches, "model_materials": region_materials, "model_merged": merged, "model_crossing": crossing, "model_crossing_all": crossing, "model_decisions": decisions, "model_carried": carried,
 }
 _ENT = "(k % 10) AS x, (k % 7) AS y, k % 211 AS fingerprint, k % 97 AS key, k % 89 AS feature, n AS kind, n % 3 AS role"
 SQL = {
@@ -146,10 +138,8 @@ SELECT how, count(*) AS rows, count(DISTINCT k) AS bindings, min(name) AS first
 SELECT region, coalesce(name, CASE WHEN region LIKE 'soil%' THEN (SELECT min(name) FROM m) END) AS material FROM r LEFT JOIN m ON name = region""",
     "model_merged": f"""WITH {CELLS_SQL}, b AS (SELECT cell_id, region FROM cells UNION ALL SELECT cell_id + (SELECT max(cell_id) + 1 FROM cells), region FROM cells)
 SELECT CASE WHEN region IN ('click', 'view') THEN 'seen' ELSE region END AS region, count(*) AS cells, count(DISTINCT cell_id) AS ids, max(cell_id) AS last FROM b GROUP BY 1""",
-    "model_crossing": """WITH t AS (SELECT p_partkey AS id, p_partkey % 20 AS x, p_partkey // 20 % 20 AS y FROM part WHERE p_partkey <= 400)
-SELECT a.id AS id_a, b.id AS id_b FROM t a JOIN t b ON a.id < b.id AND least(a.x, b.x) + 0.5 >= greatest(a.x, b.x) AND least(a.y, b.y) + 1 >= greatest(a.y, b.y)
-WHERE NOT list_has_any([a.id, a.id + 1, a.id + 20], [b.id, b.id + 1, b.id + 20])""",
     "model_crossing_all": """WITH t AS (SELECT p_partkey AS id, p_partkey % 20 AS x, p_partkey // 20 % 20 AS y, p_partkey // 1600 AS z FROM part)
 SELECT a.id AS id_a, b.id AS id_b FROM t a JOIN t b ON a.z = b.z AND a.id < b.id AND least(a.x, b.x) + 0.5 >= greatest(a.x, b.x) AND least(a.y, b.y) + 1 >= greatest(a.y, b.y)
 WHERE NOT list_has_any([a.id, a.id + 1, a.id + 20], [b.id, b.id + 1, b.id + 20])""",
 }
+SQL["model_crossing"] = SQL["model_crossing_all"]
