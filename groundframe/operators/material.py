@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from . import mesh
+from .folds import waves
 
 #: A tetrahedron of this volume or less has no strain.
 THIN = 1e-14
@@ -386,14 +387,6 @@ def hardening_step(state: dict[str, np.ndarray], de: np.ndarray, par: dict[str,
     return new
 
 
-def _waves(cells: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows of sorted cells in waves: the first row of every cell, the second, and so on."""
-    starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-    turn = np.arange(len(cells)) - np.repeat(starts, np.diff(np.r_[starts, len(cells)]))
-    order = np.argsort(turn, kind="stable")
-    return iter(np.split(order, np.flatnonzero(np.diff(turn[order])) + 1))
-
-
 def hardening_history(increments: DataFrame) -> DataFrame:
     """Increments (cell, seq, dstrain and the constants of SOIL) with `state` after each, folded in order of seq within a cell (NUM-21).
 
@@ -424,7 +417,7 @@ def hardening_history(increments: DataFrame) -> DataFrame:
                 for key, v in held.items():
                     state[key][0] = v
             out = {}
-            for wave in _waves(slot):
+            for wave in waves(slot):
                 at = slot[wave]
                 got = hardening_step({k: v[at] for k, v in state.items()}, de[wave], {c: v[wave] for c, v in par.items()})
                 for k, v in got.items():
