@@ -48,14 +48,19 @@ class Rounds:
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.paths = spark, f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}", []
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def written(self, writer) -> str:
+        """The path of a new table, which `writer` has been given."""
         self.paths.append(f"{self.folder}/{len(self.paths)}")
-        df.write.parquet(self.paths[-1])
-        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+        writer(self.paths[-1])
+        return self.paths[-1]
+
+    def write(self, df: DataFrame) -> DataFrame:
+        return self.spark.read.schema(df.schema).parquet(self.written(df.write.parquet))
 
     def drop_before(self, keep: int = 1) -> None:
         """Deletes all tables but the last `keep`."""
-        for p in [p for p in self.paths[:-keep] if p]:
+        old = self.paths[: len(self.paths) - keep]
+        for p in filter(None, old):
             path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        self.paths = [None] * max(0, len(self.paths) - keep) + self.paths[-keep:]
+        self.paths[: len(old)] = [None] * len(old)

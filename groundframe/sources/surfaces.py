@@ -110,12 +110,15 @@ def quality(facets: DataFrame) -> DataFrame:
 
 
 def stl_lines(facets: DataFrame, name: str = "surface") -> DataFrame:
-    """(n, line): a text STL in order; write sorted by n."""
-    p = F.array(*(g.point(*(F.col(f"{k}{i}") for k in "xyz")) for i in range(3)))
-    n = g.triangle_normal(p)
-    row = lambda v: F.format_string("%.9g %.9g %.9g", v["x"], v["y"], v["z"])
-    body = F.array(F.concat(F.lit("facet normal "), row(n)), F.lit("outer loop"), *(F.concat(F.lit("vertex "), row(p[i])) for i in range(3)), F.lit("endloop"), F.lit("endfacet"))
-    lines = facets.select("facet", F.posexplode(body).alias("at", "line")).select((F.col("facet") * 8 + F.col("at")).alias("n"), "line")
+    """(n, line): a text STL in order; write sorted by n (SNK-05)."""
+    c = F.col
+    side = {(k, i): c(f"{k}{i}") - c(f"{k}0") for k in "xyz" for i in (1, 2)}
+    turn = {k: side[u, 1] * side[v, 2] - side[v, 1] * side[u, 2] for k, (u, v) in zip("xyz", ("yz", "zx", "xy"), strict=True)}
+    own = facets.withColumns({f"n{k}": v for k, v in turn.items()}).withColumn("size", F.sqrt(c("nx") ** 2 + c("ny") ** 2 + c("nz") ** 2))
+    unit = [F.when(c("size") > 0, c(f"n{k}") / c("size")).otherwise(0.0) for k in "xyz"]
+    row = lambda *v: F.format_string("%.9g %.9g %.9g", *v)
+    body = F.array(F.concat(F.lit("facet normal "), row(*unit)), F.lit("outer loop"), *(F.concat(F.lit("vertex "), row(*(c(f"{k}{i}") for k in "xyz"))) for i in range(3)), F.lit("endloop"), F.lit("endfacet"))
+    lines = own.select("facet", F.posexplode(body).alias("at", "line")).select((c("facet") * 8 + c("at")).alias("n"), "line")
     spark = facets.sparkSession
     ends = spark.createDataFrame([(-1, f"solid {name}"), (1 << 62, f"endsolid {name}")], "n long, line string")
     return lines.union(ends)

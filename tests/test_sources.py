@@ -118,3 +118,31 @@ def test_ranges_of_any_size_give_the_same_mesh(spark, tmp_path):
     assert got[0] == got[1] == got[2]
     assert got[0][1] == [(i + 1, i + 0.5, float(i * i), float(f"-{i}e-1")) for i in range(n)]
     assert got[0][0] == [(i + 1, "tet4", [i + 1, i + 2, i + 3, i + 4], f"layer_{i % 5}") for i in range(n - 3)]
+
+
+def test_one_file_in_order(spark, tmp_path):
+    from groundframe.sources import splits
+
+    lines = spark.range(3000).repartition(7).select((F.col("id") * 37 % 3000).alias("n"), F.concat(F.lit("line "), (F.col("id") * 37 % 3000).cast("string")).alias("line"))
+    path = str(tmp_path / "out.txt")
+    splits.write_file(lines, path, size=1000)
+    want = "".join(f"line {n}\n" for n in range(3000))
+    assert (tmp_path / "out.txt").read_text() == want and [p.name for p in tmp_path.iterdir()] == ["out.txt"]
+    with pytest.raises(FileExistsError):
+        splits.write_file(lines, path)
+    with pytest.raises(ValueError):
+        splits.write_file(lines, "hdfs://host/out.txt")
+    splits.write_file(lines.limit(0), str(tmp_path / "none.txt"))
+    assert (tmp_path / "none.txt").read_text() == ""
+
+
+def test_a_repeated_task_writes_the_same_bytes(spark, tmp_path, monkeypatch):
+    from groundframe.sources import splits
+
+    once = splits.ranges
+    monkeypatch.setattr(splits, "ranges", lambda *a: (lambda df: df.union(df))(once(*a)))  # every range is copied twice, side by side
+    lines = spark.range(500).select(F.col("id").alias("n"), F.concat(F.lit("é "), F.col("id").cast("string")).alias("line"))
+    with pytest.raises(OSError):  # twice as many bytes as the file has
+        splits.write_file(lines, str(tmp_path / "out.txt"), size=100)
+    (left,) = tmp_path.iterdir()
+    assert left.name != "out.txt" and left.read_text() == "".join(f"é {n}\n" for n in range(500))
