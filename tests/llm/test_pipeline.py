@@ -61,4 +61,4 @@ def test_line_dedup_keeps_own_columns(spark):
 
 
 def test_every_operator_has_its_query():
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
