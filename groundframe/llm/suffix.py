@@ -3,14 +3,18 @@
 Every string of LENGTH bytes is assigned to an anchor: the least hash among the GRAM-byte grams inside it. Equal
 strings have equal anchors at equal places, so they can only meet within one anchor's gram; consecutive strings
 with the same anchor form a run, about one for 30 bytes of text. Runs are compared instead of strings: first among
-themselves in each task, where a hash-compared suffix sort brings equal ones together, then across tasks by
-96 bits of hash. Only strings of runs whose gram occurs in different surroundings are compared one by one.
+themselves in each task, where a hash-compared suffix sort brings equal ones together and their bytes are compared, then
+across tasks by 96 bits of hash. Only strings of runs whose gram occurs in different surroundings are compared one by one.
+What meets across tasks by these hashes is verified: runs that follow each other are joined to stretches, whose bytes,
+here and at the earlier place, must have one SHA-256. Runs that fail are compared by strings, strings that fail by
+their bytes themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -25,6 +29,9 @@ ONCE, REPEAT, PART, FIRST, MIXED = range(5)
 SEGMENT = 1 << 17
 #: Bytes of text among which a task sorts its runs at a time.
 LOCAL = 1 << 23
+#: Stretches of one document that are asked for in a row; strings whose bytes are compared at a time.
+ASKED, STRINGS = 1 << 14, 1 << 14
+_STRETCH = "doc long, p long, n long, other long, op long, d1 long, d2 long"
 
 
 @lru_cache(maxsize=4)
@@ -172,7 +179,12 @@ def _segments(texts: list[bytes]) -> Iterator[tuple[list[tuple[int, int]], bytes
         yield parts, held
 
 
-def _all_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+def _some_bits(h: np.ndarray, bits: int) -> np.ndarray:
+    """The upper `bits` bits of 64, the others 0."""
+    return h & ~np.uint64((1 << (64 - bits)) - 1)
+
+
+def _all_runs(texts: list[bytes], bits: int = 64) -> tuple[np.ndarray, ...]:
     """(text, first start, number of starts, gram, context hash) of the runs of all texts."""
     out = []
     for parts, held in _segments(texts):
@@ -185,14 +197,14 @@ def _all_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         h = Hashed(buf, 2)
         c = mix(h(lo, n + LENGTH - 1) + (n.astype(np.uint64) << np.uint64(8)) + (at - lo).astype(np.uint64))
         which, off = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
-        out.append((which[own], lo - begin[own] + off[own], n, k, c))
+        out.append((which[own], lo - begin[own] + off[own], n, k, _some_bits(c, bits)))
     if not out:
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _local(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
     """(doc, text) → rows (key, cp, doc, m) of runs after a first comparison among some texts.
 
     cp holds 32 bits of the context's hash and the first start, m the number of starts and a kind. ONCE: the only run
@@ -209,7 +221,7 @@ def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             while j < len(texts) and (j == i or n + len(texts[j]) <= LOCAL):
                 n += len(texts[j])
                 j += 1
-            yield _compared(texts[i:j], ids[i:j])
+            yield _compared(texts[i:j], ids[i:j], bits)
             i = j
 
 
@@ -223,8 +235,8 @@ def _own_key(doc: np.ndarray, p: np.ndarray) -> np.ndarray:
     return mix(mix(doc.astype(np.uint64)) + p.astype(np.uint64))
 
 
-def _compared(texts: list[bytes], ids: np.ndarray) -> pd.DataFrame:
-    which, p, n, k, c = _all_runs(texts)
+def _compared(texts: list[bytes], ids: np.ndarray, bits: int) -> pd.DataFrame:
+    which, p, n, k, c = _all_runs(texts, bits)
     doc = ids[which] if len(which) else np.zeros(0, np.int64)
     order = np.lexsort((p, doc, k))
     which, p, n, k, c, doc = (x[order] for x in (which, p, n, k, c, doc))
@@ -271,30 +283,43 @@ def _flags(stretches: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(d)[:size] > 0
 
 
-def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _asked_starts(runs: list, size: int) -> np.ndarray:
+    return np.nonzero(_flags(np.array([(r["p"], r["p"] + r["n"]) for r in runs], np.int64), size))[0]
+
+
+def _strings(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
     """(doc, text, runs [(p, n)]) → strings that still need comparing: rows (h1, hp, doc, n).
 
     hp holds 32 more bits of the string's hash, and its start. n is 0 for the earliest place of a string among some
-    texts; else the row is a stretch of n starts known to be repeats.
+    texts; else the row is a stretch of n starts known to be repeats, as their bytes are those of an earlier string here.
     """
     for b in batches:
         for s in range(0, len(b), 2_000):
             some = b.iloc[s : s + 2_000]
-            got = []
+            got, held, size = [], [], 0
             for doc, text, runs in zip(some["doc"], some["text"], some["runs"], strict=True):
                 data = text.encode()
-                p = np.nonzero(_flags(np.array([(r["p"], r["p"] + r["n"]) for r in runs], np.int64), len(data)))[0]
+                p = _asked_starts(runs, len(data))
                 for at in range(0, len(data), SEGMENT):
                     q = p[np.searchsorted(p, at) : np.searchsorted(p, at + SEGMENT)]
                     if len(q):
                         buf = np.frombuffer(data[at : at + SEGMENT + LENGTH], np.uint8)
-                        got.append((np.full(len(q), doc), q, mix(Hashed(buf, 4)(q - at, LENGTH)), mix(Hashed(buf, 5)(q - at, LENGTH)) >> np.uint64(32)))
+                        h1, h2 = (mix(Hashed(buf, seed)(q - at, LENGTH)) for seed in (4, 5))
+                        h2 = h2 >> np.uint64(32) if bits == 64 else np.zeros_like(h2)
+                        got.append((np.full(len(q), doc), q, _some_bits(h1, bits), h2, size + q - at))
+                        held.append(buf)
+                        size += len(buf)
             if not got:
                 continue
-            doc, p, h1, h2 = (np.concatenate(x) for x in zip(*got, strict=True))
+            doc, p, h1, h2, place = (np.concatenate(x) for x in zip(*got, strict=True))
             o = np.lexsort((p, doc, h2, h1))
-            doc, p, h1, h2 = doc[o], p[o], h1[o], h2[o]
+            doc, p, h1, h2, place = doc[o], p[o], h1[o], h2[o], place[o]
             again = np.concatenate([[False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])])
+            whole = np.lib.stride_tricks.sliding_window_view(np.concatenate(held), LENGTH)
+            alike = np.nonzero(again)[0]
+            for k in range(0, len(alike), STRINGS):  # one that only has its neighbour's hash goes on by itself
+                x = alike[k : k + STRINGS]
+                again[x] = (whole[place[x]] == whole[place[x - 1]]).all(1)
             f, d, q = ~again, doc[again], p[again]
             hp = ((h2[f] << np.uint64(32)) | p[f].astype(np.uint64)).astype(np.int64)
             yield pd.DataFrame({"h1": h1[f].astype(np.int64), "hp": hp, "doc": doc[f], "n": 0})
@@ -306,6 +331,58 @@ def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"h1": _own_key(d[at], q[at]).astype(np.int64), "hp": q[at], "doc": d[at], "n": n})
 
 
+def _bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(doc, text, runs [(p, n)]) → rows (string, doc, p): the bytes of each string that starts in a run."""
+    for b in batches:
+        for doc, text, runs in zip(b["doc"], b["text"], b["runs"], strict=True):
+            data = text.encode()
+            p = _asked_starts(runs, len(data))
+            for k in range(0, len(p), STRINGS):
+                yield pd.DataFrame({"string": [data[x : x + LENGTH] for x in p[k : k + STRINGS].tolist()], "doc": doc, "p": p[k : k + STRINGS]})
+
+
+def _digests(batches: Iterator[pd.DataFrame], join: bool) -> Iterator[pd.DataFrame]:
+    """(doc, text, asked [(p, n, other, op)]) → _STRETCH: 128 bits of the SHA-256 of the bytes that the strings at n starts from p cover.
+
+    With `join`, stretches that follow each other here and in the other document are one.
+    """
+    for b in batches:
+        for doc, text, asked in zip(b["doc"], b["text"], b["asked"], strict=True):
+            data = text.encode()
+            p, n, other, op = (np.array([x[c] for x in asked], np.int64) for c in ("p", "n", "other", "op"))
+            if join:
+                o = np.lexsort((p, op - p, other))
+                p, n, other, op = p[o], n[o], other[o], op[o]
+                new = np.concatenate([[True], (other[1:] != other[:-1]) | (op[1:] - p[1:] != op[:-1] - p[:-1]) | (p[1:] != p[:-1] + n[:-1])])
+                f = np.nonzero(new)[0]
+                p, n, other, op = p[f], np.add.reduceat(n, f), other[f], op[f]
+            d = b"".join(hashlib.sha256(data[x : x + m - 1 + LENGTH]).digest()[:16] for x, m in zip(p.tolist(), n.tolist(), strict=True))
+            d = np.frombuffer(d, np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"doc": doc, "p": p, "n": n, "other": other, "op": op, "d1": d[:, 0], "d2": d[:, 1]})
+
+
+def _verified(claims: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Claims (doc, p, n, other, op) that strings at n starts from p in `doc` equal those from op in `other` →
+    (stretches (doc, p, n) of which it is true, stretches of both sides that it may not be true of; None if there are none).
+
+    Only digests move: of each stretch, and of each place in another document that stretches refer to, however many.
+    """
+    mine = claims.groupBy("doc").agg(F.collect_list(F.struct("p", "n", "other", "op")).alias("asked")).join(texts, "doc")
+    mine = cut(mine.select("doc", "text", "asked").mapInPandas(partial(_digests, join=True), _STRETCH))
+    asked = mine.select("other", "op", "n").distinct()
+    salts = asked.groupBy("other").agg(F.ceil(F.count("*") / ASKED).alias("salts"))
+    asked = asked.join(salts, "other").groupBy(F.col("other").alias("doc"), F.pmod(F.xxhash64("op", "n"), "salts"))
+    asked = asked.agg(F.collect_list(F.struct(F.col("op").alias("p"), "n", "other", "op")).alias("asked")).join(texts, "doc")
+    theirs = asked.select("doc", "text", "asked").mapInPandas(partial(_digests, join=False), _STRETCH)
+    place, d = ["other", "op", "n"], ["d1", "d2"]
+    both = mine.select(*place, *d).union(theirs.select(*place, *d)).groupBy(*place)
+    odd = cut(both.agg(*(f(c).alias(f"{c}_{f.__name__}") for c in d for f in (F.min, F.max))).where("d1_min <> d1_max or d2_min <> d2_max").select(*place))
+    if odd.isEmpty():
+        return mine.select("doc", "p", "n"), None
+    wrong = mine.join(odd, place, "left_semi").select("doc", "p", "n").union(odd.select("other", "op", "n"))
+    return mine.join(odd, place, "left_anti").select("doc", "p", "n"), wrong
+
+
 def _covered(starts: list, size: int) -> np.ndarray:
     """Maximal stretches (k, 2) of bytes covered by strings at starts [(p, n)]."""
     if len(starts) == 0:
@@ -317,13 +394,15 @@ def _covered(starts: list, size: int) -> np.ndarray:
     return np.stack([a[first, 0], end[np.concatenate([first[1:] - 1, [len(a) - 1]])]], 1)
 
 
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """`docs` with n_bytes, n_removed, n_spans, removed (array of byte spans) and kept (the remaining bytes).
 
     A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a smaller id, or in the same
     document before. Strings are judged on the input. A null or empty text has no bytes. Null ids count as
     the largest. Rows that agree in id and text are one document (each row is returned with its spans); rows
     that share an id only are documents of their own, ordered by a hash of their text. Extra columns stay.
+    `bits` (1 to 64) of a hash decide what is compared; the result is the same for any number, and fewer only cost time
+    (below 64, strings also go without their second hash).
     """
     made = ["n_bytes", "n_removed", "n_spans", "removed", "kept"]
     docs = docs.select(*others(docs, *made))
@@ -332,25 +411,39 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rest = others(docs, text_col)
     own = keyed.select(F.col(key).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*rest).alias(held)).where("doc is not null")
 
-    low, high = (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))), (lambda c: F.shiftright(c, 32))
-    rows = own.select("doc", "text").mapInPandas(_local, "key long, cp long, doc long, m long")
-    kind, c = F.col("m").bitwiseAND(F.lit(7)), high("cp")
+    low, high = (lambda c: (F.col(c) if isinstance(c, str) else c).bitwiseAND(F.lit((1 << 32) - 1))), (lambda c: F.shiftright(c, 32))
+    texts = own.select("doc", "text")
+    rows = texts.mapInPandas(partial(_local, bits=bits), "key long, cp long, doc long, m long")
+    kind, n, c = F.col("m").bitwiseAND(F.lit(7)), F.shiftright("m", 3), high("cp")
     run = kind.isin(ONCE, FIRST)
     w = Window.partitionBy("key")
+    order = Window.partitionBy("key", c, n, kind == MIXED).orderBy("doc", "cp")
+    differ = lambda x: F.coalesce(F.min(F.when(run, x)).over(w) != F.max(F.when(run, x)).over(w), F.lit(False))
     rows = rows.withColumns({
-        "several": F.coalesce(F.min(F.when(run, c)).over(w) != F.max(F.when(run, c)).over(w), F.lit(False)) | F.max(kind == MIXED).over(w),
-        "turn": F.row_number().over(Window.partitionBy("key", c, kind == MIXED).orderBy("doc", "cp")),
+        "several": differ(c) | differ(n) | F.max(kind == MIXED).over(w),
+        "turn": F.row_number().over(order), "other": F.first("doc").over(order), "op": low(F.first("cp").over(order)),
     })
-    what = F.when(kind.isin(REPEAT, PART), kind).when(run & (F.col("turn") > 1), REPEAT).when(run & F.col("several"), PART)
-    info = cut(rows.select("doc", low("cp").alias("p"), F.shiftright("m", 3).alias("n"), what.alias("what")).where("what is not null"))
-
-    todo = info.where(F.col("what") == PART).groupBy("doc").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
-    strings = own.select("doc", "text").join(todo, "doc").mapInPandas(_strings, "h1 long, hp long, doc long, n long")
-    turn = F.row_number().over(Window.partitionBy("h1", high("hp")).orderBy("doc", "hp"))
-    more = strings.withColumn("turn", turn).where("n > 0 or turn > 1").select("doc", low("hp").alias("p"), F.greatest("n", F.lit(1)).alias("n"))
-    more = cut(more)
-    info = info.where(F.col("what") == REPEAT).select("doc", "p", "n")
-    marks = info.union(more).groupBy("doc").agg(F.collect_list(F.struct("p", "n")).alias("marks"))
+    late = run & (F.col("turn") > 1)
+    what = F.when(kind.isin(REPEAT, PART), kind).when(late, ONCE).when(run & F.col("several"), PART)
+    info = cut(rows.select("doc", low("cp").alias("p"), n.alias("n"), what.alias("what"), *(F.when(late, F.col(x)).alias(x) for x in ("other", "op"))).where("what is not null"))
+
+    stretch = ["doc", "p", "n"]
+    same, wrong = _verified(info.where(F.col("what") == ONCE).select(*stretch, "other", "op"), texts)
+    marks = info.where(F.col("what") == REPEAT).select(*stretch).union(same)
+    todo = info.where(F.col("what") == PART).select(*stretch)
+    todo = (todo if wrong is None else todo.union(wrong)).groupBy("doc").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
+    strings = texts.join(todo, "doc").select("doc", "text", "runs").mapInPandas(partial(_strings, bits=bits), "h1 long, hp long, doc long, n long")
+    order = Window.partitionBy("h1", high("hp")).orderBy("doc", "hp")
+    more = strings.withColumns({"turn": F.row_number().over(order), "other": F.first("doc").over(order), "op": low(F.first("hp").over(order))})
+    more = cut(more.where("n > 0 or turn > 1").select("doc", low("hp").alias("p"), "n", "other", "op"))
+    same, wrong = _verified(more.where("n = 0").select("doc", "p", F.lit(1).cast("long").alias("n"), "other", "op"), texts)
+    marks = marks.union(more.where("n > 0").select(*stretch)).union(same)
+    if wrong is not None:  # hashes that different strings share
+        runs = wrong.groupBy("doc").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
+        each = texts.join(runs, "doc").select("doc", "text", "runs").mapInPandas(_bytes, "string binary, doc long, p long")
+        turn = F.row_number().over(Window.partitionBy("string").orderBy("doc", "p"))
+        marks = marks.union(each.withColumn("turn", turn).where("turn > 1").select("doc", "p", F.lit(1).cast("long")))
+    marks = marks.groupBy("doc").agg(F.collect_list(F.struct("p", "n")).alias("marks"))
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>, kept binary")
     def kept(text: pd.Series, marks: pd.Series) -> pd.DataFrame:

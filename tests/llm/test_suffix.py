@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from groundframe.llm.queries import QUERIES
 from groundframe.llm.suffix import Hashed, dedup_substrings, sort_suffixes
@@ -34,10 +35,8 @@ def test_query_equals_brute_force(spark, sf):
     assert out == brute(rows)
 
 
-def test_repetitive_texts_equal_brute_force(spark, monkeypatch):
-    import groundframe.llm.suffix as m
-
-    monkeypatch.setattr(m, "SEGMENT", 700)
+@pytest.fixture(scope="module")
+def repetitive(spark):
     random.seed(2)
     words = ["".join(random.choices("abé ", k=random.randint(1, 40))) for _ in range(30)]
     rows = []
@@ -49,8 +48,35 @@ def test_repetitive_texts_equal_brute_force(spark, monkeypatch):
             at = random.randint(0, len(old))
             text = text[:50] + old[at : at + 300] + text[50:]
         rows.append((i, text))
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert got(dedup_substrings(df)) == brute(rows)
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+
+@pytest.mark.parametrize("bits", [64, 40, 2])
+def test_repetitive_texts_equal_brute_force(repetitive, bits):
+    """With 2 bits nearly all hashes collide, of runs and of strings: verification alone tells texts apart."""
+    rows, df = repetitive
+    assert got(dedup_substrings(df, bits=bits)) == brute(rows)
+
+
+@pytest.mark.parametrize("bits", [64, 3])
+def test_a_line_in_a_third_of_all_documents(spark, bits):
+    random.seed(5)
+    word = lambda: "".join(random.choices("abcdefgh", k=7))
+    line = " ".join(word() for _ in range(40))
+    rows = [(i, " ".join(word() for _ in range(30)) + (f"\n{line}\n" if i % 3 == 0 else "") + " ".join(word() for _ in range(20))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert got(dedup_substrings(df, bits=bits)) == brute(rows)
+
+
+def test_segments_part_runs_not_results(monkeypatch):
+    """Long texts go in segments: the runs of all segments hold every start once."""
+    import groundframe.llm.suffix as m
+
+    monkeypatch.setattr(m, "SEGMENT", 700)
+    random.seed(3)
+    text = "".join(random.choices("ab", k=5000)).encode()
+    _, p, n, _, _ = m._all_runs([text])
+    assert sorted(x for a, k in zip(p, n) for x in range(a, a + k)) == list(range(5000 - m.LENGTH + 1))
 
 
 def test_edges(spark):
