@@ -18,6 +18,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +32,8 @@ SEGMENT = 1 << 17
 LOCAL = 1 << 23
 #: Stretches of one document that are asked for in a row; strings whose bytes are compared at a time.
 ASKED, STRINGS = 1 << 14, 1 << 14
-_STRETCH = "doc long, p long, n long, other long, op long, d1 long, d2 long"
+_NAMES = ["doc", "p", "n", "other", "op", "d1", "d2"]
+_STRETCH = ", ".join(f"{c} long" for c in _NAMES)
 
 
 @lru_cache(maxsize=4)
@@ -341,24 +343,29 @@ def _bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"string": [data[x : x + LENGTH] for x in p[k : k + STRINGS].tolist()], "doc": doc, "p": p[k : k + STRINGS]})
 
 
-def _digests(batches: Iterator[pd.DataFrame], join: bool) -> Iterator[pd.DataFrame]:
+def _digests(batches: Iterator[pa.RecordBatch], join: bool) -> Iterator[pa.RecordBatch]:
     """(doc, text, asked [(p, n, other, op)]) → _STRETCH: 128 bits of the SHA-256 of the bytes that the strings at n starts from p cover.
 
     With `join`, stretches that follow each other here and in the other document are one.
     """
     for b in batches:
-        for doc, text, asked in zip(b["doc"], b["text"], b["asked"], strict=True):
-            data = text.encode()
-            p, n, other, op = (np.array([x[c] for x in asked], np.int64) for c in ("p", "n", "other", "op"))
-            if join:
-                o = np.lexsort((p, op - p, other))
-                p, n, other, op = p[o], n[o], other[o], op[o]
-                new = np.concatenate([[True], (other[1:] != other[:-1]) | (op[1:] - p[1:] != op[:-1] - p[:-1]) | (p[1:] != p[:-1] + n[:-1])])
-                f = np.nonzero(new)[0]
-                p, n, other, op = p[f], np.add.reduceat(n, f), other[f], op[f]
-            d = b"".join(hashlib.sha256(data[x : x + m - 1 + LENGTH]).digest()[:16] for x, m in zip(p.tolist(), n.tolist(), strict=True))
-            d = np.frombuffer(d, np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"doc": doc, "p": p, "n": n, "other": other, "op": op, "d1": d[:, 0], "d2": d[:, 1]})
+        ids, texts, lists = b.column(0).to_numpy(), b.column(1).cast(pa.large_binary()), b.column(2)
+        offsets = lists.offsets.to_numpy()
+        row = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+        p, n, other, op = (lists.values.field(k).to_numpy()[offsets[0] : offsets[-1]] for k in range(4))
+        if join and len(p):
+            o = np.lexsort((p, op - p, other, row))
+            row, p, n, other, op = row[o], p[o], n[o], other[o], op[o]
+            on = (row[1:] == row[:-1]) & (other[1:] == other[:-1]) & (op[1:] - p[1:] == op[:-1] - p[:-1]) & (p[1:] == p[:-1] + n[:-1])
+            f = np.nonzero(np.concatenate([[True], ~on]))[0]
+            row, p, n, other, op = row[f], p[f], np.add.reduceat(n, f), other[f], op[f]
+        held, data, d = -1, memoryview(b""), []
+        for r, x, y in zip(row.tolist(), p.tolist(), (p + n - 1 + LENGTH).tolist(), strict=True):
+            if r != held:
+                held, data = r, memoryview(texts[r].as_buffer())
+            d.append(hashlib.sha256(data[x:y]).digest()[:16])
+        d = np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids[row], p, n, other, op, d[:, 0], d[:, 1])], names=_NAMES)
 
 
 def _verified(claims: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -368,12 +375,12 @@ def _verified(claims: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame
     Only digests move: of each stretch, and of each place in another document that stretches refer to, however many.
     """
     mine = claims.groupBy("doc").agg(F.collect_list(F.struct("p", "n", "other", "op")).alias("asked")).join(texts, "doc")
-    mine = cut(mine.select("doc", "text", "asked").mapInPandas(partial(_digests, join=True), _STRETCH))
+    mine = cut(mine.select("doc", "text", "asked").mapInArrow(partial(_digests, join=True), _STRETCH))
     asked = mine.select("other", "op", "n").distinct()
     salts = asked.groupBy("other").agg(F.ceil(F.count("*") / ASKED).alias("salts"))
     asked = asked.join(salts, "other").groupBy(F.col("other").alias("doc"), F.pmod(F.xxhash64("op", "n"), "salts"))
     asked = asked.agg(F.collect_list(F.struct(F.col("op").alias("p"), "n", "other", "op")).alias("asked")).join(texts, "doc")
-    theirs = asked.select("doc", "text", "asked").mapInPandas(partial(_digests, join=False), _STRETCH)
+    theirs = asked.select("doc", "text", "asked").mapInArrow(partial(_digests, join=False), _STRETCH)
     place, d = ["other", "op", "n"], ["d1", "d2"]
     both = mine.select(*place, *d).union(theirs.select(*place, *d)).groupBy(*place)
     odd = cut(both.agg(*(f(c).alias(f"{c}_{f.__name__}") for c in d for f in (F.min, F.max))).where("d1_min <> d1_max or d2_min <> d2_max").select(*place))
