@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import geometry as g
-from .tiles import spans, tiled_join
+from .tiles import sorted_join, spans, tiled_join
 
 #: A box's corners (0: low, 1: high bound of each axis) in the order of a hexahedron's nodes, its faces and its edges by corner.
 CORNERS = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
@@ -100,16 +100,16 @@ def lineage(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     box = [f"{k}{s}" for k in g.AXES for s in (0, 1)]
     o = old.select("op", "kind", F.col("id").alias("old_id"), F.col("name").alias("old_name"), F.col("plane").alias("old_plane"), *(F.col(b).alias(f"o_{b}") for b in box))
-    named = new.join(o.select("op", "kind", "old_id", F.col("old_name").alias("name")), ["op", "kind", "name"]).groupBy("id").agg(F.min("old_id").alias("by_name"))
-    rest = new.join(named, "id", "left_anti")
+    named = new.join(sorted_join(o.select("op", "kind", "old_id", F.col("old_name").alias("name"))), ["op", "kind", "name"]).groupBy("id").agg(F.min("old_id").alias("by_name"))
+    rest = new.join(sorted_join(named), "id", "left_anti")
     over = reduce(lambda x, y: x * y, (F.greatest(F.lit(0.0), F.least(f"{k}1", f"o_{k}1") - F.greatest(f"{k}0", f"o_{k}0")) for k in g.AXES))
     score = over / 10 + F.when(F.col("plane") == F.col("old_plane"), 10.0).otherwise(0.0)
     there = rest.select("op", "kind", "id", "plane", *box)
     near = tiled_join(there, o.drop("old_name"), spans("", g.AXES), spans("o_", g.AXES), ("op", "kind")).withColumn("score", score).where(over > 0).groupBy("id").agg(F.min_by("old_id", F.struct(-F.col("score"), F.col("old_id"))).alias("by_box"))
-    out = new.select("id").join(named, "id", "left").join(near, "id", "left").select(F.col("id").alias("new_id"), F.coalesce("by_name", "by_box").alias("old_id"))
+    out = new.select("id").join(sorted_join(named), "id", "left").join(sorted_join(near), "id", "left").select(F.col("id").alias("new_id"), F.coalesce("by_name", "by_box").alias("old_id"))
     many = out.where("old_id is not null").groupBy("old_id").agg(F.count("*").alias("n"))
     kind = F.when(F.col("old_id").isNull(), "generated").when(F.col("n") > 1, "split").otherwise("preserved")
-    return out.join(many, "old_id", "left").select("new_id", "old_id", kind.alias("type"))
+    return out.join(sorted_join(many), "old_id", "left").select("new_id", "old_id", kind.alias("type"))
 
 
 def closest_blocks(old: DataFrame, new: DataFrame, reach: float) -> DataFrame:
@@ -123,7 +123,7 @@ def closest_blocks(old: DataFrame, new: DataFrame, reach: float) -> DataFrame:
         o = o.withColumn(f"c{k}", F.explode(F.array(*(cell(k) + d for d in (-1, 0, 1)))))
     n = new.select(F.col("id").alias("new_id"), F.col("role").alias("new_role"), *(F.col(k).alias(f"n{k}") for k in g.AXES), *(cell(k).alias(f"c{k}") for k in g.AXES))
     d = F.sqrt(reduce(lambda a, b: a + b, ((F.col(k) - F.col(f"n{k}")) ** 2 for k in g.AXES)))
-    both = o.join(n, [f"c{k}" for k in g.AXES]).withColumn("distance", d).where(F.col("distance") <= reach)
+    both = o.join(sorted_join(n), [f"c{k}" for k in g.AXES]).withColumn("distance", d).where(F.col("distance") <= reach)
     best = both.groupBy(F.col("id").alias("old_id")).agg(F.min(F.struct((~F.col("role").eqNullSafe(F.col("new_role"))).alias("other"), "distance", "new_id")).alias("b"))
     return best.select("old_id", "b.new_id", "b.distance", F.col("b.other").alias("other_role"))
 
