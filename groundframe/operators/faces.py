@@ -98,7 +98,7 @@ def oriented(triangles: DataFrame) -> DataFrame:
     """
     p = F.col("pts")
     own = weld(triangles)
-    volume = own.groupBy("region").agg(F.sum(g.dot(p[0], g.cross(p[1], p[2])) / 6).alias("volume"))
+    volume = own.groupBy("region").agg((F.sum(g.dot(p[0], g.cross(p[1], p[2]))) / 6).alias("volume"))  # divided last: whole numbers add up exactly
     c = F.col("conn")
     edges = own.select("region", F.explode(F.array(*(F.struct(F.array_sort(F.array(c[a], c[b])).alias("e"), (c[a] < c[b]).alias("up")) for a, b in ((0, 1), (1, 2), (2, 0))))).alias("x"))
     edges = edges.groupBy("region", "x.e").agg(F.count("*").alias("n"), F.count_if("x.up").alias("up"))
