@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .geometry import AXES
+from .tiles import sorted_join
 
 #: An extent of this or less is none.
 FLAT = 1e-9
@@ -50,7 +51,7 @@ def crossings(triangles: DataFrame, own: DataFrame) -> DataFrame:
     computed from its lower end, so triangles that share it agree to the last digit. Work and rows follow the
     number of crossings: a triangle is spread first over its lines, and these, dealt anew, over their columns.
     """
-    t = triangles.join(own.where("status = 'ok'"), "region")
+    t = triangles.join(sorted_join(own.where("status = 'ok'")), "region")
     ends = lambda a, b: F.array_sort(F.array(*(F.struct(F.col("pts")[i]["y"].alias("y"), F.col("pts")[i]["x"].alias("x"), F.col("pts")[i]["z"].alias("z")) for i in (a, b))))
     t = t.withColumn("edges", F.array(*(ends(a, b) for a, b in ((0, 1), (1, 2), (2, 0)))))
     ys = F.transform("pts", lambda q: q["y"])
@@ -78,19 +79,35 @@ def inside(triangles: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
     crossing has no partner and fills nothing; such columns are counted. Orientation doesn't matter, and a
     surface within another is a cavity.
     """
-    w = Window.partitionBy("region", "i", "j").orderBy("z", "tri_id")
-    pairs = crossings(triangles, own).select("region", "i", "j", "z", F.lead("z").over(w).alias("next"), F.row_number().over(w).alias("turn")).where("turn % 2 = 1")
+    pairs = _pairs(triangles, own)
     odd = pairs.where("next is null").groupBy("region").agg(F.count("*").alias("open"))
     lat = own.select("region", "size", "z0", "nz")
-    vox = pairs.where("next > z").join(lat, "region").withColumn("k", F.explode(_reach("z", F.col("z"), F.col("next")))).withColumn("zc", _centre("z", "k"))
-    return vox.where("zc > z and zc <= next").select("region", "i", "j", "k"), odd
+    vox = pairs.where("next > z").join(sorted_join(lat), "region").withColumn("k", F.explode(_filled()))
+    return vox.select("region", "i", "j", "k"), odd
+
+
+def _pairs(triangles: DataFrame, own: DataFrame) -> DataFrame:
+    """(region, i, j, z, next): each odd crossing of a column, and the one after it."""
+    w = Window.partitionBy("region", "i", "j").orderBy("z", "tri_id")
+    return crossings(triangles, own).select("region", "i", "j", "z", F.lead("z").over(w).alias("next"), F.row_number().over(w).alias("turn")).where("turn % 2 = 1").drop("turn")
+
+
+def _filled() -> Column:
+    """Lattice places whose centres lie above `z` and not above `next`; null if there are none."""
+    return F.filter(_reach("z", F.col("z"), F.col("next")), lambda k: (_height(k) > F.col("z")) & (_height(k) <= F.col("next")))
+
+
+def _height(k: Column) -> Column:
+    return F.col("z0") + (k + 0.5) * F.col("size")
 
 
 def voxel_report(triangles: DataFrame, *, size: float | None = None, padding: float = 0.0, most: int | None = None) -> DataFrame:
     """`lattices` with voxels inside, their volume, open columns, and status also `empty` (no centre inside) or `open`."""
     own = lattices(triangles, size=size, padding=padding, most=most)
-    vox, odd = inside(triangles, own)
-    out = own.join(vox.groupBy("region").agg(F.count("*").alias("voxels")), "region", "left").join(odd, "region", "left").fillna(0, ["voxels", "open"])
+    lat = own.select("region", "size", "z0", "nz")
+    full = F.when(F.col("next") > F.col("z"), F.coalesce(F.size(_filled()), F.lit(0))).otherwise(0)
+    found = _pairs(triangles, own).join(sorted_join(lat), "region").groupBy("region").agg(F.sum(F.greatest(full, F.lit(0)).cast("long")).alias("voxels"), F.count_if(F.col("next").isNull()).alias("open"))
+    out = own.join(sorted_join(found), "region", "left").fillna(0, ["voxels", "open"])
     state = F.when(F.col("status") != "ok", F.col("status")).when(F.col("voxels") == 0, "empty").when(F.col("open") > 0, "open").otherwise("ok")
     return out.withColumns({"status": state, "volume": F.col("voxels") * F.pow("size", F.lit(3.0))})
 
@@ -101,10 +118,10 @@ def voxel_mesh(vox: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
     node = lambda di, dj, dk: ((c["k"] + dk) * (c["ny"] + 1) + c["j"] + dj) * (c["nx"] + 1) + c["i"] + di
     corners = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
     lat = own.select("region", "size", "x0", "y0", "z0", "nx", "ny")
-    cells = vox.join(lat.select("region", "nx", "ny"), "region").select(
+    cells = vox.join(sorted_join(lat.select("region", "nx", "ny")), "region").select(
         "region", ((c["k"] * c["ny"] + c["j"]) * c["nx"] + c["i"]).alias("cell_id"), F.lit("hex8").alias("cell_type"), F.array(*(node(*d) for d in corners)).alias("conn")
     )
     n, nx, ny = F.col("node_id"), F.col("nx") + 1, F.col("ny") + 1
     at = {"x": n % nx, "y": F.floor(n / nx) % ny, "z": F.floor(n / (nx * ny))}
-    nodes = cells.select("region", F.explode("conn").alias("node_id")).distinct().join(lat, "region")
+    nodes = cells.select("region", F.explode("conn").alias("node_id")).distinct().join(sorted_join(lat), "region")
     return cells, nodes.select("region", "node_id", *((F.col(f"{k}0") + v * F.col("size")).alias(k) for k, v in at.items()))

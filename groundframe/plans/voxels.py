@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import geometry as g
 from ..operators import voxels as o
+from ..operators.tiles import sorted_join
 from .views import BOXES_SQL, boxes
 
 SIZE = 0.6
@@ -55,7 +56,7 @@ def volume_mesh(spark, sf):
     own = o.lattices(t, size=SIZE)
     cells, nodes = o.voxel_mesh(o.inside(t, own)[0], own)
     n = nodes.groupBy("region").agg(F.count("*").alias("nodes"), F.round(F.sum("z"), 4).alias("z"))
-    return cells.groupBy("region").agg(F.count("*").alias("cells"), F.sum("cell_id").alias("ids")).join(n, "region")
+    return cells.groupBy("region").agg(F.count("*").alias("cells"), F.sum("cell_id").alias("ids")).join(sorted_join(n), "region")
 
 
 QUERIES = {"voxel_report": report, "voxel_filled": filled, "voxel_mesh": volume_mesh}
