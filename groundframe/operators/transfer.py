@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tiles import spans, tiled_join
+from .tiles import sorted_join, spans, tiled_join
 
 #: Points for each equal attribute of an old and a new entity, and for being near; from AUTO on a match needs no review.
 SCORES = {"fingerprint": 10.0, "key": 5.0, "feature": 3.0, "kind": 2.0, "role": 1.0}
@@ -19,17 +19,17 @@ def best_matches(old: DataFrame, new: DataFrame, *, reach: float, blocks: tuple[
 
     Entities have id, x, y, z and the attributes of SCORES. Candidates agree in one of `blocks`, so the joins are on
     equality; kinds, roles and distance only add points. Ties go to the smaller new id. Status is auto, review (below
-    SURE), or weak (below AUTO).
+    SURE), or weak (below AUTO). A pair that agrees in several blocks is met in each; pairs are scored where they are
+    joined and only the best of each old entity is passed on, so none is shuffled.
     """
     names = ["id", "x", "y", "z", *SCORES]
     o = old.select(*(F.col(c).alias(f"old_{c}") for c in names))
     n = new.select(*(F.col(c).alias(f"new_{c}") for c in names))
-    pairs = reduce(DataFrame.union, (o.join(n, F.col(f"old_{b}") == F.col(f"new_{b}")) for b in blocks)).dropDuplicates(["old_id", "new_id"])
     score = reduce(lambda s, c: s + F.when(F.col(f"old_{c}") == F.col(f"new_{c}"), SCORES[c]).otherwise(0.0), SCORES, F.lit(0.0))
     d = F.sqrt(sum(((F.col(f"old_{k}") - F.col(f"new_{k}")) ** 2 for k in "xyz"), F.lit(0.0)))
-    pairs = pairs.withColumn("score", score + F.greatest(F.lit(0.0), NEAR * (1 - d / reach)))
-    w = Window.partitionBy("old_id").orderBy(F.col("score").desc(), "new_id")
-    best = pairs.withColumn("turn", F.row_number().over(w)).where("turn = 1")
+    score = score + F.greatest(F.lit(0.0), NEAR * (1 - d / reach))
+    pairs = reduce(DataFrame.union, (o.join(sorted_join(n), F.col(f"old_{b}") == F.col(f"new_{b}")).select("old_id", (-score).alias("less"), "new_id") for b in blocks))
+    best = pairs.groupBy("old_id").agg(F.min(F.struct("less", "new_id")).alias("best")).select("old_id", "best.new_id", (-F.col("best.less")).alias("score"))
     status = F.when(F.col("score") < AUTO, "weak").when(F.col("score") < SURE, "review").otherwise("auto")
     return best.select("old_id", "new_id", "score", status.alias("status"))
 
