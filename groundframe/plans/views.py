@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import mesh
-from ..session import table
+from ..session import spread, table
 
 NX = NY = 20
 
@@ -43,7 +43,7 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
     low = {"x": k % 40, "y": F.floor(k / 40) % 25, "z": F.floor(k / 1000)}
     size = {"x": 1 + F.col("p_size") % 2, "y": F.lit(1), "z": F.lit(1)}
     bounds = [c.cast("double").alias(n) for a in "xyz" for n, c in ((f"{a}0", low[a]), (f"{a}1", low[a] + size[a]))]
-    return table(spark, sf, "part").select(k.alias("id"), F.col("p_brand").alias("region"), F.col("p_type").alias("role"), *bounds)
+    return spread(table(spark, sf, "part"), "p_partkey").select(k.alias("id"), F.col("p_brand").alias("region"), F.col("p_type").alias("role"), *bounds)
 
 
 _LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate"

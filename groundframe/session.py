@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a table that a task has where each becomes many.
+ROWS = 20_000
+
 
 def get_spark(app: str = "groundframe", cpus: int | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on and UTC as time zone; `conf` overrides any setting."""
@@ -31,6 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str, rows: int = ROWS) -> DataFrame:
+    """A table's rows dealt by ranges of `key` over tasks of about `rows` each.
+
+    A small file is read by one task, whatever is then made of its rows; ranges keep neighbours together. The count is that of the files' footers.
+    """
+    parts = -(-df.count() // rows)
+    return df.repartitionByRange(parts, key) if parts > 1 else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; in local mode, where it is unset, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)

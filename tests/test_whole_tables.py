@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import groundframe.plans as plans
 from groundframe.operators import faces, geology
+from groundframe.session import spread
 
 
 def plan(df):
@@ -46,3 +47,17 @@ def test_nearest_takes_the_smallest_id_of_equal_ones(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 50.0, 0.0, 0.0), (3, -0.0, 0.0, 0.0), (4, None, 0.0, 0.0)], schema)
     b = spark.createDataFrame([(9, 1.0, 0.0, 0.0), (7, 1.0, 0.0, 0.0), (8, -1.0, 0.0, 0.0), (5, 4.0, 0.0, 0.0)], schema)
     assert sorted(map(tuple, geology.nearest(a, b, 3.0).collect())) == [(1, 7, 1.0), (3, 7, 1.0)]
+
+
+def test_normals_and_ratios_work_values_out_once(spark, sf):
+    tree = plans.QUERIES["geom_shapes"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.count("aggregate(") == 1 and tree.count("array_max(") == 1
+
+
+def test_a_small_file_of_many_rows_takes_several_tasks(spark, tmp_path):
+    spark.range(50_001).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert df.rdd.getNumPartitions() == 1
+    out = spread(df, "id")
+    assert out.rdd.getNumPartitions() == 3 and out.count() == 50_001
+    assert spread(df.where("id < 5"), "id").rdd.getNumPartitions() == 1
