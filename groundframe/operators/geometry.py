@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,21 +63,28 @@ def polygon_area(p: Column) -> Column:
     return F.when(F.size(p) >= 3, F.aggregate(fan, F.lit(0.0), lambda s, a: s + a)).otherwise(F.lit(0.0))
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """`of(value)` with the value worked out once, however often `of` names it."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _unit(total: Column, none: Column) -> Column:
+    unit = lambda t, n: F.when(n > 0, point(*(t[k] / n for k in AXES))).otherwise(none)
+    return let(total, lambda t: let(norm(t), lambda n: unit(t, n)))
+
+
 def polygon_normal(p: Column) -> Column:
     """Normalised sum of the cross products of neighbours, +z if that is zero (PRJ-10)."""
-    total = F.aggregate(
-        F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda i: cross(F.get(p, i), F.get(p, (i + 1) % F.size(p)))),
+    total = lambda p: F.aggregate(
+        F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda i: let(F.get(p, i), lambda a: let(F.get(p, (i + 1) % F.size(p)), lambda b: cross(a, b)))),
         point(F.lit(0), F.lit(0), F.lit(0)), lambda s, c: point(*(s[k] + c[k] for k in AXES)),
     )
-    n = norm(total)
-    return F.when(n > 0, point(*(total[k] / n for k in AXES))).otherwise(point(F.lit(0), F.lit(0), F.lit(1)))
+    return let(p, lambda p: _unit(total(p), point(F.lit(0), F.lit(0), F.lit(1))))
 
 
 def triangle_normal(p: Column) -> Column:
     """Unit normal of the first three points, zero if they are in line (PRJ-06, PRJ-07)."""
-    c = cross(sub(p[1], p[0]), sub(p[2], p[0]))
-    n = norm(c)
-    return F.when(n > 0, point(*(c[k] / n for k in AXES))).otherwise(point(F.lit(0), F.lit(0), F.lit(0)))
+    return _unit(cross(sub(p[1], p[0]), sub(p[2], p[0])), point(F.lit(0), F.lit(0), F.lit(0)))
 
 
 def centroid(p: Column) -> Column:
@@ -92,8 +101,9 @@ def aspect_ratio(p: Column) -> Column:
 
 def radius_ratio(p: Column) -> Column:
     """Proxy of a tetrahedron's shape: cube root of 12 volumes over the longest edge, clipped to [0, 1] (PRJ-14)."""
-    longest = F.array_max(F.flatten(F.transform(p, lambda a: F.transform(p, lambda b: norm(sub(a, b))))))
-    return F.when(longest > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.pow(12 * tet_volume(p), F.lit(1 / 3)) / longest))).otherwise(F.lit(0.0))
+    longest = lambda p: F.array_max(F.flatten(F.transform(p, lambda a: F.transform(p, lambda b: norm(sub(a, b))))))
+    ratio = lambda p, l: F.when(l > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.pow(12 * tet_volume(p), F.lit(1 / 3)) / l))).otherwise(F.lit(0.0))  # noqa: E731, E741
+    return let(p, lambda p: let(longest(p), lambda l: ratio(p, l)))  # noqa: E741
 
 
 def cell_measure(kind: Column, p: Column) -> Column:

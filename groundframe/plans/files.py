@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import functions as f
 from ..operators import geometry as g
 from ..operators import mesh, stages
-from ..session import shared_dir, table
+from ..session import shared_dir, spread, table
 from ..sources import boreholes, kind_of, models, splits, surfaces
 from .views import BH_SQL, BOXES_SQL, CELLS_SQL, NX, NY, borehole_rows, boxes, cells
 from .voxels import CORNERS, TRIS
@@ -87,7 +87,8 @@ def shapes(spark, sf):
     zero = F.lit(0.0)
     n = g.polygon_normal(F.array(g.point(zero, zero, zero), g.point(a, zero, c), g.point(a, b, c + 1), g.point(zero, b, F.lit(1.0))))
     tet = F.array(g.point(zero, zero, zero), g.point(a, zero, zero), g.point(F.lit(0.3), b, zero), g.point(F.lit(0.1), F.lit(0.2), c))
-    return table(spark, sf, "part").select("p_partkey", *(F.round(n[x], 6).alias(f"n{x}") for x in "xyz"), F.round(g.radius_ratio(tet), 6).alias("ratio"), g.snapped(size + k % 5 / 4.0, 0.5).alias("snapped"))
+    own = spread(table(spark, sf, "part"), "p_partkey").select("p_partkey", n.alias("n"), g.radius_ratio(tet).alias("ratio"), g.snapped(size + k % 5 / 4.0, 0.5).alias("snapped"))
+    return own.select("p_partkey", *(F.round(F.col("n")[x], 6).alias(f"n{x}") for x in "xyz"), F.round("ratio", 6).alias("ratio"), "snapped")
 
 
 def keys(spark, sf):
