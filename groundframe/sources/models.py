@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .splits import SIZE, lines_of, opened, ranges
+from .splits import SIZE, dealt, lines_of, opened, ranges
 
 MODEL = """materials array<struct<id: string, model_type: string>>, surfaces array<struct<id: string, points: array<array<double>>>>,
 volumes array<struct<id: string, bounds: array<double>, material_id: string>>, layers array<struct<id: string, volume_ids: array<string>, material_id: string>>,
@@ -85,7 +85,7 @@ def gmsh_table(spark: SparkSession, path: str, size: int = SIZE) -> DataFrame:
     marks = parts.mapInPandas(headings, "source string, at long, name string")
     before = parts.join(marks, "source").where("at < start").groupBy("source", "start").agg(F.max_by("name", "at").alias("section"))
     parts = parts.join(before, ["source", "start"], "left").withColumn("section", F.when(~F.col("section").startswith("End"), F.col("section")))
-    return parts.repartition(parts.count(), "source", "start").mapInPandas(parse, MESH)
+    return dealt(parts, "source", "start").mapInPandas(parse, MESH)
 
 
 def _mesh_rows(rows: list[tuple]) -> pd.DataFrame:

@@ -16,6 +16,8 @@ from ..session import Rounds
 
 #: Bytes of a range.
 SIZE = 16 << 20
+#: Bytes that a task reads at least, in as many ranges as that takes, once every core has some.
+TASK = 16 << 20
 
 
 def opened(path: str):
@@ -32,14 +34,21 @@ def taken(file, start: int, stop: int) -> bytes:
 
 
 def ranges(spark: SparkSession, path: str, size: int = SIZE) -> DataFrame:
-    """(source, length, start, stop) of ranges of the files under `path` (one or a folder, with marks as Spark reads them), each for a task of its own.
+    """(source, length, start, stop) of ranges of the files under `path` (one or a folder, with marks as Spark reads them), for tasks to read.
 
-    Only names and lengths are listed. Ranges are dealt out evenly, to as many partitions as there are ranges.
+    Only names and lengths are listed. Ranges are dealt out evenly (see `dealt`).
     """
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), "length").where("length > 0")
     parts = files.select("source", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("start"))
     parts = parts.withColumn("stop", F.least(F.col("start") + size, "length"))
-    return parts.repartition(max(1, parts.count()))
+    return dealt(parts)
+
+
+def dealt(parts: DataFrame, *keys: str) -> DataFrame:
+    """Ranges dealt over tasks, one each while there are cores for that; then each task has ranges of TASK bytes together, so that short ranges of
+    large files don't make a task, and a task's report to the driver, of their own."""
+    n, total = parts.agg(F.count("*"), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
+    return parts.repartition(max(1, min(n, max(parts.sparkSession.sparkContext.defaultParallelism, -(-total // TASK)))), *keys)
 
 
 def lines_of(file, start: int, stop: int, length: int, step: int = 1 << 16) -> tuple[int, bytes]:
@@ -99,7 +108,7 @@ def write_file(lines: DataFrame, path: str, size: int = SIZE) -> None:
 
     if total:
         todo = ranges(spark, parts, size).join(places, "source")
-        copied = todo.repartition(todo.count()).mapInPandas(copy, "n long").agg(F.sum("n")).first()[0]
+        copied = dealt(todo).mapInPandas(copy, "n long").agg(F.sum("n")).first()[0]
         if copied != total:
             raise OSError(f"{copied} of {total} bytes were copied to {unfinished}")
     os.replace(unfinished, target)
