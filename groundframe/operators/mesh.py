@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,33 +109,53 @@ def merge_nodes(nodes: DataFrame, tolerance: float) -> DataFrame:
     return keyed.select("node_id", "kx", "ky", "kz").join(first, ["kx", "ky", "kz"]).select("node_id", F.col("f.node_id").alias("new_id"), "f.x", "f.y", "f.z")
 
 
-def remap_cells(cells: DataFrame, mapping: DataFrame) -> DataFrame:
-    """`cells` with nodes replaced by (node_id, new_id), in their order."""
-    flat = cells.select("cell_id", F.posexplode("conn").alias("at", "node_id")).join(mapping.select("node_id", "new_id"), "node_id")
-    conn = flat.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("at", "new_id"))).alias("c"))
-    return cells.drop("conn").join(conn, "cell_id").withColumn("conn", F.transform("c", lambda x: x["new_id"])).drop("c")
-
-
-def with_points(cells: DataFrame, nodes: DataFrame) -> DataFrame:
-    """`cells` with `pts`, their nodes' points in order; nodes without a point are left out.
+def _gathered(cells: DataFrame, of: DataFrame) -> DataFrame:
+    """`cells` without `conn`, with `at_nodes`: for each of their nodes in order (at, conn, of), where `of` is the node's struct `of` or null.
 
-    A cell's other columns travel with its first node, so its points and they come together in one grouping.
+    A cell's other columns travel with its first node, in the one list, so its nodes and they come together in one grouping,
+    and readers of different columns share its shuffles.
     """
-    at = nodes.select("node_id", g.point(F.col("x"), F.col("y"), F.col("z")).alias("p"))
     rest = [c for c in cells.columns if c not in ("cell_id", "pts")]
     flat = cells.select("cell_id", F.struct(*rest).alias("own"), F.posexplode("conn").alias("at", "node_id"))
-    flat = flat.withColumn("own", F.when(F.col("at") == 0, F.col("own"))).join(at, "node_id", "left")
-    c = flat.groupBy("cell_id").agg(F.first("own", ignorenulls=True).alias("own"), F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("at", "p")))).alias("c"))
-    return c.where(F.size("c") > 0).select("cell_id", "own.*", F.transform("c", lambda x: x["p"]).alias("pts"))
+    flat = flat.withColumn("own", F.when(F.col("at") == 0, F.col("own"))).join(of, "node_id", "left")
+    c = flat.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("at", "of", "own"))).alias("at_nodes"))
+    return c.select("cell_id", F.col("at_nodes")[0]["own"].alias("own"), "at_nodes").select("cell_id", "own.*", "at_nodes")
+
+
+def _placed(cells: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`cells` with `pts`, null for a node without a point."""
+    at = nodes.select("node_id", g.point(F.col("x"), F.col("y"), F.col("z")).alias("of"))
+    return _gathered(cells, at).withColumn("pts", F.transform("at_nodes", lambda x: x["of"])).drop("at_nodes")
+
+
+def with_points(cells: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`cells` with `pts`, their nodes' points in order; nodes without a point are left out."""
+    return _placed(cells, nodes).withColumn("pts", F.array_compact("pts")).where(F.size("pts") > 0)
+
+
+def split_with_points(cells: DataFrame, nodes: DataFrame, split: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The parts that `split` makes of `cells`, with `pts`: `with_points(split(cells), nodes)`, but points come to cells, once, not to each of their parts."""
+    return split(_placed(cells, nodes)).withColumn("pts", F.array_compact("pts")).where(F.size("pts") > 0)
+
+
+def parts_of(cells: DataFrame, parts: Column, times: int) -> DataFrame:
+    """Tetrahedra out of `parts`, arrays of local node numbers: `cell_id` becomes `times` * cell_id + part; points, if there are any, go with their nodes."""
+    both = [c for c in ("conn", "pts") if c in cells.columns]
+    picked = cells.select("*", F.posexplode(parts).alias("part", "tet"))
+    here = lambda c: F.transform("tet", lambda i: F.get(F.col(c), i))
+    return picked.withColumns({"cell_id": F.col("cell_id") * times + F.col("part"), "cell_type": F.lit("tet4"), **{c: here(c) for c in both}}).drop("part", "tet")
 
 
 def optimise(cells: DataFrame, nodes: DataFrame, tolerance: float, least: float = 1e-12, drop_copies: bool = False) -> tuple[DataFrame, DataFrame]:
     """Merged nodes, without cells that repeat a node or measure `least` or less; `drop_copies` also drops later cells of
-    equal nodes. Returns (cells, used nodes) (SET-04, SET-05)."""
+    equal nodes. Returns (cells, used nodes) (SET-04, SET-05). Cells meet their merged nodes once, for ids and points together."""
     merged = merge_nodes(nodes, tolerance)
-    cells = remap_cells(cells, merged).where(F.size("conn") == F.size(F.array_distinct("conn")))
+    of = merged.select("node_id", F.struct("new_id", g.point(F.col("x"), F.col("y"), F.col("z")).alias("p")).alias("of"))
     own = merged.select(F.col("new_id").alias("node_id"), "x", "y", "z").distinct()
-    cells = with_points(cells, own).where(g.cell_measure(F.col("cell_type"), F.col("pts")) > least).drop("pts")
+    found = _gathered(cells, of).withColumn("at_nodes", F.filter("at_nodes", lambda x: x["of"].isNotNull()))
+    cells = found.withColumns({"conn": F.transform("at_nodes", lambda x: x["of"]["new_id"]), "pts": F.transform("at_nodes", lambda x: x["of"]["p"])}).drop("at_nodes")
+    cells = cells.where((F.size("conn") > 0) & (F.size("conn") == F.size(F.array_distinct("conn"))))
+    cells = cells.where(g.cell_measure(F.col("cell_type"), F.col("pts")) > least).drop("pts")
     if drop_copies:
         w = Window.partitionBy(F.array_sort("conn")).orderBy("cell_id")
         cells = cells.withColumn("turn", F.row_number().over(w)).where("turn = 1").drop("turn")
@@ -156,8 +178,7 @@ def region_quality(quality: DataFrame) -> DataFrame:
 
 def hex_to_tets(cells: DataFrame) -> DataFrame:
     """Hexahedra as five tetrahedra each: `cell_id` becomes 5 * cell_id + part (GEN-07, GEN-33)."""
-    parts = cells.where("cell_type = 'hex8'").select("*", F.posexplode(_local(F.col("conn"), HEX_TETS)).alias("part", "tet"))
-    return parts.withColumns({"cell_id": F.col("cell_id") * 5 + F.col("part"), "cell_type": F.lit("tet4"), "conn": F.col("tet")}).drop("part", "tet")
+    return parts_of(cells.where("cell_type = 'hex8'"), F.array(*(F.array(*map(F.lit, t)) for t in HEX_TETS)), 5)
 
 
 def coarsen_voxels(vox: DataFrame, fx: int, fy: int, fz: int) -> DataFrame:

@@ -26,14 +26,16 @@ def dihedral_angles(normals: Column) -> list[Column]:
     return [180 - F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), g.dot(normals[i], normals[j]))))) for i, j in EDGES]
 
 
-def tet_quality(cells: DataFrame, nodes: DataFrame, *, sliver: float = 20.0, angle: float = 5.0) -> DataFrame:
+def tet_quality(cells: DataFrame, nodes: DataFrame | None, *, sliver: float = 20.0, angle: float = 5.0) -> DataFrame:
     """Tetrahedra with volume (signed), aspect, angles and flags (AGG-09, SET-10, PRJ-02, PRJ-12).
 
     The aspect is the greater of longest over shortest edge and an eighth of the longest edge's cube over the volume. A
     cell is inverted at a volume of zero or less, tiny at or below a millionth of the smallest volume (1e-14 at
     least), a sliver from `sliver` on, poor with an angle up to `angle` or from 175 degrees on; bad with any of these.
+    Without `nodes`, the cells have their points (`pts`).
     """
-    own = mesh.with_points(cells.where("cell_type = 'tet4'"), nodes)
+    own = cells.where("cell_type = 'tet4'")
+    own = own if nodes is None else mesh.with_points(own, nodes)
     p = F.col("pts")
     crosses = F.array(*(g.cross(g.sub(p[b], p[a]), g.sub(p[c], p[a])) for a, b, c in FACES))
     # each step reads the one before more than once, so they are columns of their own
@@ -81,7 +83,6 @@ def refined(cells: DataFrame, bad: DataFrame, centre: Column) -> DataFrame:
 
 def hex_to_six(cells: DataFrame) -> DataFrame:
     """Cells as tetrahedra: a tetrahedron stays, a hexahedron becomes six; ids become 6 * cell_id + part (GEN-22, GEN-23)."""
-    c = F.col("conn")
-    parts = F.when(F.col("cell_type") == "tet4", F.array(c)).when(F.col("cell_type") == "hex8", F.array(*(F.array(*(c[i] for i in t)) for t in HEX_TETS6)))
-    out = cells.select("*", F.posexplode(parts).alias("part", "tet"))
-    return out.withColumns({"cell_id": F.col("cell_id") * 6 + F.col("part"), "cell_type": F.lit("tet4"), "conn": F.col("tet")}).drop("part", "tet")
+    local = lambda tets: F.array(*(F.array(*map(F.lit, t)) for t in tets))
+    parts = F.when(F.col("cell_type") == "tet4", local([(0, 1, 2, 3)])).when(F.col("cell_type") == "hex8", local(HEX_TETS6))
+    return mesh.parts_of(cells, parts, 6)

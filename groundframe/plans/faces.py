@@ -61,7 +61,7 @@ round(min(aspect), 5) AS least_aspect, round(max(aspect), 5) AS greatest_aspect,
 def tet_shapes(spark, sf):
     """AGG-09, SET-10, PRJ-02, PRJ-12, PRJ-13."""
     c = cells(spark, sf)
-    out = q.quality_summary(q.tet_quality(mesh.hex_to_tets(c), _moved(c), sliver=6.0, angle=30.0), "region")
+    out = q.quality_summary(q.tet_quality(mesh.split_with_points(c, _moved(c), mesh.hex_to_tets), None, sliver=6.0, angle=30.0), "region")
     return out.select("region", "cells", "sliver", "inverted", "tiny", "poor", "bad", *(F.round(f"{n}_{c}", d).alias(f"{n}_{c}") for c, d in (("volume", 6), ("aspect", 5)) for n in ("least", "greatest", "mean")))
 
 
@@ -96,7 +96,7 @@ def refine(spark, sf):
 def six(spark, sf):
     """GEN-22, GEN-23, PRJ-01: six tetrahedra a hexahedron, by signed volume."""
     c = cells(spark, sf)
-    t = mesh.with_points(q.hex_to_six(c), _moved(c))
+    t = mesh.split_with_points(c, _moved(c), q.hex_to_six)
     v = g.signed_tet_volume(F.col("pts"))
     return t.groupBy("region").agg(F.count("*").alias("tets"), F.round(F.sum(v), 5).alias("volume"), F.count_if(v <= 0).alias("inverted"))
 

@@ -98,7 +98,7 @@ def merge_nodes(spark, sf):
 def tet_volumes(spark, sf):
     """GEN-07, PRJ-01, PRJ-02: five tetrahedra fill each unit hexahedron, none inverted (in absolute volume)."""
     c = cells(spark, sf)
-    tets = mesh.with_points(mesh.hex_to_tets(c), mesh.lattice_nodes(c, NX, NY))
+    tets = mesh.split_with_points(c, mesh.lattice_nodes(c, NX, NY), mesh.hex_to_tets)
     v = g.tet_volume(F.col("pts"))
     return tets.groupBy("region").agg(F.count("*").alias("tets"), F.round(F.sum(v), 6).alias("volume"), F.count_if(v <= 0).alias("inverted"))
 
@@ -116,6 +116,7 @@ def optimise(spark, sf):
     """SET-04, SET-05: merging at a fine tolerance changes nothing; copies of cells go."""
     c = cells(spark, sf)
     nodes = mesh.lattice_nodes(c, NX, NY)
-    twice = c.union(c.withColumn("cell_id", F.col("cell_id") + 10_000_000))
+    k = F.col("cell_id")
+    twice = c.withColumn("cell_id", 2 * k).union(c.withColumn("cell_id", 2 * k + 1))
     kept, _ = mesh.optimise(twice, nodes, 1e-6, drop_copies=True)
     return kept.groupBy("region").agg(F.count("*").alias("cells"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import groundframe.plans as plans
-from groundframe.operators import faces, geology
+from groundframe.operators import faces, geology, mesh, quality
 from groundframe.session import spread
 
 
@@ -61,3 +61,23 @@ def test_a_small_file_of_many_rows_takes_several_tasks(spark, tmp_path):
     out = spread(df, "id")
     assert out.rdd.getNumPartitions() == 3 and out.count() == 50_001
     assert spread(df.where("id < 5"), "id").rdd.getNumPartitions() == 1
+
+
+@pytest.mark.parametrize("name", ["mesh_tet_volumes", "face_six_tets", "face_tet_shapes"])
+def test_points_come_to_cells_not_to_their_parts(spark, sf, name):
+    """Cells are cut up above the join that brings them their points."""
+    tree = plans.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < tree.index("Generate") < tree.index("Join LeftOuter")
+
+
+def test_ids_and_points_come_to_cells_together(spark, sf):
+    tree = plans.QUERIES["mesh_optimise"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.count("collect_list(") == 1
+
+
+def test_parts_have_the_points_of_their_nodes(spark):
+    c = spark.createDataFrame([(1, "hex8", list(range(8)), "a"), (2, "tet4", [0, 1, 2, 9], "b"), (3, "tet4", [20, 21, 22, 23], "b")], "cell_id long, cell_type string, conn array<long>, region string")
+    n = spark.createDataFrame([(i, float(i), float(i * i), 1.0) for i in range(10) if i != 6], "node_id long, x double, y double, z double")
+    for split in (mesh.hex_to_tets, quality.hex_to_six):
+        want, got = mesh.with_points(split(c), n), mesh.split_with_points(c, n, split)
+        assert sorted(map(str, want.collect())) == sorted(map(str, got.select(*want.columns).collect())) and got.count()
