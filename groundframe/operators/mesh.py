@@ -20,6 +20,8 @@ FACES = {
 }
 #: A hexahedron as five tetrahedra.
 HEX_TETS = [(0, 1, 3, 4), (1, 2, 3, 6), (1, 3, 4, 6), (1, 4, 5, 6), (3, 4, 6, 7)]
+#: Rows of points whose pairs of regions one task makes, about.
+POINTS = 100_000
 #: Other spellings of cell types (FN-06).
 TYPE_NAMES = {"tetra": "tet4", "tetra4": "tet4", "hexahedron": "hex8", "hexa": "hex8", "voxel": "hex8", "triangle": "tri3", "quad": "quad4", "wedge": "wedge6", "pyramid": "pyramid5"}
 
@@ -89,10 +91,12 @@ def region_adjacency(points: DataFrame, least: int = 1) -> DataFrame:
     """Pairs of regions (a < b) that share at least `least` points; `points` is (region, point) (JOIN-01, SET-14).
 
     Points with equal sets of regions are counted together, so pairs are made once for each set, not for each point; a large
-    set is taken apart by its members first, whose pairs different tasks can make.
+    set is taken apart by its members first, whose pairs different tasks can make. Sets are dealt over tasks by the number of `points`, not by
+    their bytes, since a short set makes many pairs.
     """
+    tasks = max(1, -(-points.count() // POINTS))
     sets = points.select("region", "point").distinct().groupBy("point").agg(F.sort_array(F.collect_list("region")).alias("s")).where(F.size("s") > 1)
-    sets = sets.groupBy("s").agg(F.count("*").alias("n"))
+    sets = sets.groupBy("s").agg(F.count("*").alias("n")).repartition(tasks, "s")
     ones = sets.select("n", "s", F.posexplode("s").alias("i", "region_a"))
     both = ones.select("n", "region_a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("region_b"))
     return both.groupBy("region_a", "region_b").agg(F.sum("n").alias("shared")).where(F.col("shared") >= least)

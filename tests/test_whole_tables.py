@@ -81,3 +81,11 @@ def test_parts_have_the_points_of_their_nodes(spark):
     for split in (mesh.hex_to_tets, quality.hex_to_six):
         want, got = mesh.with_points(split(c), n), mesh.split_with_points(c, n, split)
         assert sorted(map(str, want.collect())) == sorted(map(str, got.select(*want.columns).collect())) and got.count()
+
+
+def test_pairs_of_regions_are_made_by_more_tasks_for_more_points(spark, monkeypatch):
+    monkeypatch.setattr(mesh, "POINTS", 500)
+    p = spark.range(9000).select((F.col("id") % 9).alias("region"), F.floor(F.col("id") / 9).alias("point"))
+    out = mesh.region_adjacency(p, 3)
+    assert "RoundRobin" not in plan(out) and "hashpartitioning(s#" in plan(out) and ", 18)" in plan(out)
+    assert sorted(map(tuple, out.collect())) == [(a, b, 1000) for a in range(9) for b in range(a + 1, 9)]
