@@ -132,9 +132,11 @@ def adjacent_volumes(surfaces: DataFrame, volumes: DataFrame, eps: float = 1e-6)
     Both are (id, region, x0, ..., z1). The tolerance grows with the coordinates. The join is on tiles of all axes, in levels by the boxes' sizes.
     """
     b = [f"{k}{s}" for k in g.AXES for s in (0, 1)]
-    s, v = (t.select(*(F.col(c).alias(f"{p}_{c}") for c in ["id", "region", *b])) for t, p in ((surfaces, "s"), (volumes, "v")))
-    wide = lambda p: [x for k in g.AXES for x in spans(f"{p}_", k, F.lit(eps) * F.greatest(F.lit(1.0), F.abs(f"{p}_{k}0"), F.abs(f"{p}_{k}1")))]
-    tol = {k: F.lit(eps) * F.greatest(F.lit(1.0), *(F.abs(f"{p}_{k}{e}") for p in "sv" for e in (0, 1))) for k in g.AXES}
+    # each box's own tolerances are worked out once, before it meets others
+    own = {k: F.lit(eps) * F.greatest(F.lit(1.0), F.abs(f"{k}0"), F.abs(f"{k}1")) for k in g.AXES}
+    s, v = (t.select(*(F.col(c).alias(f"{p}_{c}") for c in ["id", "region", *b]), *(own[k].alias(f"{p}_tol_{k}") for k in g.AXES)) for t, p in ((surfaces, "s"), (volumes, "v")))
+    wide = lambda p: [x for k in g.AXES for x in spans(f"{p}_", k, F.col(f"{p}_tol_{k}"))]
+    tol = {k: F.greatest(f"s_tol_{k}", f"v_tol_{k}") for k in g.AXES}
     touch = reduce(lambda x, y: x & y, ((F.greatest(f"s_{k}0", f"v_{k}0") <= F.least(f"s_{k}1", f"v_{k}1") + tol[k]) for k in g.AXES))
     # a surface is flat along an axis of its own: there it may lie on a plane of the volume
     plane = reduce(lambda x, y: x | y, ((F.abs(F.col(f"s_{k}1") - F.col(f"s_{k}0")) <= tol[k]) & ((F.abs(F.col(f"s_{k}0") - F.col(f"v_{k}0")) <= tol[k]) | (F.abs(F.col(f"s_{k}0") - F.col(f"v_{k}1")) <= tol[k])) for k in g.AXES))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundframe.operators import blocks, topology, transfer
-from groundframe.operators.tiles import spans, tiled_join
+from groundframe.operators.tiles import candidates, spans, tiled_join
 
 SCHEMA = "id long, x0 double, x1 double, y0 double, y1 double"
 
@@ -55,3 +55,12 @@ def test_triangles_of_any_size(spark, size):
     lim = [[(min(p[k] for p in t), max(p[k] for p in t)) for k in range(3)] for t in tri]
     want = {(i, j) for i in range(61) for j in range(i + 1, 61) if all(lim[i][k][0] <= lim[j][k][1] and lim[j][k][0] <= lim[i][k][1] for k in range(3))}
     assert {tuple(r) for r in transfer.intersection_candidates(df).collect()} == want
+
+
+def test_a_box_is_compared_with_its_surroundings_only(spark):
+    """Boxes of a size just above a power of two, as tolerances make them: tiles are as wide as they need, not up to four times that."""
+    df = boxes(spark, 12**3, huge=False).where("x0 >= 0")
+    a, b = (df.select(*(F.col(c).alias(f"{n}_{c}") for c in ("id", "x0", "x1", "y0", "y1", "z0", "z1"))) for n in "ab")
+    sides = [spans(f"{n}_", "xyz", 1e-6) for n in "ab"]
+    assert tiled_join(a, b, *sides).count() == 12**3
+    assert candidates(a, b, *sides).count() <= 27 * 12**3
