@@ -262,16 +262,19 @@ def mohr_coulomb(rows: DataFrame) -> DataFrame:
         fields = [_lists(out["stress"]), _lists(out["plastic"]), pa.array(out["margin"]), pa.array(out["multiplier"]), pa.array(np.array(MODES, object)[out["mode"]]), pa.array(names[out["planes"]])]
         return pa.StructArray.from_arrays(fields, names=["stress", "plastic", "margin", "multiplier", "mode", "planes"])
 
-    ok = _complete(["stress", "dstrain"], LAW)
-    return rows.withColumn("update", told(*_inputs(ok))).withColumn("update", F.when(ok, F.col("update")))
+    # a column of its own, so that a row is looked at once, not for each of the inputs
+    own, ok = rows.withColumn("_ok", _complete(["stress", "dstrain"], LAW)), F.col("_ok")
+    return own.withColumn("update", told(*_inputs(ok))).withColumn("update", F.when(ok, F.col("update"))).drop("_ok")
 
 
-def yield_report(updated: DataFrame, *keys: str) -> DataFrame:
-    """Per key, of `mohr_coulomb` rows: cells, yielded, their share, and cells by mode (NUM-29)."""
+def yield_report(updated: DataFrame, *keys: str, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Per key, of `mohr_coulomb` rows: cells, yielded, their share, cells by mode, and `more` aggregates of the same pass (NUM-29)."""
     mode = F.col("update.mode")
     counts = [F.count_if(mode == m).alias(m.replace("-", "_")) for m in MODES]
     yielded = F.count_if(mode != "elastic")
-    return updated.where("update is not null").groupBy(*keys).agg(F.count("*").alias("cells"), yielded.alias("yielded"), (yielded / F.count("*")).alias("share"), *counts)
+    # rows without an update aren't counted; a filter would move below the update and have it made twice
+    cells = F.count(mode)
+    return updated.groupBy(*keys).agg(cells.alias("cells"), yielded.alias("yielded"), F.try_divide(yielded, cells).alias("share"), *counts, *more).where("cells > 0")
 
 
 def consistent_tangent(rows: DataFrame, *, step: float = 1e-7, worst: float = 1e14) -> DataFrame:
@@ -299,11 +302,11 @@ def consistent_tangent(rows: DataFrame, *, step: float = 1e-7, worst: float = 1e
         tangent[bad] += lift[bad, None, None] * np.eye(6)
         return pa.StructArray.from_arrays([_lists(tangent.reshape(len(s), 36)), pa.array(np.linalg.cond(tangent)), pa.array(bad)], names=["tangent", "condition", "regularised"])
 
-    ok = _complete(["stress", *(["strain"] if has else [])], LAW)
+    checked, ok = rows.withColumn("_ok", _complete(["stress", *(["strain"] if has else [])], LAW)), F.col("_ok")
     zero = F.array(*[F.lit(0.0)] * 6)
     inputs = _inputs(ok) if "dstrain" in rows.columns else [F.when(ok, F.col("stress")).otherwise(zero), zero, *(F.when(ok, F.col(c).cast("double")).otherwise(F.lit(d)) for c, d in zip(LAW, (1.0, 0.0, 0.0, 0.0, 0.0, 0.0), strict=True))]
     inputs[1] = F.when(ok, F.col("strain")).otherwise(zero) if has else zero
-    own = rows.withColumn("_told", told(*inputs)).withColumn("_told", F.when(ok, F.col("_told")))
+    own = checked.withColumn("_told", told(*inputs)).withColumn("_told", F.when(ok, F.col("_told")))
     return own.select(*rows.columns, "_told.tangent", "_told.condition", "_told.regularised")
 
 

@@ -88,10 +88,9 @@ def _soils(spark, sf):
 
 def updates(spark, sf):
     """NUM-20, NUM-28, NUM-29: updates by material, elastic, torn and sheared, and the trial's distance from the surface."""
-    out = m.yield_report(m.mohr_coulomb(_soils(spark, sf)), "material")
-    margin = m.mohr_coulomb(_soils(spark, sf)).groupBy("material").agg(F.round(F.avg("update.margin"), 3).alias("margin"))
+    out = m.yield_report(m.mohr_coulomb(_soils(spark, sf)), "material", more=(F.round(F.avg("update.margin"), 3).alias("margin"),))
     sheared = F.col("shear_single") + F.col("shear_edge") + F.col("shear_apex")
-    return out.select("material", "cells", "yielded", F.round("share", 6).alias("share"), "elastic", "tension", sheared.alias("sheared")).join(margin, "material")
+    return out.select("material", "cells", "yielded", F.round("share", 6).alias("share"), "elastic", "tension", sheared.alias("sheared"), "margin")
 
 
 def modes(spark, sf):

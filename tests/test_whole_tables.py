@@ -89,3 +89,9 @@ def test_pairs_of_regions_are_made_by_more_tasks_for_more_points(spark, monkeypa
     out = mesh.region_adjacency(p, 3)
     assert "RoundRobin" not in plan(out) and "hashpartitioning(s#" in plan(out) and ", 18)" in plan(out)
     assert sorted(map(tuple, out.collect())) == [(a, b, 1000) for a in range(9) for b in range(a + 1, 9)]
+
+
+def test_updates_and_their_margin_come_from_one_pass(spark, sf):
+    tree = plans.QUERIES["mc_updates"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.count("ArrowEvalPython") == 1 and tree.count("Relation [") == 1
+    assert tree.count("forall(") == 2  # one for each array of a row
