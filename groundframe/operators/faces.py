@@ -47,9 +47,14 @@ def face_sets(owned: DataFrame) -> DataFrame:
     )
 
 
+def set_counts(owned: DataFrame) -> DataFrame:
+    """Per set, of `face_owners` rows with set: faces, matched and internal, as in `face_sets`, without their geometry."""
+    return owned.groupBy("set").agg(F.count("*").alias("faces"), F.count("owner").alias("matched"), F.count("neighbour").alias("internal"))
+
+
 def bind_face_sets(bindings: DataFrame, sets: DataFrame) -> DataFrame:
     """(binding, kind, target, faces, status): bindings of conditions, loads and interfaces to face sets; bound only if the set has matched
-    faces, and an interface only if all of them have a neighbour (JOIN-23).
+    faces, and an interface only if all of them have a neighbour (JOIN-23). `sets`: `set_counts` or `face_sets`.
     """
     out = bindings.join(sets.select(F.col("set").alias("target"), "faces", "matched", "internal"), "target", "left")
     ok = (F.col("matched") > 0) & ((F.col("kind") != "interface") | (F.col("internal") == F.col("matched")))

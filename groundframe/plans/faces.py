@@ -101,8 +101,8 @@ def six(spark, sf):
     return t.groupBy("region").agg(F.count("*").alias("tets"), F.round(F.sum(v), 5).alias("volume"), F.count_if(v <= 0).alias("inverted"))
 
 
-def _triangles(spark, sf):
-    """Faces of tetrahedra as surface triangles of five sets, some turned round and some of no cell."""
+def _triangles(spark, sf, points=True):
+    """Faces of tetrahedra as surface triangles of five sets, some turned round and some of no cell; with their points, where these are wanted."""
     c = cells(spark, sf)
     tets = mesh.hex_to_tets(c)
     k, n = F.col("cell_id"), F.col("conn")
@@ -110,10 +110,12 @@ def _triangles(spark, sf):
         k.alias("tri_id"), (k % 5).alias("set"),
         F.array(n[0], F.when(k % 35 == 0, n[3]).otherwise(n[1]), F.when(k % 35 == 0, n[1]).otherwise(n[3])).alias("face"),
     )
-    pts = mesh.with_points(t.select(F.col("tri_id").alias("cell_id"), F.col("face").alias("conn")), _moved(c)).select(F.col("cell_id").alias("tri_id"), "pts")
-    odd = F.when(k % 33 == 0, F.array(F.col("face")[0], F.col("face")[1], F.col("face")[2] + 1_000_000_000)).otherwise(F.col("face"))
-    t = t.withColumn("cell_id", F.col("tri_id")).withColumn("conn", odd).drop("face", "cell_id")
-    return o.face_owners(t.join(pts, "tri_id"), tets)
+    odd = F.when(F.col("tri_id") % 33 == 0, F.array(F.col("face")[0], F.col("face")[1], F.col("face")[2] + 1_000_000_000)).otherwise(F.col("face"))
+    own = t.select("tri_id", "set", odd.alias("conn"))
+    if points:
+        pts = mesh.with_points(t.select(F.col("tri_id").alias("cell_id"), F.col("face").alias("conn")), _moved(c)).select(F.col("cell_id").alias("tri_id"), "pts")
+        own = own.join(pts, "tri_id")
+    return o.face_owners(own, tets)
 
 
 _OWNED = f"""{CELLS_SQL}, t AS (SELECT cell_id * 5 + unnest(range(5)) AS id, region, unnest({_tets(mesh.HEX_TETS)}) AS conn FROM cells),
@@ -129,7 +131,7 @@ f AS (SELECT set, arg_min(nx0 / l, tri_id) AS fx, arg_min(ny0 / l, tri_id) AS fy
 
 def owners(spark, sf):
     """JOIN-09."""
-    return _triangles(spark, sf).select("tri_id", F.col("owner.cell_id").alias("owner"), F.col("owner.local").alias("face"), F.col("neighbour.cell_id").alias("neighbour"))
+    return _triangles(spark, sf, points=False).select("tri_id", F.col("owner.cell_id").alias("owner"), F.col("owner.local").alias("face"), F.col("neighbour.cell_id").alias("neighbour"))
 
 
 def sets(spark, sf):
@@ -141,7 +143,7 @@ def sets(spark, sf):
 def bindings(spark, sf):
     """JOIN-23."""
     b = table(spark, sf, "orders").select(F.col("o_orderkey").alias("binding"), F.when(F.col("o_orderkey") % 3 == 0, "interface").when(F.col("o_orderkey") % 3 == 1, "load").otherwise("condition").alias("kind"), (F.col("o_custkey") % 7).alias("target"))
-    return o.bind_face_sets(b, o.face_sets(_triangles(spark, sf))).groupBy("kind", "status").agg(F.count("*").alias("bindings"), F.sum("faces").alias("faces"))
+    return o.bind_face_sets(b, o.set_counts(_triangles(spark, sf, points=False))).groupBy("kind", "status").agg(F.count("*").alias("bindings"), F.sum("faces").alias("faces"))
 
 
 def names(spark, sf):

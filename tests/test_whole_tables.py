@@ -95,3 +95,9 @@ def test_updates_and_their_margin_come_from_one_pass(spark, sf):
     tree = plans.QUERIES["mc_updates"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert tree.count("ArrowEvalPython") == 1 and tree.count("Relation [") == 1
     assert tree.count("forall(") == 2  # one for each array of a row
+
+
+@pytest.mark.parametrize("name", ["face_bindings", "face_owners"])
+def test_counts_of_faces_need_no_points(spark, sf, name):
+    tree = plans.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "pts" not in tree and tree.count("Join LeftSemi") == 1
