@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +68,9 @@ def traced(edges: DataFrame) -> DataFrame:
 
     List ranking by pointer doubling: both directions of each edge know the one before; in each round they take over the pointer, the
     least edge met and its distance from the one they point to, so a loop of n edges takes about log n rounds, each a join on a key that is
-    unique on both sides.
+    unique on both sides. What an edge has met and what the one it points to has met lie behind each other, so where their least edges are
+    one, the whole loop has been met: the edge is done. All edges of its loop are by the next round, so it is looked up in that one only and
+    then rests; short loops don't go through the rounds of long ones.
     """
     rounds = Rounds(edges.sparkSession)
     e = edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
@@ -78,19 +82,27 @@ def traced(edges: DataFrame) -> DataFrame:
     at = at.withColumn("from", partner)
     me = _dart("a", "b")
     start = at.select(me.alias("me"), F.when(F.col("from").isNotNull(), F.struct(F.col("from").alias("a"), F.col("a").alias("b"))).alias("ptr"), me.alias("low"), F.lit(0).cast("long").alias("at"))
-    now = rounds.write(start.withColumns({"tip": F.when(F.col("ptr").isNull(), F.col("me")), "hops": F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long"), "moved": F.lit(True)}))
+    start = start.withColumns({"tip": F.when(F.col("ptr").isNull(), F.col("me")), "hops": F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long"), "done": F.lit(False)})
+    schema = start.schema
+
+    def written(df: DataFrame) -> DataFrame:
+        return edges.sparkSession.read.schema(schema).parquet(rounds.written(df.write.partitionBy("done").parquet))
+
+    now, found = written(start), []
     while True:
-        p = now.select(F.col("me").alias("ptr"), *(F.col(c).alias(f"p_{c}") for c in ("ptr", "low", "at", "tip", "hops")))
-        both = now.join(p, "ptr", "left")
+        p = now.select(F.col("me").alias("ptr"), *(F.col(c).alias(f"p_{c}") for c in ("ptr", "low", "at", "tip", "hops", "done")))
+        both = now.where("not done").join(p, "ptr", "left")
         has, less = F.col("ptr").isNotNull(), F.col("p_low") < F.col("low")
         step = both.select(
             "me", F.when(has, F.col("p_ptr")).alias("ptr"), F.when(has & less, F.col("p_low")).otherwise(F.col("low")).alias("low"), F.when(has & less, F.col("hops") + F.col("p_at")).otherwise(F.col("at")).alias("at"),
-            F.coalesce("tip", F.when(has, F.col("p_tip"))).alias("tip"), F.when(has, F.col("hops") + F.col("p_hops")).otherwise(F.col("hops")).alias("hops"), (has & (less | F.col("p_tip").isNotNull())).alias("moved"),
+            F.coalesce("tip", F.when(has, F.col("p_tip"))).alias("tip"), F.when(has, F.col("hops") + F.col("p_hops")).otherwise(F.col("hops")).alias("hops"), (has & (F.col("p_done") | (F.col("p_low") == F.col("low")))).alias("done"),
         )
-        now = rounds.write(step)
-        rounds.drop_before()
-        if now.where("moved").isEmpty():
+        now = written(step)
+        found.append(now.where("done"))
+        rounds.drop(f"{rounds.paths[-2]}/done=false")
+        if now.where("not done and ptr is not null").isEmpty():
             break
+    now = reduce(DataFrame.union, found, now.where("not done"))
     label = F.coalesce("tip", "low")
     all_ = now.select("me", label.alias("label"), F.when(F.col("tip").isNull(), F.col("at")).otherwise(F.col("hops")).alias("place"), F.col("tip").isNull().alias("closed"))
     best = all_.groupBy(F.least("me.a", "me.b").alias("x"), F.greatest("me.a", "me.b").alias("y")).agg(F.min(F.struct("label", "place", "me", "closed")).alias("r"))

@@ -69,10 +69,14 @@ class Rounds:
     def write(self, df: DataFrame) -> DataFrame:
         return self.spark.read.schema(df.schema).parquet(self.written(df.write.parquet))
 
+    def drop(self, path: str) -> None:
+        """Deletes a table, or a part of one."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop_before(self, keep: int = 1) -> None:
         """Deletes all tables but the last `keep`."""
         old = self.paths[: len(self.paths) - keep]
         for p in filter(None, old):
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.drop(p)
         self.paths[: len(old)] = [None] * len(old)

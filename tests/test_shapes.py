@@ -166,3 +166,19 @@ def test_project_round_trip(spark, tmp_path):
     assert sorted(map(tuple, got["volumes"].collect())) == sorted(map(tuple, rows.collect())) and got["layers"].count() == 0
     models.write_csv(rows, str(tmp_path / "c"))
     assert sorted(map(tuple, spark.read.csv(str(tmp_path / "c"), header=True, schema="id long, name string, z double").collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_short_loops_leave_the_rounds_of_long_ones(spark, monkeypatch):
+    sizes = []
+
+    class Counted(graph.Rounds):
+        def written(self, writer):
+            path = super().written(writer)
+            sizes.append(self.spark.read.parquet(path).count())
+            return path
+
+    monkeypatch.setattr(graph, "Rounds", Counted)
+    rows = [(3 * k + i, 3 * k + (i + 1) % 3) for k in range(100) for i in range(3)] + [(1000 + i, 1000 + (i + 1) % 64) for i in range(64)]
+    out = graph.traced(spark.createDataFrame(rows, "source long, target long"))
+    assert out.count() == 364 and out.where("closed").groupBy("first", "second").count().count() == 101
+    assert sizes[0] == 728 and sizes[-1] <= 128
