@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import functions as f
 from ..operators import geometry as g
 from ..operators import mesh, stages
+from ..operators.tiles import sorted_join
 from ..session import shared_dir, spread, table
 from ..sources import boreholes, kind_of, models, splits, surfaces
 from .views import BH_SQL, BOXES_SQL, CELLS_SQL, NX, NY, borehole_rows, boxes, cells
@@ -77,7 +78,7 @@ def holes(spark, sf):
     tops, layers = boreholes.read_boreholes(spark, path)
     box = boreholes.extent(boreholes.control_points(tops, layers))
     out = layers.groupBy("borehole_id").agg(F.count("*").alias("layers"), F.max("top").alias("top"), F.min("bottom").alias("bottom"), F.count_if(F.col("material_id").startswith("soil")).alias("unnamed"))
-    return out.join(tops, "borehole_id").crossJoin(F.broadcast(box.select("x1", "y1", "z0", "z1")))  # one row
+    return out.join(sorted_join(tops), "borehole_id").crossJoin(F.broadcast(box.select("x1", "y1", "z0", "z1")))  # one row
 
 
 def shapes(spark, sf):

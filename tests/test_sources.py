@@ -152,3 +152,11 @@ def test_short_ranges_share_tasks(spark, tmp_path):
     (tmp_path / "long.txt").write_text("0123456789\n" * 5000)
     parts = splits.ranges(spark, str(tmp_path / "long.txt"), size=100)
     assert parts.count() == 550 and parts.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_borehole_text_is_parsed_once(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("bh_id,x,y,z,top,bottom,unit\na,1,2,10,0,3,clay\na,1,2,10,3,5,sand\n")
+    holes, layers = boreholes.read_boreholes(spark, str(tmp_path / "b.csv"))
+    points = boreholes.control_points(holes, layers)
+    assert "FileScan csv" not in points._jdf.queryExecution().executedPlan().toString()
+    assert points.count() == 4 and layers.count() == 2
