@@ -17,6 +17,10 @@ from .common import fresh, others
 
 #: Texts of more code points than this are cut into chunks of as many, each reaching OVERLAP further.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
+#: Code points of text whose pieces are looked up at a time; pieces merged and ids decoded at a time.
+GROUP, MERGED, DECODED = 1 << 19, 1 << 14, 1 << 16
+#: Bytes of pieces that are merged side by side and kept; more than any rank.
+SHORT, _NONE = 64, np.iinfo(np.int32).max
 
 
 def read_ranks(path: str) -> bytes:
@@ -29,8 +33,29 @@ def _ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in (line.split() for line in data.splitlines() if line)}
 
 
-def _tokens(data: bytes) -> dict[int, bytes]:
-    return {r: t for t, r in _ranks(data).items()}
+class _Tokens:
+    """The bytes of all tokens in one array, with each one's place and length; decoding gathers from it."""
+
+    def __init__(self, data: bytes):
+        ranks = _ranks(data)
+        size = np.array([len(t) for t in ranks], np.int64)
+        ids = np.fromiter(ranks.values(), np.int64, len(ranks))
+        self.bytes = np.frombuffer(b"".join(ranks), np.uint8)
+        self.size = np.full(ids.max() + 1, -1, np.int64)  # of ids that no token has
+        self.start = np.zeros(len(self.size), np.int64)
+        self.size[ids], self.start[ids] = size, np.cumsum(size) - size
+
+    def decode(self, packed: bytes) -> bytes:
+        ids, out = np.frombuffer(packed, "<u4"), []
+        if len(ids) and (ids.max() >= len(self.size) or self.size[ids].min() < 0):
+            raise KeyError(next(i for i in ids.tolist() if i >= len(self.size) or self.size[i] < 0))
+        for k in range(0, len(ids), DECODED):
+            part = ids[k : k + DECODED]
+            size = self.size[part]
+            ends = np.cumsum(size)
+            at = np.repeat(self.start[part] - ends + size, size)
+            out.append(self.bytes[at + np.arange(len(at))].tobytes())
+        return b"".join(out)
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -63,27 +88,123 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Pairs:
+    """The rank of each two tokens that make a third: merges many pieces side by side, one pair of each a step."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        #: Without a token for each byte, parts need not be tokens, and pieces are merged one by one.
+        self.whole = bool((self.bytes >= 0).all())
+        get, found = ranks.get, {}
+        for t, r in ranks.items():
+            for k in range(1, len(t)):
+                if (x := get(t[:k])) is not None and (y := get(t[k:])) is not None:
+                    found[x << 32 | y] = r
+        self.keys = np.array(sorted(found), np.int64)
+        self.ranks = np.array([found[k] for k in self.keys.tolist()], np.int32)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(left), _NONE, np.int32)
+        key = left.astype(np.int64) << 32 | right.astype(np.int64)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (right >= 0), self.ranks[at], _NONE)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of each piece, none empty; as `merge`."""
+        out: list[bytes] = [b""] * len(pieces)
+        row, size = np.arange(len(pieces)), np.array([len(p) for p in pieces])
+        width = int(size.max())
+        held = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
+        ids = np.where(np.arange(width) < size[:, None], self.bytes[held], -1)  # places past a piece's end hold -1, which no pair has
+        rank = np.full((len(pieces), max(1, width - 1)), _NONE, np.int32)
+        if width > 1:
+            rank[:] = self._rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(rank.shape)
+        while len(row):
+            at = rank.argmin(1)
+            low = rank[np.arange(len(row)), at]
+            done = low == _NONE
+            if done.any():
+                packed, n = ids[done].astype("<u4"), ids.shape[1] * 4
+                packed = packed.tobytes()
+                for k, (i, m) in enumerate(zip(row[done].tolist(), size[done].tolist(), strict=True)):
+                    out[i] = packed[k * n : k * n + 4 * m]
+                row, size, ids, rank, at, low = (x[~done] for x in (row, size, ids, rank, at, low))
+                if not len(row):
+                    break
+            here, width = np.arange(len(row)), ids.shape[1] - 1
+            ids[here, at] = low
+            kept = np.ones(ids.shape, bool)
+            kept[here, at + 1] = False
+            ids = ids[kept].reshape(-1, width)
+            if width == 1:
+                rank = np.full((len(row), 1), _NONE, np.int32)
+            else:
+                kept = np.ones(rank.shape, bool)
+                kept[here, at] = False
+                rank = rank[kept].reshape(-1, width - 1)
+                some = at < width - 1
+                rank[here[some], at[some]] = self._rank(low[some], ids[here[some], at[some] + 1])
+                some = at > 0
+                rank[here[some], at[some] - 1] = self._rank(ids[here[some], at[some] - 1], low[some])
+            size -= 1
+        return out
+
+
 class _Cache(dict):
     """Ids, packed, of pieces already met; bounded."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], pairs: Pairs):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.pairs = ranks, pairs
 
     def __missing__(self, piece: str) -> bytes:
         b = piece.encode()
         own = self.ranks.get(b)
-        ids = struct.pack("<I", own) if own is not None else np.array(merge(b, self.ranks), "<u4").tobytes()
-        if len(b) <= 64:
-            if len(self) >= 150_000:
-                self.clear()
-            self[piece] = ids
-        return ids
+        return struct.pack("<I", own) if own is not None else np.array(merge(b, self.ranks), "<u4").tobytes()
+
+    def _fill(self, pieces: set[str]) -> None:
+        """Those of `pieces` not met yet, of SHORT bytes or fewer, by about the same length together."""
+        new = sorted((p for p in pieces if p not in self), key=len)
+        if len(self) + len(new) > 150_000:
+            self.clear()
+            new = sorted(pieces, key=len)
+        todo: list[tuple[str, bytes]] = []
+        for p in new:
+            b = p.encode()
+            if len(b) > SHORT:
+                continue
+            if (own := self.ranks.get(b)) is not None:
+                self[p] = struct.pack("<I", own)
+            elif self.pairs.whole:
+                todo.append((p, b))
+            else:
+                self[p] = self[p]
+        for k in range(0, len(todo), MERGED):
+            some = todo[k : k + MERGED]
+            self.update(zip((p for p, _ in some), self.pairs.merge([b for _, b in some]), strict=True))
+
+    def packed(self, lists: list[list[str]]) -> list[bytes]:
+        """The packed ids of each list of pieces; long pieces are merged where they stand."""
+        self._fill(set().union(*lists))
+        return [b"".join(map(self.__getitem__, x)) for x in lists]
+
+
+def _cache(data: bytes, pairs: Pairs) -> _Cache:
+    """A new one for each task: a worker process that stays keeps nothing of it."""
+    return _Cache(_ranks(data), pairs)
 
 
-def _cache(data: bytes) -> _Cache:
-    """A new one for each task: a worker process that stays keeps nothing of it."""
-    return _Cache(_ranks(data))
+def _grouped(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts, in order, in lists of about GROUP code points."""
+    i = 0
+    while i < len(texts):
+        j, n = i, 0
+        while j < len(texts) and (j == i or n < GROUP):
+            n += len(texts[j] or "")
+            j += 1
+        yield texts[i:j]
+        i = j
 
 
 def _slices(batches: Iterator[pd.Series], rows: int = 500) -> Iterator[pd.Series]:
@@ -94,34 +215,40 @@ def _slices(batches: Iterator[pd.Series], rows: int = 500) -> Iterator[pd.Series
 
 
 class Bpe:
-    """Encoder and decoder over one rank file, whose bytes (fixed in size) are broadcast to the executors."""
+    """Encoder and decoder over one rank file, whose bytes and pairs (fixed in size) are broadcast to the executors."""
 
     def __init__(self, spark, path: str, pattern: str, *, chunk: int = CHUNK, overlap: int = OVERLAP):
-        self.data, self.pattern, self.chunk, self.overlap = spark.sparkContext.broadcast(read_ranks(path)), pattern, chunk, overlap
+        data = read_ranks(path)
+        self.data, self.pairs = spark.sparkContext.broadcast(data), spark.sparkContext.broadcast(Pairs(_ranks(data)))
+        self.pattern, self.chunk, self.overlap = pattern, chunk, overlap
 
     def _encode_whole(self, text: Column) -> Column:
-        data, pattern = self.data, self.pattern
+        data, pairs, pattern = self.data, self.pairs, self.pattern
 
         @F.pandas_udf("binary")
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            find, ids = regex.compile(pattern).findall, _cache(data.value)
+            find, ids = regex.compile(pattern).findall, _cache(data.value, pairs.value)
             for texts in _slices(batches):
-                yield pd.Series([None if t is None else b"".join(map(ids.__getitem__, find(t))) for t in texts], dtype=object)
+                out: list[bytes | None] = []
+                for some in _grouped(texts.tolist()):
+                    packed = ids.packed([find(t or "") for t in some])
+                    out += [None if t is None else p for t, p in zip(some, packed, strict=True)]
+                yield pd.Series(out, dtype=object)
 
         return encode(text)
 
     def _encode_cuts(self, *cols: Column) -> Column:
-        data = self.data
+        data, pairs = self.data, self.pairs
 
         @F.pandas_udf("binary")
         def encode(text: pd.Series, start: pd.Series, cuts: pd.Series, first: pd.Series, end: pd.Series) -> pd.Series:
-            ids, out = _cache(data.value), []
+            ids, out = _cache(data.value, pairs.value), []
             for t, s, c, a, e in zip(text, start, cuts, first, end, strict=True):
                 if pd.isna(a):
                     out.append(b"")
                     continue
                 c = c[(c >= a - s) & (c <= (len(t) if pd.isna(e) else e - s))].tolist()
-                out.append(b"".join(ids[t[x:y]] for x, y in zip(c, c[1:], strict=False)))
+                out += ids.packed([[t[x:y] for x, y in zip(c, c[1:], strict=False)]])
             return pd.Series(out, dtype=object)
 
         return encode(*cols)
@@ -190,8 +317,8 @@ class Bpe:
 
         @F.pandas_udf("binary")
         def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            tokens = _tokens(data.value)
+            tokens = _Tokens(data.value)
             for packed in _slices(batches):
-                yield pd.Series([None if p is None else b"".join(map(tokens.__getitem__, np.frombuffer(p, "<u4").tolist())) for p in packed], dtype=object)
+                yield pd.Series([None if p is None else tokens.decode(p) for p in packed], dtype=object)
 
         return decode(ids)

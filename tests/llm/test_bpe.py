@@ -2,11 +2,13 @@ import base64
 import hashlib
 import random
 import struct
+import time
 
 import public_tokenizers as tokenizers
+import pytest
 import tiktoken
 
-from groundframe.llm.bpe import Bpe, _ranks, read_ranks
+from groundframe.llm.bpe import Bpe, Pairs, _cache, _ranks, _Tokens, merge, read_ranks
 from groundframe.llm.queries import QUERIES
 
 PATH = tokenizers.path("byte_bpe_50k.tiktoken")
@@ -53,3 +55,36 @@ def test_chunks_that_end_in_white_space(spark):
     for r in bpe.encode(df).collect():
         ids = enc.encode_ordinary(texts[r["doc_id"]])
         assert bytes(r["ids"]) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_pieces_merge_side_by_side_in_less_time():
+    """Most pieces of a text are words of a few bytes; merging them one by one took most of the encoding."""
+    enc, ranks = library(), _ranks(read_ranks(PATH))
+    pairs = Pairs(ranks)
+    random.seed(7)
+    pieces = [("".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(2, 9)))).encode() for _ in range(20_000)]
+    began = time.process_time()
+    alone = [struct.pack(f"<{len(x)}I", *x) for x in (merge(p, ranks) for p in pieces)]
+    middle = time.process_time()
+    assert pairs.merge(pieces) == alone and time.process_time() - middle < 0.6 * (middle - began)
+    odd = ["".join(random.choices(letters, k=k)).encode() for k in (1, 2, 3, 20, 63, 64) for letters in ("a", "ab", "ab\u00e9\u6f22 ", "\x00\x01") for _ in range(5)]
+    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in pairs.merge(odd)] == [enc._encode_single_piece(p) for p in odd]
+
+
+def test_ranks_without_all_bytes():
+    """Parts that are no tokens have no pairs: such pieces are merged one by one, and a byte without a token fails."""
+    data = b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate((b"a", b"b", b"ab", b"abab", b"xy")))
+    ids = _cache(data, Pairs(_ranks(data)))
+    assert ids.packed([["ab", "ababa", "xy"], []]) == [struct.pack("<4I", 2, 3, 0, 4), b""]
+    with pytest.raises(KeyError):
+        ids.packed([["ac"]])
+
+
+def test_decoding_gathers_bytes_and_refuses_unknown_ids():
+    data = read_ranks(PATH)
+    ranks, tokens = _ranks(data), _Tokens(data)
+    random.seed(9)
+    some = random.choices(list(ranks), k=150_000)
+    assert tokens.decode(struct.pack(f"<{len(some)}I", *map(ranks.get, some))) == b"".join(some) and tokens.decode(b"") == b""
+    with pytest.raises(KeyError):
+        tokens.decode(struct.pack("<I", max(ranks.values()) + 1))
