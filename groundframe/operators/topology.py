@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import tasks_for
 from . import geometry as g
 from .tiles import sorted_join, spans, tiled_join
 
@@ -26,10 +27,15 @@ def topology_counts(boxes: DataFrame, digits: int = 9) -> DataFrame:
     """(kind, entities, shared): solids, faces, edges and vertices of boxes, each distinct one once, and how many belong to several boxes (GEN-19, GEN-32, JOIN-19)."""
     c = boxes.select("id", corners(digits).alias("c"))
     p = F.col("c")
-    parts = {"face": F.array(*(F.array_sort(F.array(*(p[i] for i in f))) for f in BOX_FACES.values())), "edge": F.array(*(F.array_sort(F.array(p[a], p[b])) for a, b in BOX_EDGES)), "vertex": p}
+    # the first and last corner of an entity stand for all of its corners
+    ends = lambda *x: F.struct(F.array_min(F.array(*x)).alias("lo"), F.array_max(F.array(*x)).alias("hi"))
+    parts = {"face": [ends(*(p[i] for i in f)) for f in BOX_FACES.values()], "edge": [ends(p[a], p[b]) for a, b in BOX_EDGES], "vertex": [F.struct(p[i].alias("lo")) for i in range(8)]}
+    tasks = tasks_for(boxes)
     out = [boxes.agg(F.lit("solid").alias("kind"), F.count("*").alias("entities"), F.lit(0).cast("long").alias("shared"))]
     for kind, of in parts.items():
-        n = c.select("id", F.explode(of).alias("e")).groupBy("e").agg((F.min("id") != F.max("id")).alias("shared"))
+        keys = [f"{end}_{k}" for end in (("lo",) if kind == "vertex" else ("lo", "hi")) for k in g.AXES]
+        each = c.select("id", F.explode(F.array(*of)).alias("e")).select("id", *(F.col(f"e.{k[:2]}.{k[3:]}").alias(k) for k in keys))
+        n = each.repartition(tasks, *keys).groupBy(*keys).agg((F.min("id") != F.max("id")).alias("shared"))
         out.append(n.agg(F.lit(kind).alias("kind"), F.count("*").alias("entities"), F.count_if("shared").alias("shared")))
     return reduce(DataFrame.union, out)
 
@@ -39,6 +45,14 @@ def shared_node_cells(boxes: DataFrame, digits: int = 9, least: float = 1e-12) -
     return boxes.where(g.box_volume() > least).select(F.col("id").alias("cell_id"), "region", corners(digits).alias("conn"))
 
 
+def region_nodes(cells: DataFrame, tasks: int) -> DataFrame:
+    """(region, corners, nodes): corners of a region's cells, and its distinct nodes, counted in `tasks` tasks by region and place (SET-08)."""
+    keys = ["region", *(f"n_{k}" for k in g.AXES)]
+    each = cells.select("region", F.explode("conn").alias("n")).select("region", *(F.col(f"n.{k}").alias(f"n_{k}") for k in g.AXES))
+    met = each.repartition(tasks, *keys).groupBy(*keys).agg(F.count("*").alias("uses"))
+    return met.groupBy("region").agg(F.sum("uses").alias("corners"), F.count("*").alias("nodes"))
+
+
 def box_faces(boxes: DataFrame) -> DataFrame:
     """Six faces a box: (id, region, label, axis, side, at, u0, u1, v0, v1); side -1 faces down its axis, 1 up."""
     rows = []

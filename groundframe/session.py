@@ -34,12 +34,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks_for(df: DataFrame, rows: int = ROWS) -> int:
+    """Tasks that `df` fills with about `rows` of its rows each: to deal out what is made of them in numbers that follow the input, not the session's settings."""
+    return max(1, -(-df.count() // rows))
+
+
 def spread(df: DataFrame, key: str, rows: int = ROWS) -> DataFrame:
     """A table's rows dealt by ranges of `key` over tasks of about `rows` each.
 
     A small file is read by one task, whatever is then made of its rows; ranges keep neighbours together. The count is that of the files' footers.
     """
-    parts = -(-df.count() // rows)
+    parts = tasks_for(df, rows)
     return df.repartitionByRange(parts, key) if parts > 1 else df
 
 

@@ -101,3 +101,33 @@ def test_updates_and_their_margin_come_from_one_pass(spark, sf):
 def test_counts_of_faces_need_no_points(spark, sf, name):
     tree = plans.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "pts" not in tree and tree.count("Join LeftSemi") == 1
+
+
+def test_topology_is_dealt_by_the_input(spark):
+    """Tasks that count entities follow the number of boxes, whatever partitions the session has; equal corners are one entity, flat and degenerate boxes too."""
+    from groundframe.operators import topology as o
+
+    n = 45_000
+    k = F.col("id")
+    some = spark.range(n).select("id", (k % 5).alias("region"), *((lo + i).cast("double").alias(f"{a}{i}") for a, lo in (("x", k % 40), ("y", F.floor(k / 40) % 25), ("z", F.floor(k / 1000))) for i in (0, 1)))
+    cells = o.shared_node_cells(some)
+    plans = o.topology_counts(some), o.region_nodes(cells, o.tasks_for(some))
+    for plan in plans:
+        assert "REPARTITION_BY_NUM" in (text := plan._jdf.queryExecution().executedPlan().toString()) and ", 3), REPARTITION_BY_NUM" in text
+    out = {r["kind"]: (r["entities"], r["shared"]) for r in plans[0].collect()}
+    nx, ny, nz = 40, 25, 45
+    assert out["solid"] == (n, 0) and out["vertex"][0] == (nx + 1) * (ny + 1) * (nz + 1)
+    assert out["face"][0] == (nx + 1) * ny * nz + nx * (ny + 1) * nz + nx * ny * (nz + 1) and out["face"][1] == (nx - 1) * ny * nz + nx * (ny - 1) * nz + nx * ny * (nz - 1)
+    assert out["edge"][0] == nx * (ny + 1) * (nz + 1) + (nx + 1) * ny * (nz + 1) + (nx + 1) * (ny + 1) * nz
+    regions = {r["region"]: r["corners"] for r in plans[1].collect()}
+    assert regions == {i: 8 * n // 5 for i in range(5)}
+    flat = spark.createDataFrame([(1, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0), (2, 0.0, 1.0, -0.0, 0.0, 0.0, 1.0), (3, 5.0, 5.0, 5.0, 5.0, 5.0, 5.0), (4, None, 1.0, 0.0, 0.0, 0.0, 1.0)], "id long, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double")
+    corner = lambda b: [tuple((-1e9 if b[f"{k}{s}"] is None else b[f"{k}{s}"] + 0.0) for k, s in zip("xyz", c, strict=True)) for c in o.CORNERS]
+    want = {}
+    for kind, of in (("face", list(o.BOX_FACES.values())), ("edge", o.BOX_EDGES), ("vertex", [(i,) for i in range(8)])):
+        met = {}
+        for b in flat.collect():
+            for f in of:
+                met.setdefault(tuple(sorted(corner(b)[i] for i in f)), set()).add(b["id"])
+        want[kind] = (len(met), sum(len(x) > 1 for x in met.values()))
+    assert {r["kind"]: (r["entities"], r["shared"]) for r in o.topology_counts(flat).collect() if r["kind"] != "solid"} == want
