@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import topology as o
-from ..session import table
+from ..session import table, tasks_for
 from .blocks import _CONTACTS
 from .views import BOXES_SQL, boxes
 
@@ -18,8 +18,7 @@ def counts(spark, sf):
 def shared_cells(spark, sf):
     """SET-08, GEN-24."""
     c = o.shared_node_cells(boxes(spark, sf))
-    nodes = c.select("region", F.explode("conn").alias("n")).groupBy("region").agg(F.count("*").alias("corners"), F.count_distinct("n").alias("nodes"))
-    return nodes
+    return o.region_nodes(c, tasks_for(table(spark, sf, "part")))
 
 
 def contacts(spark, sf):
