@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,19 +21,35 @@ def best_matches(old: DataFrame, new: DataFrame, *, reach: float, blocks: tuple[
 
     Entities have id, x, y, z and the attributes of SCORES. Candidates agree in one of `blocks`, so the joins are on
     equality; kinds, roles and distance only add points. Ties go to the smaller new id. Status is auto, review (below
-    SURE), or weak (below AUTO). A pair that agrees in several blocks is met in each; pairs are scored where they are
-    joined and only the best of each old entity is passed on, so none is shuffled.
+    SURE), or weak (below AUTO).
+
+    There is a join for each set of blocks, which counts its own blocks' points and no other's. All points are above zero, so
+    the best pair has its whole score in the join of all the blocks that it agrees in, and no pair has more than its own
+    in any. For a join, new entities that agree in all that it looks at are one, the one of the smallest id; so an old entity meets as
+    many as there are such places, however many entities there are. The best scores are found first and their
+    ids in a second pass over the joins that reach them: an aggregate of a score and an id together would sort all pairs.
     """
-    names = ["id", "x", "y", "z", *SCORES]
-    o = old.select(*(F.col(c).alias(f"old_{c}") for c in names))
-    n = new.select(*(F.col(c).alias(f"new_{c}") for c in names))
-    score = reduce(lambda s, c: s + F.when(F.col(f"old_{c}") == F.col(f"new_{c}"), SCORES[c]).otherwise(0.0), SCORES, F.lit(0.0))
-    d = F.sqrt(sum(((F.col(f"old_{k}") - F.col(f"new_{k}")) ** 2 for k in "xyz"), F.lit(0.0)))
-    score = score + F.greatest(F.lit(0.0), NEAR * (1 - d / reach))
-    pairs = reduce(DataFrame.union, (o.join(sorted_join(n), F.col(f"old_{b}") == F.col(f"new_{b}")).select("old_id", (-score).alias("less"), "new_id") for b in blocks))
-    best = pairs.groupBy("old_id").agg(F.min(F.struct("less", "new_id")).alias("best")).select("old_id", "best.new_id", (-F.col("best.less")).alias("score"))
+    sets = [s for k in range(1, len(blocks) + 1) for s in combinations(blocks, k)]
+    rest = [c for c in SCORES if c not in blocks]
+    o = old.select(*(F.col(c).alias(f"old_{c}") for c in ("id", "x", "y", "z", *SCORES)))
+    best = reduce(DataFrame.union, (_scored(o, new, s, rest, reach).groupBy("old_id").agg(F.min("less").alias("less")).withColumn("i", F.lit(i)) for i, s in enumerate(sets)))
+    best = best.groupBy("old_id").agg(F.min("less").alias("best"), *(F.min(F.when(F.col("i") == i, F.col("less"))).alias(f"less_{i}") for i in range(len(sets))))
+    known = o.join(sorted_join(best.withColumnRenamed("old_id", "best_id")), F.col("old_id").eqNullSafe(F.col("best_id")))
+    pairs = (_scored(known.where(F.col(f"less_{i}") == F.col("best")), new, s, rest, reach).where(F.col("less") == F.col("best")).select("old_id", "best", "new_id") for i, s in enumerate(sets))
+    found = reduce(DataFrame.union, pairs).groupBy("old_id", "best").agg(F.min("new_id").alias("new_id")).withColumn("score", -F.col("best"))
     status = F.when(F.col("score") < AUTO, "weak").when(F.col("score") < SURE, "review").otherwise("auto")
-    return best.select("old_id", "new_id", "score", status.alias("status"))
+    return found.select("old_id", "new_id", "score", status.alias("status"))
+
+
+def _scored(old: DataFrame, new: DataFrame, blocks: tuple[str, ...], rest: list[str], reach: float) -> DataFrame:
+    """`old` with new_id and less (its score below zero) for each place of new entities that agree in `blocks`."""
+    n = new.groupBy(*blocks, *rest, "x", "y", "z").agg(F.min("id").alias("id"))
+    n = n.select(*(F.col(c).alias(f"new_{c}") for c in n.columns))
+    same = lambda c: F.col(f"old_{c}") == F.col(f"new_{c}")
+    score = reduce(lambda s, c: s + F.when(same(c), SCORES[c]).otherwise(0.0), rest, F.lit(sum(SCORES[c] for c in blocks)))
+    d = F.sqrt(sum(((F.col(f"old_{k}") - F.col(f"new_{k}")) ** 2 for k in "xyz"), F.lit(0.0)))
+    less = -(score + F.greatest(F.lit(0.0), NEAR * (1 - d / reach)))
+    return old.join(sorted_join(n), reduce(and_, map(same, blocks))).withColumn("less", less)
 
 
 def review_queue(matches: DataFrame) -> DataFrame:
