@@ -26,9 +26,17 @@ def phases(spark, sf):
 
 
 def compact(spark, sf):
-    """JOIN-12: node numbers in one phase, as sums."""
-    e = t.phase_elements(cells(spark, sf), _activity(spark, sf), _materials(spark, sf))
-    return t.compact_nodes(e).groupBy("phase").agg(F.count("*").alias("n"), F.min("new_id").alias("low"), F.max("new_id").alias("high"), F.sum(F.col("new_id") * F.col("node_id")).alias("product"))
+    """JOIN-12: node numbers in one phase, as sums.
+
+    A number in a phase is at most the range of node ids. Where that allows sums beyond 64 bits, at which the SQL's cast
+    stops, the products are exact decimals; elsewhere they have the SQL's type.
+    """
+    c = cells(spark, sf)
+    e = t.phase_elements(c, _activity(spark, sf), _materials(spark, sf))
+    low, high = c.agg(F.min(F.array_min("conn")), F.max(F.array_max("conn"))).first()
+    wide = low is not None and (high - low + 1) ** 2 * max(abs(low), abs(high)) >= 1 << 63
+    number = lambda k: F.col(k).cast("decimal(19,0)" if wide else "long")
+    return t.compact_nodes(e).groupBy("phase").agg(F.count("*").alias("n"), F.min("new_id").alias("low"), F.max("new_id").alias("high"), F.sum(number("new_id") * number("node_id")).alias("product"))
 
 
 def forces(spark, sf):
